@@ -17,22 +17,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+import sys
+
+
+def _class(chars: str) -> str:
+    """A regex character class written with escapes only (Java syntax).
+
+    Code points below 256 stay single (Java folds them into one bit-set
+    lookup); higher ones are merged into ranges (one predicate each).
+    """
+    cps = sorted({ord(c) for c in chars})
+    parts, i = [], 0
+    while i < len(cps):
+        j = i
+        if cps[i] >= 256:
+            while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+                j += 1
+        parts.append(f"\\u{cps[i]:04x}" if i == j else f"\\u{cps[i]:04x}-\\u{cps[j]:04x}")
+        i = j + 1
+    return "[" + "".join(parts) + "]"
+
+
+# Whitespace exactly as Python's str.isspace() / str.split() / str.strip(),
+# and line boundaries as str.splitlines(): enumerated from Python itself.
+WS_CHARS = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
+LB_CHARS = "".join(chr(i) for i in range(sys.maxunicode + 1)
+                   if len(f"a{chr(i)}b".splitlines()) == 2)
+WS = _class(WS_CHARS)
+LB = "(?:\\r\\n|" + _class(LB_CHARS) + ")"
+
 # ---------------------------------------------------------------------------
-# Fixed values (must equal Python's behaviour for right results).
-# Whitespace as in Python str.isspace(): TAB..CR, FS..US, SPACE, NEL, NBSP,
-# OGHAM SPACE MARK, EN QUAD..HAIR SPACE, LINE SEP, PARAGRAPH SEP, NNBSP,
-# MMSP, IDEOGRAPHIC SPACE.
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-# Line boundaries as in Python str.splitlines().
-LB = r"(?:\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029])"
+# Fixed values (must equal the reference's patterns for right results).
 # Control characters replaced by clean_text.
-CONTROL = r"[\x00-\x1f\x7f-\x9f]"
+CONTROL_CHARS = "".join(chr(i) for i in [*range(0x00, 0x20), *range(0x7F, 0xA0)])
 # Structural tags replaced by a space before all other tags.
 BLOCK_TAG = r"<WS*(?:br|p|div|li)WS*/?WS*>"
 ANY_TAG = r"<[^>]+>"
 # Prefixes removed from generated answers, then characters stripped.
 ANSWER_PREFIX = r"^(?:skill category|skill_name|skill name|answer|response)WS*:WS*"
-ANSWER_STRIP_CLASS = r"""[ \t\n\r"'`.,;:]"""
+ANSWER_STRIP_CHARS = " \t\n\r\"'`.,;:"
 EMPTY_PREDICTION = "[empty]"
 MISSING_TEXT = "nan"
 # Named entities decoded on the JVM (the rest go through html.unescape).
@@ -44,16 +67,19 @@ NATIVE_ENTITIES = [
 ]
 # ---------------------------------------------------------------------------
 
+CONTROL = _class(CONTROL_CHARS)
 BLOCK_TAG = BLOCK_TAG.replace("WS", WS)
 ANSWER_PREFIX = ANSWER_PREFIX.replace("WS", WS)
-STRIP_RE = f"^{WS}+|{WS}+$"
-ANSWER_STRIP_RE = f"^{ANSWER_STRIP_CLASS}+|{ANSWER_STRIP_CLASS}+$"
+# Runs that "whitespace runs -> one space" would change: two or more, or a
+# single non-space character. A lone ' ' is left alone (no per-match cost).
+SPACE_RUN = f"{WS}{{2,}}|{_class(WS_CHARS.replace(' ', ''))}"
+_BLANKISH = "".join(sorted(set(WS_CHARS) | set(CONTROL_CHARS)))
+BLANK_RUN = f"{_class(_BLANKISH)}{{2,}}|{_class(_BLANKISH.replace(' ', ''))}"
 
 
 def to_re2(pattern: str) -> str:
-    """Rewrite a Java pattern for RE2 (DuckDB): ``\\xhh``/``\\uhhhh`` -> ``\\x{..}``."""
-    pattern = re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", pattern)
-    return re.sub(r"\\x([89a-fA-F][0-9a-fA-F])", r"\\x{\1}", pattern)
+    """Rewrite a Java pattern for RE2 (DuckDB): ``\\uhhhh`` -> ``\\x{hhhh}``."""
+    return re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", pattern)
 
 
 def _c(col: Column | str) -> Column:
@@ -75,17 +101,23 @@ def unescape_html(col: Column | str) -> Column:
     """Decode the named entities in ``NATIVE_ENTITIES`` on the JVM.
 
     Equals ``html.unescape`` whenever every ``&`` in the value starts one of
-    the native forms (see ``needs_exact_unescape``). ``&amp;`` goes last so
-    that ``&amp;lt;`` decodes to ``&lt;``, as in a single-pass decoder.
+    the native forms (see ``needs_exact_unescape``). Values without ``&`` skip
+    the chain. Plain ``replace`` (byte search) does the work; names the
+    standard accepts without ';' are replaced in both forms. ``&amp;`` goes
+    last and by one regex pass so that ``&amp;lt;`` and ``&amp;amp`` decode
+    once, as in a single-pass decoder.
     """
-    out = _c(col)
+    text = _c(col)
+    out = text
     for name in NATIVE_ENTITIES:
-        char = _entity_char(name)
+        char = F.lit(_entity_char(name))
+        if name == "amp":
+            out = F.regexp_replace(out, "&amp;?", "&")
+            continue
+        out = F.replace(out, F.lit(f"&{name};"), char)
         if _legacy(name):
-            out = F.regexp_replace(out, f"&{name};?", char.replace("\\", "\\\\").replace("$", "\\$"))
-        else:
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+            out = F.replace(out, F.lit(f"&{name}"), char)
+    return F.when(F.instr(text, "&") > 0, out).otherwise(text)
 
 
 def _native_form_re() -> str:
@@ -118,12 +150,12 @@ def unescape_html_exact(s: pd.Series) -> pd.Series:
 
 def py_strip(col: Column | str) -> Column:
     """``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(col), STRIP_RE, "")
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def collapse_ws(col: Column | str) -> Column:
     """``re.sub(r"\\s+", " ", s)``."""
-    return F.regexp_replace(_c(col), f"{WS}+", " ")
+    return F.regexp_replace(_c(col), SPACE_RUN, " ")
 
 
 def as_text(col: Column | str) -> Column:
@@ -162,8 +194,9 @@ def clean_text(col: Column | str, entities: str = "auto") -> Column:
     text = decode_entities(col, entities)
     text = F.regexp_replace(text, "(?i)" + BLOCK_TAG, " ")
     text = F.regexp_replace(text, ANY_TAG, " ")
-    text = F.regexp_replace(text, CONTROL, " ")
-    text = py_strip(collapse_ws(text))
+    # control characters -> space, then whitespace runs -> one space: one pass
+    # over runs of (control | whitespace).
+    text = py_strip(F.regexp_replace(text, BLANK_RUN, " "))
     return F.nullif(text, F.lit(""))
 
 
@@ -176,13 +209,15 @@ def char_count(col: Column | str) -> Column:
 
 def word_count(col: Column | str) -> Column:
     """``len(s.split())`` for any text; NULL stays NULL."""
-    stripped = py_strip(_c(col))
-    return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, f"{WS}+")))
+    return F.coalesce(word_count_clean(F.nullif(py_strip(collapse_ws(_c(col))), F.lit(""))),
+                      F.when(_c(col).isNotNull(), F.lit(0)))
 
 
 def word_count_clean(col: Column | str) -> Column:
-    """Word count of text already produced by ``clean_text`` (single spaces)."""
-    return F.size(F.split(_c(col), " "))
+    """Word count of non-empty text with single spaces between words (as
+    produced by ``clean_text``): spaces + 1, counted by bytes, no array."""
+    c = _c(col)
+    return (F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
 # --- STR7 normalize_label ---------------------------------------------------
@@ -209,7 +244,7 @@ def clean_prediction(col: Column | str) -> Column:
     text = py_strip(as_text(col))
     text = F.regexp_replace(text, "(?i)" + ANSWER_PREFIX, "")
     line = first_nonblank_line(text)
-    line = F.regexp_replace(line, ANSWER_STRIP_RE, "")
+    line = F.trim(line, F.lit(ANSWER_STRIP_CHARS))
     return F.coalesce(F.nullif(line, F.lit("")), F.lit(EMPTY_PREDICTION))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.schema import NOT_SPECIFIED, OPTIONAL_COLUMNS, POSTING_COLUMNS, TEXT_COLUMNS
+from .common import fence
 from .validate import require_columns
 
 KEY = "_dedup_key"
@@ -47,11 +48,11 @@ def clean_fields(postings: DataFrame, entities: str = "auto") -> DataFrame:
     require_columns(postings, POSTING_COLUMNS, "postings")
     df = postings.select(*POSTING_COLUMNS)
     df = df.withColumn("_missing_raw", F.col("title").isNull() | F.col("description").isNull())
-    return df.select(
+    return fence(df.select(
         "job_id",
         *[T.clean_text(c, entities).alias(c) for c in TEXT_COLUMNS],
         "_missing_raw",
-    )
+    ), "cleaned")
 
 
 def with_lengths(df: DataFrame, col: str = "description") -> DataFrame:
@@ -133,6 +134,7 @@ def funnel_frame(postings: DataFrame, min_description_words: int = 50,
         pair_key(ct, cd).alias(KEY),
         F.coalesce(T.word_count_clean(cd), F.lit(0)).alias("_wc"),
     )
+    narrow = fence(narrow, "funnel")
     present = narrow.filter(~F.col("_missing") & ~F.col("_blank"))
     winners = present.groupBy(KEY).agg(F.min("job_id").alias("_first_id"))
     joined = narrow.join(winners, KEY, "left")

@@ -7,18 +7,23 @@ from ..functions import text as T
 
 WS = T.to_re2(T.WS)
 LB = T.to_re2(T.LB)
-CONTROL = T.to_re2(T.CONTROL)
 BLOCK_TAG = T.to_re2(T.BLOCK_TAG)
 ANSWER_PREFIX = T.to_re2(T.ANSWER_PREFIX)
-ANSWER_STRIP_RE = T.to_re2(T.ANSWER_STRIP_RE)
+SPACE_RUN = T.to_re2(T.SPACE_RUN)
+BLANK_RUN = T.to_re2(T.BLANK_RUN)
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def chars(s: str) -> str:
+    """A string of arbitrary characters as an SQL expression (no raw controls)."""
+    return "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")"
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {lit(f'^{WS}+|{WS}+$')}, '', 'g')"
+    return f"trim({x}, {chars(T.WS_CHARS)})"
 
 
 def collapse(x: str) -> str:
@@ -40,8 +45,7 @@ def clean_text(x: str) -> str:
     t = unescape(x)
     t = f"regexp_replace({t}, {lit(BLOCK_TAG)}, ' ', 'gi')"
     t = f"regexp_replace({t}, {lit(T.ANY_TAG)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {lit(CONTROL)}, ' ', 'g')"
-    t = strip(collapse(t))
+    t = strip(f"regexp_replace({t}, {lit(BLANK_RUN)}, ' ', 'g')")
     return f"nullif({t}, '')"
 
 
@@ -70,7 +74,7 @@ def clean_prediction(x: str) -> str:
     t = f"regexp_replace({t}, {lit(ANSWER_PREFIX)}, '', 'i')"
     lines = f"list_filter(list_transform(string_split_regex({t}, {lit(LB)}), l -> {strip('l')}), l -> l <> '')"
     line = f"{lines}[1]"
-    line = f"regexp_replace({line}, {lit(ANSWER_STRIP_RE)}, '', 'g')"
+    line = f"trim({line}, {chars(T.ANSWER_STRIP_CHARS)})"
     return f"coalesce(nullif({line}, ''), {lit(T.EMPTY_PREDICTION)})"
 
 

@@ -9,12 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from .schema import POSTING_COLUMNS
 
+# Tables whose rows carry long text: per-row CPU (regex cleaning) dominates.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-bound text stages at least ``defaultParallelism`` tasks.
+
+    A scan yields one task per file split; a small or unsplittable input can
+    leave cores idle. Only then is the input dealt round-robin (one exchange
+    of the pruned columns); a scan that already has enough splits, as on a
+    cluster reading many files, is returned unchanged.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def postings_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
