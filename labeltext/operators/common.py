@@ -22,3 +22,15 @@ def fence(df: DataFrame, label: str) -> DataFrame:
     """
     name = f"{label}_{uuid.uuid4().hex[:8]}"
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+
+    The proof is one ``limit(max_rows + 1).count()`` job, which stops reading
+    once the bound is exceeded. Larger inputs are returned as they are and the
+    join shuffles (AQE may still pick a broadcast from runtime sizes).
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

@@ -146,3 +146,83 @@ SELECT step_order, step, CAST(b AS BIGINT) AS rows_before, CAST(r AS BIGINT) AS
        CAST(b - r AS BIGINT) AS rows_after,
        CASE WHEN b > 0 THEN round(r * 100.0 / b, 2) ELSE 0.0 END AS removed_pct
 FROM steps"""
+
+# --- labels ------------------------------------------------------------------
+
+LABELS = """
+bridge AS (
+  SELECT doc_id AS job_id, 'Q' || CAST(quality AS VARCHAR) AS skill_abr FROM labels
+  UNION ALL SELECT doc_id, 'T' || CAST(toxic AS VARCHAR) FROM labels
+),
+dim(skill_abr, skill_name) AS (VALUES ('Q1', 'High quality'), ('Q0', ' Low quality '), ('T1', 'Toxic')),
+mapped AS (
+  SELECT b.job_id, b.skill_abr, d.skill_name
+  FROM bridge b LEFT JOIN dim d ON b.skill_abr IS NOT DISTINCT FROM d.skill_abr
+),
+folded AS (
+  SELECT job_id, coalesce(array_to_string(list_sort(list_distinct(list(n) FILTER (WHERE n <> ''))), ', '), '') AS skill_name
+  FROM (SELECT job_id, """ + Q.strip("skill_name") + """ AS n FROM mapped WHERE skill_name IS NOT NULL AND job_id IS NOT NULL)
+  GROUP BY job_id
+)"""
+
+LABELS_AT_SIZE = """
+mapped AS (
+  SELECT l.l_orderkey AS job_id, l.l_partkey AS skill_abr, p.p_type AS skill_name
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey IS NOT DISTINCT FROM p.p_partkey
+),
+folded AS (
+  SELECT job_id, coalesce(array_to_string(list_sort(list_distinct(list(n) FILTER (WHERE n <> ''))), ', '), '') AS skill_name
+  FROM (SELECT job_id, """ + Q.strip("skill_name") + """ AS n FROM mapped WHERE skill_name IS NOT NULL AND job_id IS NOT NULL)
+  GROUP BY job_id
+)"""
+
+LABELLED = CLEAN_POSTINGS + "," + LABELS + """,
+labelled AS (SELECT c.*, f.skill_name FROM clean_postings c LEFT JOIN folded f USING (job_id))"""
+
+ORACLE["map_labels"] = "WITH " + LABELS + "\nSELECT job_id, skill_abr, skill_name FROM mapped WHERE skill_name IS NOT NULL"
+ORACLE["map_labels_at_size"] = "WITH " + LABELS_AT_SIZE + "\nSELECT job_id, skill_abr, skill_name FROM mapped WHERE skill_name IS NOT NULL"
+ORACLE["unmapped_codes"] = "WITH " + LABELS + """
+SELECT skill_abr, count(*) AS "rows" FROM bridge b
+WHERE NOT EXISTS (SELECT 1 FROM dim d WHERE b.skill_abr IS NOT DISTINCT FROM d.skill_abr)
+GROUP BY skill_abr"""
+ORACLE["fold_labels"] = "WITH " + LABELS + "\nSELECT job_id, skill_name FROM folded"
+ORACLE["fold_labels_at_size"] = "WITH " + LABELS_AT_SIZE + "\nSELECT job_id, skill_name FROM folded"
+ORACLE["attach_labels"] = "WITH " + LABELS_AT_SIZE + """
+SELECT o.o_orderkey AS job_id, o.o_orderstatus, o.o_orderpriority, f.skill_name
+FROM orders o LEFT JOIN folded f ON o.o_orderkey = f.job_id"""
+ORACLE["labeled_dataset"] = "WITH " + LABELLED + "\nSELECT * FROM labelled"
+ORACLE["label_coverage"] = "WITH " + LABELLED + """
+SELECT count(*) AS total_rows, count(skill_name) AS labeled_rows,
+       CASE WHEN count(*) > 0 THEN count(skill_name) / count(*) ELSE 0.0 END AS label_coverage
+FROM labelled"""
+ORACLE["label_distribution"] = "WITH " + LABELS + """
+SELECT f.skill_name, count(*) AS "rows" FROM documents d LEFT JOIN folded f ON d.doc_id = f.job_id
+GROUP BY f.skill_name"""
+
+# --- rank, split, sample -----------------------------------------------------
+
+def _rank_sql(src: str, seed: int = 42) -> str:
+    return f"""SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || CAST(job_id AS VARCHAR)), job_id) AS "rank",
+       count(*) OVER () AS total_rows FROM {src}"""
+
+
+SPLIT = LABELLED + """,
+lab AS (SELECT * REPLACE (""" + Q.strip("CAST(skill_name AS VARCHAR)") + """ AS skill_name) FROM labelled WHERE skill_name IS NOT NULL),
+lab2 AS (SELECT * FROM lab WHERE skill_name <> ''),
+ranked AS (""" + _rank_sql("lab2") + """),
+split AS (
+  SELECT *, CASE WHEN "rank" <= floor(total_rows * CAST(0.8 AS DOUBLE)) THEN 'train'
+                 WHEN "rank" <= floor(total_rows * CAST(""" + repr(0.8 + 0.1) + """ AS DOUBLE)) THEN 'validation'
+                 ELSE 'test' END AS split
+  FROM ranked
+)"""
+
+ORACLE["global_rank"] = "WITH d AS (SELECT doc_id AS job_id FROM documents)\nSELECT job_id, \"rank\" FROM (" + _rank_sql("d") + ")"
+ORACLE["split_dataset"] = "WITH " + SPLIT + "\nSELECT job_id, skill_name, split FROM split"
+ORACLE["split_sizes"] = "WITH " + SPLIT + """,
+s(split) AS (VALUES ('train'), ('validation'), ('test')),
+n AS (SELECT count(*) AS n FROM split)
+SELECT s.split, count(x.job_id) AS "rows",
+       CASE WHEN max(n.n) > 0 THEN round(count(x.job_id) / max(n.n), 10) ELSE 0.0 END AS share
+FROM s CROSS JOIN n LEFT JOIN split x ON x.split = s.split GROUP BY s.split"""
+ORACLE["sample_exact"] = "WITH " + SPLIT + "\nSELECT job_id, skill_name FROM ranked WHERE \"rank\" <= 20"

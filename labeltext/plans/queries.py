@@ -109,3 +109,102 @@ def q_cleaning_report(spark, sf):
 def q_drop_funnel(spark, sf):
     """AGG4: rows removed at each cleaning step."""
     return C.drop_funnel(S.postings_from_documents(spark, sf), MIN_WORDS)
+
+
+# --- 3. labels ---------------------------------------------------------------
+
+from ..operators import labels as L  # noqa: E402
+from ..operators import rank as R  # noqa: E402
+
+
+def _clean(spark, sf):
+    return C.preprocess_postings(S.postings_from_documents(spark, sf), MIN_WORDS)
+
+
+def _labelled(spark, sf):
+    return L.build_training_dataset(_clean(spark, sf), S.bridge_from_labels(spark, sf),
+                                    S.skill_dimension(spark))
+
+
+@query("map_labels")
+def q_map_labels(spark, sf):
+    """JON1: bridge rows with their label name (unmapped dropped)."""
+    return L.map_labels(S.bridge_from_labels(spark, sf), S.skill_dimension(spark))
+
+
+@query("map_labels_at_size")
+def q_map_labels_at_size(spark, sf):
+    """JON1 at size: lineitem (order -> part) joined to part types."""
+    return L.map_labels(S.bridge_from_lineitem(spark, sf), S.dimension_from_part(spark, sf))
+
+
+@query("unmapped_codes")
+def q_unmapped_codes(spark, sf):
+    """JON4: bridge rows per code without a name."""
+    return L.unmapped_codes(S.bridge_from_labels(spark, sf), S.skill_dimension(spark))
+
+
+@query("fold_labels")
+def q_fold_labels(spark, sf):
+    """AGG1: one sorted, comma-joined label string per record."""
+    return L.fold_labels(L.map_labels(S.bridge_from_labels(spark, sf), S.skill_dimension(spark)))
+
+
+@query("fold_labels_at_size")
+def q_fold_labels_at_size(spark, sf):
+    """AGG1 at size: distinct part types per order."""
+    return L.fold_labels(L.map_labels(S.bridge_from_lineitem(spark, sf), S.dimension_from_part(spark, sf)))
+
+
+@query("attach_labels")
+def q_attach_labels(spark, sf):
+    """JON2 at size: every order with its folded part types (NULL when none)."""
+    folded = L.fold_labels(L.map_labels(S.bridge_from_lineitem(spark, sf), S.dimension_from_part(spark, sf)))
+    return L.attach_labels(S.records_from_orders(spark, sf), folded)
+
+
+@query("labeled_dataset")
+def q_labeled_dataset(spark, sf):
+    """PIP3: cleaned postings with their folded labels."""
+    return _labelled(spark, sf)
+
+
+@query("label_coverage")
+def q_label_coverage(spark, sf):
+    """AGG2: labelled share of the cleaned postings."""
+    return L.label_coverage(_labelled(spark, sf))
+
+
+@query("label_distribution")
+def q_label_distribution(spark, sf):
+    """Records per folded label over all documents."""
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"))
+    return L.label_distribution(L.build_training_dataset(docs, S.bridge_from_labels(spark, sf),
+                                                         S.skill_dimension(spark)))
+
+
+# --- 4. rank, split, sample --------------------------------------------------
+
+@query("global_rank")
+def q_global_rank(spark, sf):
+    """RNK1: position of every document in the seeded order."""
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"))
+    return R.rank_table(docs, "job_id", 42).select("job_id", "rank")
+
+
+@query("split_dataset")
+def q_split_dataset(spark, sf):
+    """SPL1: labelled postings cut 80/10/10 in the seeded order."""
+    return R.split_dataset(_labelled(spark, sf)).select("job_id", "skill_name", "split")
+
+
+@query("split_sizes")
+def q_split_sizes(spark, sf):
+    """SPL2: rows and share per split."""
+    return R.split_sizes(R.split_dataset(_labelled(spark, sf)))
+
+
+@query("sample_exact")
+def q_sample_exact(spark, sf):
+    """SMP1: exactly 20 labelled postings (seed 42), the evaluation sample size."""
+    return R.sample_exact(R.labeled_rows(_labelled(spark, sf)), 20, 42).select("job_id", "skill_name")
