@@ -226,3 +226,144 @@ SELECT s.split, count(x.job_id) AS "rows",
        CASE WHEN max(n.n) > 0 THEN round(count(x.job_id) / max(n.n), 10) ELSE 0.0 END AS share
 FROM s CROSS JOIN n LEFT JOIN split x ON x.split = s.split GROUP BY s.split"""
 ORACLE["sample_exact"] = "WITH " + SPLIT + "\nSELECT job_id, skill_name FROM ranked WHERE \"rank\" <= 20"
+
+# --- profiling ---------------------------------------------------------------
+
+_POST_COLS = ["job_id", "company_name", "title", "description", "location",
+              "formatted_work_type", "formatted_experience_level"]
+ORACLE["missing_summary"] = "WITH " + POSTINGS + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS missing_count, "
+    f"CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 2) ELSE 0.0 END "
+    f"AS missing_percent FROM postings" for c in _POST_COLS)
+
+_PCTS = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
+ORACLE["length_stats"] = "WITH " + POSTINGS + f""",
+w AS (SELECT CAST({Q.word_count("coalesce(description, '')")} AS INTEGER) AS wc FROM postings),
+a AS (SELECT count(wc) AS "count", round(avg(wc), 6) AS mean, round(stddev_samp(wc), 6) AS std,
+             CAST(min(wc) AS DOUBLE) AS "min", quantile_cont(wc, [{', '.join(map(str, _PCTS))}]) AS p,
+             CAST(max(wc) AS DOUBLE) AS "max" FROM w)
+SELECT "count", mean, std, "min", """ + ", ".join(
+    f"p[{i + 1}] AS p{int(round(q * 100)):02d}" for i, q in enumerate(_PCTS)) + ', "max" FROM a'
+
+ORACLE["category_distribution"] = "WITH " + POSTINGS + """,
+pairs AS (
+  SELECT 'formatted_experience_level' AS "column", formatted_experience_level AS value FROM postings
+  UNION ALL SELECT 'formatted_work_type', formatted_work_type FROM postings
+)
+SELECT "column", value, count(*) AS "count",
+       round(count(*) * 100.0 / (SELECT count(*) FROM postings), 2) AS percent
+FROM pairs GROUP BY "column", value"""
+
+ORACLE["shortest_rows"] = "WITH " + CLEAN_POSTINGS + """
+SELECT job_id, title, description_word_count FROM clean_postings
+ORDER BY description_word_count ASC NULLS LAST, job_id LIMIT 20"""
+ORACLE["longest_rows"] = "WITH " + CLEAN_POSTINGS + """
+SELECT job_id, title, description_word_count FROM clean_postings
+ORDER BY description_word_count DESC NULLS LAST, job_id LIMIT 20"""
+
+ORACLE["table_profile"] = """
+SELECT 'postings' AS "table", count(*) AS "rows", 7 AS "columns",
+       'job_id, company_name, title, description, location, formatted_work_type, formatted_experience_level' AS column_names
+FROM documents
+UNION ALL SELECT 'job_skills', 2 * count(*), 2, 'job_id, skill_abr' FROM labels
+UNION ALL SELECT 'skills', 3, 2, 'skill_abr, skill_name'"""
+
+# --- evaluation --------------------------------------------------------------
+
+PREDICTIONS = """
+preds AS (
+  SELECT doc_id AS job_id, split_part(text, chr(10), 1) AS title, lang AS ground_truth,
+         'en' AS baseline_prediction,
+         CASE WHEN doc_id % 2 = 0 THEN 'Answer: ' || upper(g) || '.' ELSE g END AS finetuned_prediction
+  FROM (SELECT *, CASE WHEN regexp_matches(text, '[éèêç]') THEN 'fr'
+                       WHEN regexp_matches(text, '[äöüß]') THEN 'de'
+                       WHEN regexp_matches(text, '[ñóíá]') THEN 'es' ELSE 'en' END AS g
+        FROM documents)
+),
+results AS (
+  SELECT job_id, title, ground_truth,
+         """ + Q.clean_prediction("baseline_prediction") + """ AS baseline_prediction,
+         """ + Q.clean_prediction("finetuned_prediction") + """ AS finetuned_prediction
+  FROM preds
+),
+results2 AS (
+  SELECT *, """ + Q.normalize_label("ground_truth") + " = " + Q.normalize_label("baseline_prediction") + """ AS baseline_correct,
+         """ + Q.normalize_label("ground_truth") + " = " + Q.normalize_label("finetuned_prediction") + """ AS finetuned_correct
+  FROM results
+),
+long AS (
+  SELECT 'Baseline' AS model, """ + Q.normalize_label("ground_truth") + """ AS truth,
+         """ + Q.normalize_label("baseline_prediction") + """ AS prediction FROM results
+  UNION ALL
+  SELECT 'Fine-tuned', """ + Q.normalize_label("ground_truth") + ", " + Q.normalize_label("finetuned_prediction") + """ FROM results
+),
+counts AS (SELECT model, truth, prediction, count(*) AS n FROM long GROUP BY ALL),
+ts AS (SELECT model, truth AS class, sum(n) AS support, sum(CASE WHEN truth = prediction THEN n ELSE 0 END) AS tp
+       FROM counts GROUP BY ALL),
+ps AS (SELECT model, prediction AS class, sum(n) AS predicted FROM counts GROUP BY ALL),
+pc AS (
+  SELECT coalesce(ts.model, ps.model) AS model, coalesce(ts.class, ps.class) AS class,
+         coalesce(tp, 0) AS tp, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted
+  FROM ts FULL OUTER JOIN ps ON ts.model = ps.model AND ts.class = ps.class
+),
+pcm AS (
+  SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+         CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1
+  FROM pc
+),
+weighted AS (
+  SELECT model, round(sum(tp) / sum(support), 10) AS accuracy,
+         round(sum(precision * support) / sum(support), 10) AS precision,
+         round(sum(recall * support) / sum(support), 10) AS recall,
+         round(sum(f1 * support) / sum(support), 10) AS f1, CAST(sum(support) AS BIGINT) AS samples
+  FROM pcm GROUP BY model
+)"""
+
+ORACLE["normalize_label"] = "WITH " + PREDICTIONS + f"""
+SELECT job_id, {Q.normalize_label('ground_truth')} AS truth_norm,
+       {Q.normalize_label('finetuned_prediction')} AS prediction_norm FROM preds"""
+ORACLE["clean_prediction"] = "WITH " + PREDICTIONS + """
+SELECT job_id, finetuned_prediction, baseline_prediction FROM results"""
+ORACLE["prediction_results"] = "WITH " + PREDICTIONS + "\nSELECT * FROM results2"
+ORACLE["prediction_parity"] = """
+WITH t AS (SELECT doc_id AS job_id, count(*) AS t_n FROM labels GROUP BY 1),
+     p AS (SELECT doc_id AS job_id, count(*) AS p_n FROM documents GROUP BY 1),
+     j AS (SELECT t_n, p_n FROM t FULL OUTER JOIN p ON t.job_id = p.job_id)
+SELECT count(*) FILTER (WHERE p_n IS NULL) AS missing_predictions,
+       count(*) FILTER (WHERE t_n IS NULL) AS missing_truths,
+       CAST(coalesce(sum(greatest(t_n - 1, 0)), 0) AS BIGINT) AS repeated_truth_keys,
+       CAST(coalesce(sum(greatest(p_n - 1, 0)), 0) AS BIGINT) AS repeated_prediction_keys
+FROM j"""
+ORACLE["class_count"] = "WITH " + PREDICTIONS + """
+SELECT count(DISTINCT ground_truth) AS ground_truth_classes,
+       count(DISTINCT finetuned_prediction) AS finetuned_prediction_classes FROM results2"""
+ORACLE["sample_accuracy"] = "WITH " + PREDICTIONS + """
+SELECT count(*) AS samples, round(coalesce(avg(CAST(finetuned_correct AS DOUBLE)), 0.0), 10) AS accuracy FROM results2"""
+ORACLE["classification_metrics"] = "WITH " + PREDICTIONS + """
+SELECT model, accuracy, precision, recall, f1, samples FROM weighted WHERE model = 'Fine-tuned'"""
+ORACLE["classification_metrics_macro"] = "WITH " + PREDICTIONS + """
+SELECT model, round(sum(tp) / sum(support), 10) AS accuracy, round(avg(precision), 10) AS precision,
+       round(avg(recall), 10) AS recall, round(avg(f1), 10) AS f1, CAST(sum(support) AS BIGINT) AS samples
+FROM pcm GROUP BY model"""
+ORACLE["compare_models"] = "WITH " + PREDICTIONS + "\nSELECT * FROM weighted"
+ORACLE["metric_long"] = "WITH " + PREDICTIONS + """
+SELECT model, 'accuracy' AS metric, accuracy AS value FROM weighted
+UNION ALL SELECT model, 'precision', precision FROM weighted
+UNION ALL SELECT model, 'recall', recall FROM weighted
+UNION ALL SELECT model, 'f1', f1 FROM weighted"""
+ORACLE["confusion_matrix"] = "WITH " + PREDICTIONS + """
+SELECT c.model, c.truth, c.prediction, c.n FROM counts c
+WHERE EXISTS (SELECT 1 FROM counts t WHERE t.model = c.model AND t.truth = c.prediction)"""
+ORACLE["classification_report"] = "WITH " + PREDICTIONS + """
+SELECT model, class, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1,
+       CAST(support AS BIGINT) AS support FROM pcm
+UNION ALL
+SELECT model, 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 10), CAST(sum(support) AS BIGINT) FROM pcm GROUP BY model
+UNION ALL
+SELECT model, 'macro avg', round(avg(precision), 10), round(avg(recall), 10), round(avg(f1), 10),
+       CAST(sum(support) AS BIGINT) FROM pcm GROUP BY model
+UNION ALL
+SELECT model, 'weighted avg', round(sum(precision * support) / sum(support), 10),
+       round(sum(recall * support) / sum(support), 10), round(sum(f1 * support) / sum(support), 10),
+       CAST(sum(support) AS BIGINT) FROM pcm GROUP BY model"""

@@ -208,3 +208,143 @@ def q_split_sizes(spark, sf):
 def q_sample_exact(spark, sf):
     """SMP1: exactly 20 labelled postings (seed 42), the evaluation sample size."""
     return R.sample_exact(R.labeled_rows(_labelled(spark, sf)), 20, 42).select("job_id", "skill_name")
+
+
+# --- 2. profiling ------------------------------------------------------------
+
+from ..operators import evaluate as V  # noqa: E402
+from ..operators import profile as P  # noqa: E402
+from ..operators import validate as VAL  # noqa: E402
+
+
+@query("missing_summary")
+def q_missing_summary(spark, sf):
+    """AGG5: missing count and percent per posting column."""
+    return P.missing_summary(S.postings_from_documents(spark, sf))
+
+
+@query("length_stats")
+def q_length_stats(spark, sf):
+    """AGG6: distribution of raw description word counts (missing = 0)."""
+    p = S.postings_from_documents(spark, sf)
+    wc = p.select(T.word_count(F.coalesce(F.col("description"), F.lit(""))).alias("wc"))
+    return P.length_stats(wc, "wc")
+
+
+@query("category_distribution")
+def q_category_distribution(spark, sf):
+    """AGG7: experience level and work type, NULL included."""
+    return P.category_distribution(S.postings_from_documents(spark, sf),
+                                   ["formatted_experience_level", "formatted_work_type"])
+
+
+@query("shortest_rows")
+def q_shortest_rows(spark, sf):
+    """TOP1: 20 shortest cleaned postings by word count."""
+    return P.shortest_rows(_clean(spark, sf), "description_word_count").select(
+        "job_id", "title", "description_word_count")
+
+
+@query("longest_rows")
+def q_longest_rows(spark, sf):
+    """TOP2: 20 longest cleaned postings by word count."""
+    return P.longest_rows(_clean(spark, sf), "description_word_count").select(
+        "job_id", "title", "description_word_count")
+
+
+@query("table_profile")
+def q_table_profile(spark, sf):
+    """AGG14: rows and columns of the three inputs."""
+    return P.table_profile({
+        "postings": S.postings_from_documents(spark, sf),
+        "job_skills": S.bridge_from_labels(spark, sf),
+        "skills": S.skill_dimension(spark),
+    })
+
+
+# --- 5. evaluation -----------------------------------------------------------
+
+def _predictions(spark, sf):
+    return S.predictions_from_documents(spark, sf)
+
+
+def _results(spark, sf):
+    return V.evaluate_predictions(_predictions(spark, sf))[0]
+
+
+@query("normalize_label")
+def q_normalize_label(spark, sf):
+    """STR7: normalised truth and raw prediction labels."""
+    p = _predictions(spark, sf)
+    return p.select("job_id", T.normalize_label("ground_truth").alias("truth_norm"),
+                    T.normalize_label("finetuned_prediction").alias("prediction_norm"))
+
+
+@query("clean_prediction")
+def q_clean_prediction(spark, sf):
+    """STR9: one label kept from each generated answer."""
+    p = _predictions(spark, sf)
+    return p.select("job_id", T.clean_prediction("finetuned_prediction").alias("finetuned_prediction"),
+                    T.clean_prediction("baseline_prediction").alias("baseline_prediction"))
+
+
+@query("prediction_results")
+def q_prediction_results(spark, sf):
+    """EVL2 / STR10 / JON3: row results with correct flags."""
+    return _results(spark, sf)
+
+
+@query("prediction_parity")
+def q_prediction_parity(spark, sf):
+    """COL5 (keyed): label rows vs document predictions."""
+    truths = S.table(spark, sf, "labels").select(F.col("doc_id").alias("job_id"))
+    return VAL.prediction_parity(truths, _predictions(spark, sf).select("job_id"))
+
+
+@query("class_count")
+def q_class_count(spark, sf):
+    """AGG8: distinct truth and predicted classes."""
+    return P.class_count(_results(spark, sf), ["ground_truth", "finetuned_prediction"])
+
+
+@query("sample_accuracy")
+def q_sample_accuracy(spark, sf):
+    """AGG9: mean of the fine-tuned correct flag."""
+    return V.sample_accuracy(_results(spark, sf))
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf):
+    """AGG10: weighted metrics of the fine-tuned model."""
+    counts = V.confusion_counts(V.long_predictions(_results(spark, sf), models={V.FINETUNED: "Fine-tuned"}))
+    return V.metrics(counts, "weighted")
+
+
+@query("classification_metrics_macro")
+def q_classification_metrics_macro(spark, sf):
+    """AGG10 with average='macro'."""
+    return V.metrics(V.confusion_counts(V.long_predictions(_results(spark, sf))), "macro")
+
+
+@query("compare_models")
+def q_compare_models(spark, sf):
+    """AGG11 / EVL1: baseline vs fine-tuned."""
+    return V.evaluate_predictions(_predictions(spark, sf))[1]
+
+
+@query("metric_long")
+def q_metric_long(spark, sf):
+    """PLT2: model x metric values for the bar chart."""
+    return V.metric_long(V.evaluate_predictions(_predictions(spark, sf))[1])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    """AGG12 / PLT1: non-zero confusion cells over the truth classes."""
+    return V.confusion_matrix(V.confusion_counts(V.long_predictions(_results(spark, sf))))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf):
+    """AGG13: per-class and summary rows for both models."""
+    return V.classification_report(V.confusion_counts(V.long_predictions(_results(spark, sf))))

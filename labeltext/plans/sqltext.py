@@ -72,7 +72,7 @@ def normalize_label(x: str) -> str:
 def clean_prediction(x: str) -> str:
     t = strip(as_text(x))
     t = f"regexp_replace({t}, {lit(ANSWER_PREFIX)}, '', 'i')"
-    lines = f"list_filter(list_transform(string_split_regex({t}, {lit(LB)}), l -> {strip('l')}), l -> l <> '')"
+    lines = f"list_filter(list_transform(string_split_regex({t}, {lit(LB)}), lambda l: {strip('l')}), lambda l: l <> '')"
     line = f"{lines}[1]"
     line = f"trim({line}, {chars(T.ANSWER_STRIP_CHARS)})"
     return f"coalesce(nullif({line}, ''), {lit(T.EMPTY_PREDICTION)})"
