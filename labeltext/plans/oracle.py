@@ -367,3 +367,91 @@ UNION ALL
 SELECT model, 'weighted avg', round(sum(precision * support) / sum(support), 10),
        round(sum(recall * support) / sum(support), 10), round(sum(f1 * support) / sum(support), 10),
        CAST(sum(support) AS BIGINT) FROM pcm GROUP BY model"""
+
+# --- prompts, chat, examples ------------------------------------------------
+
+from ..functions import prompts as _PR  # noqa: E402
+
+
+def _sql_text(s: str) -> str:
+    """A fixed text with newlines as an SQL expression."""
+    parts = s.split("\n")
+    out = []
+    for i, p in enumerate(parts):
+        if p:
+            out.append(Q.lit(p))
+        if i < len(parts) - 1:
+            out.append("chr(10)")
+    return "(" + " || ".join(out) + ")"
+
+
+def _prompt(title: str, desc: str) -> str:
+    return (f"{_sql_text(_PR.PROMPT_HEAD + _PR.PROMPT_TITLE)} || {Q.strip(Q.as_text(title))} || "
+            f"{_sql_text(_PR.PROMPT_DESCRIPTION)} || {Q.strip(Q.as_text(desc))} || {_sql_text(_PR.PROMPT_TAIL)}")
+
+
+def _tokens(x: str) -> str:
+    s = Q.strip(Q.collapse(x))
+    return f"CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE string_split({s}, ' ') END"
+
+
+def _render(role_sql: str, content_sql: str) -> str:
+    t = _PR.DEFAULT_TEMPLATE
+    head, tail = t.open.split("{role}")
+    return f"{_sql_text(head)} || {role_sql} || {_sql_text(tail)} || {content_sql} || {_sql_text(t.close)}"
+
+
+LABELLED_DOCS = """
+ldocs AS (
+  SELECT d.doc_id AS job_id, split_part(d.text, chr(10), 1) AS title, d.text AS description,
+         CASE WHEN l.quality = 1 THEN 'High quality' WHEN l.quality = 0 THEN 'Low quality' END AS skill_name
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+),
+trows AS (
+  SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + """ AS title,
+         """ + Q.strip("coalesce(CAST(description AS VARCHAR), '')") + """ AS description,
+         """ + Q.strip("coalesce(CAST(skill_name AS VARCHAR), '')") + """ AS skill_name
+  FROM ldocs
+),
+training AS (SELECT * FROM trows WHERE (title <> '' OR description <> '') AND skill_name <> '')"""
+
+ORACLE["load_eval_set"] = "WITH " + LABELLED_DOCS + """,
+e AS (SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + """ AS title,
+             """ + Q.strip("coalesce(CAST(description AS VARCHAR), '')") + """ AS description,
+             """ + Q.strip("coalesce(CAST(skill_name AS VARCHAR), '')") + """ AS skill_name
+      FROM ldocs WHERE skill_name IS NOT NULL),
+e2 AS (SELECT job_id, title, description, """ + _prompt("title", "description") + """ AS instruction, skill_name
+       FROM e WHERE title <> '' OR description <> '')
+SELECT * FROM e2 QUALIFY row_number() OVER (PARTITION BY instruction, skill_name ORDER BY job_id) = 1"""
+
+ORACLE["training_rows"] = "WITH " + LABELLED_DOCS + "\nSELECT job_id, title, skill_name FROM training"
+ORACLE["label_nulls"] = "WITH " + LABELLED_DOCS + """
+SELECT count(*) FILTER (WHERE title IS NULL) AS missing_title,
+       count(*) FILTER (WHERE description IS NULL) AS missing_description,
+       count(*) FILTER (WHERE skill_name IS NULL) AS missing_skill_name FROM ldocs"""
+ORACLE["build_prompts"] = "WITH " + LABELLED_DOCS + f"\nSELECT job_id, {_prompt('title', 'description')} AS instruction FROM ldocs"
+ORACLE["chat_messages"] = "WITH " + LABELLED_DOCS + f"""
+SELECT job_id, [{{'role': 'user', 'content': {_prompt('title', 'description')}}},
+                {{'role': 'assistant', 'content': {Q.as_text('skill_name')}}}] AS messages FROM training"""
+ORACLE["render_chat"] = f"SELECT conv_id, turn, {_render('role', 'text')} AS rendered FROM conversations"
+ORACLE["conversation_roles"] = "SELECT role, count(*) AS messages FROM conversations GROUP BY role"
+ORACLE["truncate_tokens"] = f"""
+SELECT doc_id AS job_id, array_to_string(({_tokens('text')})[1:400], ' ') AS description FROM documents"""
+
+_GEN = _sql_text(_PR.DEFAULT_TEMPLATE.generation)
+ORACLE["loss_tokens"] = "WITH " + LABELLED_DOCS + f""",
+p AS (SELECT job_id, skill_name,
+             {_prompt('title', "array_to_string((" + _tokens("description") + ")[1:400], ' ')")} AS prompt FROM training),
+r AS (SELECT job_id, {_render("'user'", 'prompt')} || {_GEN} AS prompt_text,
+             {_render("'user'", 'prompt')} || {_render("'assistant'", Q.as_text('skill_name'))} AS full_text FROM p),
+n AS (SELECT job_id, least(len({_tokens('full_text')}), 512) AS n_full,
+             least(len({_tokens('prompt_text')}), 512) AS n_prompt FROM r)
+SELECT job_id, CAST(greatest(n_full - n_prompt, 0) AS INTEGER) AS loss_tokens, CAST(n_full AS INTEGER) AS tokens FROM n"""
+
+ORACLE["training_sample"] = "WITH " + SPLIT + """,
+tr AS (SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + """ AS title,
+              """ + Q.strip("coalesce(CAST(description AS VARCHAR), '')") + """ AS description,
+              """ + Q.strip("coalesce(CAST(skill_name AS VARCHAR), '')") + """ AS skill_name
+       FROM split WHERE split = 'train'),
+tr2 AS (SELECT * FROM tr WHERE (title <> '' OR description <> '') AND skill_name <> '')
+SELECT job_id, skill_name FROM (""" + _rank_sql("tr2") + """) WHERE "rank" <= 1000"""

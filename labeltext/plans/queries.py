@@ -348,3 +348,86 @@ def q_confusion_matrix(spark, sf):
 def q_classification_report(spark, sf):
     """AGG13: per-class and summary rows for both models."""
     return V.classification_report(V.confusion_counts(V.long_predictions(_results(spark, sf))))
+
+
+# --- 6. prompts, chat, examples ---------------------------------------------
+
+from ..functions import prompts as PR  # noqa: E402
+from ..operators import examples as X  # noqa: E402
+
+
+def _labelled_docs(spark, sf):
+    return S.labelled_documents(spark, sf)
+
+
+@query("load_eval_set")
+def q_load_eval_set(spark, sf):
+    """SRC5: evaluation rows with their instruction, one per (instruction, label)."""
+    return X.load_eval_set(_labelled_docs(spark, sf))
+
+
+@query("training_rows")
+def q_training_rows(spark, sf):
+    """COL2: rows usable for training (title or description, non-blank label)."""
+    return VAL.validate_training_frame(_labelled_docs(spark, sf)).select("job_id", "title", "skill_name")
+
+
+@query("label_nulls")
+def q_label_nulls(spark, sf):
+    """COL3: missing title / description / label counts."""
+    return VAL.label_nulls(_labelled_docs(spark, sf))
+
+
+@query("build_prompts")
+def q_build_prompts(spark, sf):
+    """PRM1: instruction prompt per document."""
+    return _labelled_docs(spark, sf).select("job_id", PR.build_prompt("title", "description").alias("instruction"))
+
+
+@query("chat_messages")
+def q_chat_messages(spark, sf):
+    """PRM2: user + assistant messages for every labelled document."""
+    d = VAL.validate_training_frame(_labelled_docs(spark, sf))
+    return d.select("job_id", PR.chat_messages(PR.build_prompt("title", "description"), "skill_name")
+                    .alias("messages"))
+
+
+@query("render_chat")
+def q_render_chat(spark, sf):
+    """PRM3: every conversation turn rendered with the chat template."""
+    c = S.conversations(spark, sf)
+    msg = F.struct(F.col("role"), F.col("text").alias("content"))
+    return c.select("conv_id", "turn", PR.DEFAULT_TEMPLATE.render_message(msg).alias("rendered"))
+
+
+@query("conversation_roles")
+def q_conversation_roles(spark, sf):
+    """Messages per role in the conversations."""
+    return S.conversations(spark, sf).groupBy("role").agg(F.count("*").alias("messages"))
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf):
+    """PRM4: descriptions cut to their first 400 whitespace tokens."""
+    d = S.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("job_id"), PR.truncate_tokens("text", 400).alias("description"))
+
+
+@query("encode_examples")
+def q_encode_examples(spark, sf):
+    """PRM5: fixed-length ids, mask and masked labels per training row."""
+    return X.encode_examples(VAL.validate_training_frame(_labelled_docs(spark, sf))).select(
+        "job_id", "input_ids", "attention_mask", "labels")
+
+
+@query("loss_tokens")
+def q_loss_tokens(spark, sf):
+    """AGG16: loss-carrying and real tokens per encoded example."""
+    return X.loss_tokens(X.encode_examples(VAL.validate_training_frame(_labelled_docs(spark, sf))))
+
+
+@query("training_sample")
+def q_training_sample(spark, sf):
+    """PRM6: exact 1,000-row sample of the validated train split."""
+    return X.training_sample(R.split_dataset(_labelled(spark, sf)), "train", 1000, 42).select(
+        "job_id", "skill_name")
