@@ -455,3 +455,25 @@ tr AS (SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + ""
        FROM split WHERE split = 'train'),
 tr2 AS (SELECT * FROM tr WHERE (title <> '' OR description <> '') AND skill_name <> '')
 SELECT job_id, skill_name FROM (""" + _rank_sql("tr2") + """) WHERE "rank" <= 1000"""
+
+# --- inference -----------------------------------------------------------------
+
+_ACCENT = """CASE WHEN regexp_matches({x}, '[éèêç]') THEN 'fr' WHEN regexp_matches({x}, '[äöüß]') THEN 'de'
+              WHEN regexp_matches({x}, '[ñóíá]') THEN 'es' ELSE 'en' END"""
+
+ORACLE["batch_predict"] = "WITH " + LABELLED_DOCS + f""",
+i AS (SELECT job_id, {_prompt('title', 'description')} AS x FROM ldocs)
+SELECT job_id, {_ACCENT.format(x='x')} AS prediction FROM i"""
+
+ORACLE["inference_job"] = "WITH " + LABELLED_DOCS + """,
+e AS (SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + """ AS title,
+             """ + Q.strip("coalesce(CAST(description AS VARCHAR), '')") + """ AS description,
+             """ + Q.strip("coalesce(CAST(skill_name AS VARCHAR), '')") + """ AS skill_name
+      FROM ldocs WHERE skill_name IS NOT NULL),
+e2 AS (SELECT job_id, title, description, """ + _prompt("title", "description") + """ AS instruction, skill_name
+       FROM e WHERE title <> '' OR description <> ''),
+ev AS (SELECT * FROM e2 QUALIFY row_number() OVER (PARTITION BY instruction, skill_name ORDER BY job_id) = 1),
+s AS (SELECT * FROM (""" + _rank_sql("ev") + """) WHERE "rank" <= 20),
+p AS (SELECT job_id, skill_name, """ + _ACCENT.format(x="instruction") + """ AS prediction FROM s)
+SELECT job_id, skill_name, prediction,
+       lower(""" + Q.strip("skill_name") + ") = lower(" + Q.strip("prediction") + """) AS correct FROM p"""

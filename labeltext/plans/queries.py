@@ -431,3 +431,40 @@ def q_training_sample(spark, sf):
     """PRM6: exact 1,000-row sample of the validated train split."""
     return X.training_sample(R.split_dataset(_labelled(spark, sf)), "train", 1000, 42).select(
         "job_id", "skill_name")
+
+
+# --- 7. inference and classifier ---------------------------------------------
+
+from ..operators import infer as I  # noqa: E402
+
+
+@query("batch_predict")
+def q_batch_predict(spark, sf):
+    """INF1: keyword predictor over every document prompt, cleaned."""
+    d = _labelled_docs(spark, sf).select("job_id", PR.build_prompt("title", "description").alias("instruction"))
+    preds = I.batch_predict(d, I.AccentPredictor, batch_size=2)
+    return preds.select("job_id", T.clean_prediction("raw_prediction").alias("prediction"))
+
+
+@query("inference_job")
+def q_inference_job(spark, sf):
+    """INF2: 20-row exact sample of the evaluation set, predicted and flagged."""
+    ev = X.load_eval_set(_labelled_docs(spark, sf))
+    return I.inference_job(ev, I.AccentPredictor, 20, 42).select("job_id", "skill_name", "prediction", "correct")
+
+
+@query("train_classifier")
+def q_train_classifier(spark, sf):
+    """TRN1: TF-IDF + logistic regression on the train split of documents
+    (label = language), scored on the test split against a majority baseline."""
+    docs = S.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("job_id"), F.col("text").alias("description"), F.col("lang").alias("skill_name"))
+    split = R.split_dataset(docs)
+    train = split.filter(F.col("split") == "train")
+    test = split.filter(F.col("split") == "test")
+    _, scored = I.train_classifier(train, test)
+    majority = train.groupBy("skill_name").count().orderBy(F.desc("count"), "skill_name").limit(1) \
+        .select("skill_name").scalar()
+    frame = scored.select("job_id", F.col("skill_name").alias(V.TRUTH), majority.alias(V.BASELINE),
+                          F.col("prediction_label").alias(V.FINETUNED))
+    return V.compare_models(frame)
