@@ -477,3 +477,19 @@ s AS (SELECT * FROM (""" + _rank_sql("ev") + """) WHERE "rank" <= 20),
 p AS (SELECT job_id, skill_name, """ + _ACCENT.format(x="instruction") + """ AS prediction FROM s)
 SELECT job_id, skill_name, prediction,
        lower(""" + Q.strip("skill_name") + ") = lower(" + Q.strip("prediction") + """) AS correct FROM p"""
+
+# --- pipeline and I/O ----------------------------------------------------------
+
+ORACLE["pipeline_summary"] = "WITH " + SPLIT + """
+SELECT (SELECT count(*) FROM postings) AS original_postings,
+       (SELECT count(*) FROM clean_postings) AS cleaned_postings,
+       (SELECT count(*) FROM labelled) AS training_dataset_rows,
+       (SELECT count(skill_name) FROM labelled) AS labeled_rows,
+       (SELECT CASE WHEN count(*) > 0 THEN count(skill_name) / count(*) ELSE 0.0 END FROM labelled) AS label_coverage,
+       (SELECT count(*) FROM split WHERE split = 'train') AS train_rows,
+       (SELECT count(*) FROM split WHERE split = 'validation') AS validation_rows,
+       (SELECT count(*) FROM split WHERE split = 'test') AS test_rows"""
+
+_NA = "(" + ", ".join(Q.lit(t) for t in __import__("labeltext.sources.schema", fromlist=["NA_TOKENS"]).NA_TOKENS) + ")"
+ORACLE["ingest_csv"] = "WITH " + POSTINGS + "\nSELECT job_id, " + ", ".join(
+    f"CASE WHEN {c} IN {_NA} THEN NULL ELSE {c} END AS {c}" for c in TEXT_COLUMNS) + " FROM postings"

@@ -468,3 +468,48 @@ def q_train_classifier(spark, sf):
     frame = scored.select("job_id", F.col("skill_name").alias(V.TRUTH), majority.alias(V.BASELINE),
                           F.col("prediction_label").alias(V.FINETUNED))
     return V.compare_models(frame)
+
+
+# --- 8. pipeline and I/O -----------------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sinks import writers as W  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..sources.schema import POSTINGS_SCHEMA  # noqa: E402
+from . import preprocessing as PP  # noqa: E402
+
+
+@query("pipeline_summary")
+def q_pipeline_summary(spark, sf):
+    """AGG15: stage counts of the preprocessing job."""
+    postings = S.postings_from_documents(spark, sf)
+    cleaned = C.preprocess_postings(postings, MIN_WORDS)
+    training = L.build_training_dataset(cleaned, S.bridge_from_labels(spark, sf), S.skill_dimension(spark))
+    return PP.pipeline_summary(postings, cleaned, training, R.split_dataset(training))
+
+
+def _postings_csv(spark, sf) -> str:
+    path = scratch_path(spark, "postings-csv")
+    W.write_table(S.postings_from_documents(spark, sf), path, "csv")
+    return path
+
+
+@query("ingest_csv")
+def q_ingest_csv(spark, sf):
+    """SRC1 + SNK1: postings written as CSV (quoted newlines, doubled
+    quotes) and read back with the declared schema and NA tokens."""
+    return FS.read_csv(spark, _postings_csv(spark, sf), POSTINGS_SCHEMA)
+
+
+@query("sniff_files")
+def q_sniff_files(spark, sf):
+    """SRC2-4: formats of the files of a written CSV folder."""
+    return FS.sniff_files(spark, _postings_csv(spark, sf), "*.csv").select("format", "length")
+
+
+@query("run_manifest")
+def q_run_manifest(spark, sf):
+    """SNK4: run record with parameters and stage counts."""
+    postings = S.postings_from_documents(spark, sf)
+    counts = postings.agg(F.count("*").alias("original_postings"))
+    return W.run_manifest(spark, {"min_description_words": MIN_WORDS, "sf_dir": sf}, counts).drop("created_at")
