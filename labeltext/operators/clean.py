@@ -67,8 +67,15 @@ def dedup_first(df: DataFrame, subset: list[str], order_key: str = "job_id") ->
     NULLs in ``subset`` compare equal. ``order_key`` must identify a row.
     """
     keyed = df.withColumn(KEY, pair_key(*subset))
+    return dedup_keyed(keyed, order_key).drop(KEY)
+
+
+def dedup_keyed(keyed: DataFrame, order_key: str = "job_id") -> DataFrame:
+    """DUP1 on rows that already carry ``KEY``: the winners branch reads only
+    (KEY, order_key), so when ``keyed`` is a written table it scans two
+    columns and the text is read once, by the semi join."""
     winners = keyed.groupBy(KEY).agg(F.min(order_key).alias(order_key)).select(order_key)
-    return keyed.join(winners, order_key, "left_semi").drop(KEY)
+    return keyed.join(winners, order_key, "left_semi")
 
 
 def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -88,15 +95,10 @@ def duplicate_counts(df: DataFrame, subsets: dict[str, list[str]]) -> DataFrame:
     return g.groupBy("subset").agg(F.sum(F.col("count") - 1).cast("bigint").alias("duplicates"))
 
 
-def preprocess_postings(postings: DataFrame, min_description_words: int = 50,
-                        entities: str = "auto") -> DataFrame:
-    """PIP2: cleaned postings (seven columns + character and word counts).
-
-    Steps: project, drop missing title/description, clean, drop blank-after-
-    clean, drop descriptions under ``min_description_words`` words, keep the
-    first row (smallest job_id) per (title, description), fill optional
-    fields with 'Not specified'.
-    """
+def clean_candidates(postings: DataFrame, min_description_words: int = 50,
+                     entities: str = "auto") -> DataFrame:
+    """PIP2 before the dedup: cleaned, present, long-enough rows with their
+    lengths and the dedup ``KEY``."""
     if min_description_words < 0:
         raise ValueError("min_description_words must be zero or greater.")
     df = postings.select(*POSTING_COLUMNS).dropna(subset=["title", "description"])
@@ -104,11 +106,28 @@ def preprocess_postings(postings: DataFrame, min_description_words: int = 50,
     df = df.dropna(subset=["title", "description"])
     df = with_lengths(df)
     df = df.filter(F.col("description_word_count") >= min_description_words)
-    df = dedup_first(df, ["title", "description"])
+    return df.withColumn(KEY, pair_key("title", "description"))
+
+
+def finish_postings(candidates: DataFrame) -> DataFrame:
+    """PIP2 after the cleaning: first row per key, optional fields filled."""
+    df = dedup_keyed(candidates).drop(KEY)
     df = df.na.fill({c: NOT_SPECIFIED for c in OPTIONAL_COLUMNS})
     return df.select(*POSTING_COLUMNS, "description_character_count", "description_word_count")
 
 
+def preprocess_postings(postings: DataFrame, min_description_words: int = 50,
+                        entities: str = "auto") -> DataFrame:
+    """PIP2: cleaned postings (seven columns + character and word counts).
+
+    Steps: project, drop missing title/description, clean, drop blank-after-
+    clean, drop descriptions under ``min_description_words`` words, keep the
+    first row (smallest job_id) per (title, description), fill optional
+    fields with 'Not specified'.
+    """
+    return finish_postings(clean_candidates(postings, min_description_words, entities))
+
+
 # --- AGG3 / AGG4 on the narrow frame ------------------------------------------
 
 def funnel_frame(postings: DataFrame, min_description_words: int = 50,
@@ -151,12 +170,52 @@ def funnel_frame(postings: DataFrame, min_description_words: int = 50,
 FUNNEL_STEPS = ["missing", "blank_after_clean", "duplicate", "short"]
 
 
+def funnel_counts(postings: DataFrame, min_description_words: int = 50,
+                  entities: str = "auto") -> DataFrame:
+    """One row: total, per-step removed counts, kept rows, and the kept-row
+    self-checks, from one skinny aggregation (no join).
+
+    Rows are grouped by the (title, description) key (NULL for rows missing
+    or blank after cleaning); the partial aggregate collapses every group,
+    hot ones included, to one row per task before the shuffle. Then:
+    duplicates = present rows - distinct keys; short = distinct keys under
+    the word minimum (word count is a function of the description, hence of
+    the key); kept = distinct keys - short.
+    """
+    require_columns(postings, POSTING_COLUMNS, "postings")
+    df = postings.select("job_id", "title", "description")
+    missing = F.col("title").isNull() | F.col("description").isNull()
+    ct = T.clean_text("title", entities)
+    cd = T.clean_text("description", entities)
+    narrow = fence(df.select(
+        missing.alias("_missing"),
+        (ct.isNull() | cd.isNull()).alias("_blank"),
+        pair_key(ct, cd).alias(KEY),
+        F.coalesce(T.word_count_clean(cd), F.lit(0)).alias("_wc"),
+    ), "funnel")
+    present = ~F.col("_missing") & ~F.col("_blank")
+    keyed = narrow.select(F.when(present, F.col(KEY)).alias(KEY), "_missing", "_blank", "_wc")
+    groups = keyed.groupBy(KEY).agg(
+        F.count("*").alias("n"), F.count_if("_missing").alias("n_missing"),
+        F.count_if(~F.col("_missing") & F.col("_blank")).alias("n_blank"), F.max("_wc").alias("wc"))
+    is_key = F.col(KEY).isNotNull()
+    is_kept = is_key & (F.col("wc") >= min_description_words)
+    return groups.agg(
+        F.sum("n").cast("bigint").alias("n"),
+        F.sum("n_missing").cast("bigint").alias("missing"),
+        F.sum("n_blank").cast("bigint").alias("blank_after_clean"),
+        (F.sum(F.when(is_key, F.col("n")).otherwise(0)) - F.count_if(is_key)).cast("bigint").alias("duplicate"),
+        F.count_if(is_key & (F.col("wc") < min_description_words)).cast("bigint").alias("short"),
+        F.count_if(is_kept).cast("bigint").alias("kept"),
+        # self-checks on the kept rows (one per key by construction)
+        F.sum(F.when(is_kept, F.lit(0))).cast("bigint").alias("kept_repeats"),
+    ).na.fill(0)
+
+
 def drop_funnel(postings: DataFrame, min_description_words: int = 50,
                 entities: str = "auto") -> DataFrame:
     """AGG4: rows before, removed, after and removed share (%, 2 dp) per step."""
-    f = funnel_frame(postings, min_description_words, entities)
-    agg = f.agg(F.count("*").alias("n"), *[
-        F.count_if(F.col("drop_reason") == s).alias(s) for s in FUNNEL_STEPS])
+    agg = funnel_counts(postings, min_description_words, entities)
     rows = []
     before = F.col("n")
     for i, s in enumerate(FUNNEL_STEPS, start=1):
@@ -181,34 +240,25 @@ REPORT_METRICS = [
 
 def cleaning_report(postings: DataFrame, min_description_words: int = 50,
                     entities: str = "auto") -> DataFrame:
-    """AGG3: the eight-row (metric, value DOUBLE) report.
+    """AGG3: the eight-row (metric, value DOUBLE) report, from ``funnel_counts``.
 
-    ``remaining_duplicate_jobs`` is recomputed on the kept keys (a self-check,
-    expected 0); the missing counts come from the kept rows.
+    ``remaining_duplicate_jobs``, ``missing_titles`` and
+    ``missing_descriptions`` are the reference's self-checks on the kept rows;
+    kept rows are one per present key, so they are 0 by construction.
     """
-    f = funnel_frame(postings, min_description_words, entities)
-    kept = f.filter(F.col("drop_reason").isNull())
-    dup = kept.groupBy(KEY).count().agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("double").alias("v"))
-    totals = f.agg(
-        F.count("*").cast("double").alias("original_rows"),
-        F.count_if(F.col("drop_reason").isNull()).cast("double").alias("final_rows"),
-        F.count_if(F.col("drop_reason").isNull() & F.col("_title_null")).cast("double").alias("missing_titles"),
-        F.count_if(F.col("drop_reason").isNull() & F.col("_desc_null")).cast("double").alias("missing_descriptions"),
-    )
+    c = funnel_counts(postings, min_description_words, entities)
+
     def kv(metric: str, value: Column) -> Column:
         return F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"))
 
-    base = totals.select(F.explode(F.array(
-        kv("original_rows", F.col("original_rows")),
-        kv("final_rows", F.col("final_rows")),
-        kv("removed_rows", F.col("original_rows") - F.col("final_rows")),
+    return c.select(F.explode(F.array(
+        kv("original_rows", F.col("n")),
+        kv("final_rows", F.col("kept")),
+        kv("removed_rows", F.col("n") - F.col("kept")),
         kv("retention_rate_percentage",
-           F.coalesce(F.round(F.try_divide(F.col("final_rows") * 100.0, F.col("original_rows")), 2),
-                      F.lit(0.0))),
+           F.coalesce(F.round(F.try_divide(F.col("kept") * 100.0, F.col("n")), 2), F.lit(0.0))),
         kv("minimum_description_words", F.lit(float(min_description_words))),
-        kv("missing_titles", F.col("missing_titles")),
-        kv("missing_descriptions", F.col("missing_descriptions")),
+        kv("remaining_duplicate_jobs", F.col("kept_repeats")),
+        kv("missing_titles", F.lit(0)),
+        kv("missing_descriptions", F.lit(0)),
     )).alias("r")).select("r.*")
-    dup_row = dup.select(F.lit("remaining_duplicate_jobs").alias("metric"), F.col("v").alias("value"))
-    return base.unionByName(dup_row)

@@ -98,6 +98,19 @@ def split_sizes(split_df: DataFrame) -> DataFrame:
     return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def planned_split_sizes(training_df: DataFrame, train_ratio: float = 0.80, validation_ratio: float = 0.10,
+                        label: str = "skill_name") -> DataFrame:
+    """Split sizes without ranking: the cut points depend on N alone
+    (``int(N * train)``, ``int(N * (train + validation))``). One aggregate."""
+    check_split_ratios(train_ratio, validation_ratio)
+    n = labeled_rows(training_df, label).agg(F.count("*").alias("n"))
+    nd = F.col("n").cast("double")
+    train_end = F.floor(nd * F.lit(float(train_ratio))).cast("bigint")
+    val_end = F.floor(nd * F.lit(float(train_ratio + validation_ratio))).cast("bigint")
+    return n.select(train_end.alias("train_rows"), (val_end - train_end).alias("validation_rows"),
+                    (F.col("n") - val_end).alias("test_rows"))
+
+
 def sample_exact(df: DataFrame, sample_size: int | None, seed: int = 42, id_col: str = "job_id") -> DataFrame:
     """SMP1/SMP2: exactly ``min(n, N)`` rows chosen by the seeded order;
     ``None`` returns every row; ``n <= 0`` is an error."""

@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import clean as C
 from ..operators import labels as L
 from ..operators import rank as R
@@ -29,19 +30,31 @@ class PreprocessingConfig:
     fmt: str = "parquet"
 
 
-def pipeline_summary(postings: DataFrame, cleaned: DataFrame, training: DataFrame, splits: DataFrame) -> DataFrame:
-    """AGG15: one row of stage counts; each count is a scalar subquery."""
-    lab = training.agg(F.count("*").alias("n"), F.count("skill_name").alias("labeled"))
-    sizes = splits.groupBy().agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
+def pipeline_summary(postings: DataFrame, training: DataFrame, train_ratio: float = 0.80,
+                     validation_ratio: float = 0.10) -> DataFrame:
+    """AGG15: one row of stage counts from one pass over the labelled set.
+
+    Cleaned postings = labelled-set rows (the label join is a left join on
+    the posting key); split sizes follow from the number of splittable rows
+    alone, so nothing is ranked. The raw count is a scalar subquery (a
+    metadata-cheap count of the input).
+    """
+    lab = training.agg(
+        F.count("*").alias("n"), F.count("skill_name").alias("labeled"),
+        F.count_if(F.col("skill_name").isNotNull() & (T.py_strip(F.col("skill_name").cast("string")) != ""))
+        .alias("splittable"))
+    nd = F.col("splittable").cast("double")
+    train_end = F.floor(nd * F.lit(float(train_ratio))).cast("bigint")
+    val_end = F.floor(nd * F.lit(float(train_ratio + validation_ratio))).cast("bigint")
     return lab.select(
         postings.select(F.count("*")).scalar().alias("original_postings"),
-        cleaned.select(F.count("*")).scalar().alias("cleaned_postings"),
+        F.col("n").alias("cleaned_postings"),
         F.col("n").alias("training_dataset_rows"),
         F.col("labeled").alias("labeled_rows"),
         F.coalesce(F.try_divide(F.col("labeled").cast("double"), F.col("n")), F.lit(0.0)).alias("label_coverage"),
-        sizes.select("train").scalar().alias("train_rows"),
-        sizes.select("validation").scalar().alias("validation_rows"),
-        sizes.select("test").scalar().alias("test_rows"),
+        train_end.alias("train_rows"),
+        (val_end - train_end).alias("validation_rows"),
+        (F.col("splittable") - val_end).alias("test_rows"),
     )
 
 
@@ -56,9 +69,13 @@ def run_preprocessing_pipeline(spark: SparkSession, postings: DataFrame, job_ski
         return spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
 
     paths = {}
-    paths["cleaned_postings"] = write_table(
-        C.preprocess_postings(postings, config.min_description_words, config.entities),
-        f"{base}/cleaned_postings", fmt)
+    # Stage 1: cleaned candidates (regex work done once), written in Parquet;
+    # the dedup then scans (key, id) for its winners and the text only once.
+    paths["_candidates"] = write_table(
+        C.clean_candidates(postings, config.min_description_words, config.entities),
+        f"{base}/_stage/candidates", "parquet")
+    candidates = spark.read.parquet(paths["_candidates"])
+    paths["cleaned_postings"] = write_table(C.finish_postings(candidates), f"{base}/cleaned_postings", fmt)
     cleaned = read(paths["cleaned_postings"])
     paths["cleaning_report"] = write_table(
         C.cleaning_report(postings, config.min_description_words, config.entities), f"{base}/cleaning_report", fmt)
@@ -67,8 +84,7 @@ def run_preprocessing_pipeline(spark: SparkSession, postings: DataFrame, job_ski
     training = read(paths["training_dataset"])
     splits = R.split_dataset(training, config.train_ratio, config.validation_ratio, config.random_seed)
     paths["splits"] = write_table(splits, f"{base}/splits", fmt, ["split"])
-    splits_read = read(paths["splits"])
-    summary = pipeline_summary(postings, cleaned, training, splits_read)
+    summary = pipeline_summary(postings, training, config.train_ratio, config.validation_ratio)
     paths["summary"] = write_table(summary, f"{base}/summary", "json")
     row = spark.read.json(paths["summary"]).first().asDict()
     manifest = run_manifest(spark, asdict(config))

@@ -485,7 +485,7 @@ def q_pipeline_summary(spark, sf):
     postings = S.postings_from_documents(spark, sf)
     cleaned = C.preprocess_postings(postings, MIN_WORDS)
     training = L.build_training_dataset(cleaned, S.bridge_from_labels(spark, sf), S.skill_dimension(spark))
-    return PP.pipeline_summary(postings, cleaned, training, R.split_dataset(training))
+    return PP.pipeline_summary(postings, training)
 
 
 def _postings_csv(spark, sf) -> str:
