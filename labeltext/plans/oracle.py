@@ -347,6 +347,7 @@ SELECT model, round(sum(tp) / sum(support), 10) AS accuracy, round(avg(precision
        round(avg(recall), 10) AS recall, round(avg(f1), 10) AS f1, CAST(sum(support) AS BIGINT) AS samples
 FROM pcm GROUP BY model"""
 ORACLE["compare_models"] = "WITH " + PREDICTIONS + "\nSELECT * FROM weighted"
+ORACLE["evaluate_predictions"] = ORACLE["compare_models"]
 ORACLE["metric_long"] = "WITH " + PREDICTIONS + """
 SELECT model, 'accuracy' AS metric, accuracy AS value FROM weighted
 UNION ALL SELECT model, 'precision', precision FROM weighted
@@ -465,7 +466,7 @@ ORACLE["batch_predict"] = "WITH " + LABELLED_DOCS + f""",
 i AS (SELECT job_id, {_prompt('title', 'description')} AS x FROM ldocs)
 SELECT job_id, {_ACCENT.format(x='x')} AS prediction FROM i"""
 
-ORACLE["inference_job"] = "WITH " + LABELLED_DOCS + """,
+INFERENCE = LABELLED_DOCS + """,
 e AS (SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + """ AS title,
              """ + Q.strip("coalesce(CAST(description AS VARCHAR), '')") + """ AS description,
              """ + Q.strip("coalesce(CAST(skill_name AS VARCHAR), '')") + """ AS skill_name
@@ -474,9 +475,12 @@ e2 AS (SELECT job_id, title, description, """ + _prompt("title", "description")
        FROM e WHERE title <> '' OR description <> ''),
 ev AS (SELECT * FROM e2 QUALIFY row_number() OVER (PARTITION BY instruction, skill_name ORDER BY job_id) = 1),
 s AS (SELECT * FROM (""" + _rank_sql("ev") + """) WHERE "rank" <= 20),
-p AS (SELECT job_id, skill_name, """ + _ACCENT.format(x="instruction") + """ AS prediction FROM s)
-SELECT job_id, skill_name, prediction,
-       lower(""" + Q.strip("skill_name") + ") = lower(" + Q.strip("prediction") + """) AS correct FROM p"""
+p AS (SELECT job_id, title, skill_name, """ + _ACCENT.format(x="instruction") + """ AS prediction FROM s),
+inferred AS (SELECT job_id, title, skill_name, prediction,
+       lower(""" + Q.strip("skill_name") + ") = lower(" + Q.strip("prediction") + """) AS correct FROM p)"""
+ORACLE["inference_job"] = "WITH " + INFERENCE + "\nSELECT job_id, skill_name, prediction, correct FROM inferred"
+ORACLE["prediction_preview"] = "WITH " + INFERENCE + """
+SELECT job_id, substring(title, 1, 60) AS title, skill_name, prediction, correct FROM inferred"""
 
 # --- pipeline and I/O ----------------------------------------------------------
 

@@ -453,6 +453,15 @@ def q_inference_job(spark, sf):
     return I.inference_job(ev, I.AccentPredictor, 20, 42).select("job_id", "skill_name", "prediction", "correct")
 
 
+@query("prediction_preview")
+def q_prediction_preview(spark, sf):
+    """STR11 / TOP4: the inference sample as displayed, titles cut to 60
+    characters (the stored results keep the whole title)."""
+    ev = X.load_eval_set(_labelled_docs(spark, sf))
+    out = I.inference_job(ev, I.AccentPredictor, 20, 42)
+    return out.select("job_id", F.substring("title", 1, 60).alias("title"), "skill_name", "prediction", "correct")
+
+
 @query("train_classifier")
 def q_train_classifier(spark, sf):
     """TRN1: TF-IDF + logistic regression on the train split of documents
@@ -507,6 +516,21 @@ def q_sniff_files(spark, sf):
     return FS.sniff_files(spark, _postings_csv(spark, sf), "*.csv").select("format", "length")
 
 
+@query("evaluate_predictions")
+def q_evaluate_predictions(spark, sf):
+    """EVL1 + SNK2: prediction file written as CSV under the reference's
+    column names, evaluated by the job; the written metrics table."""
+    from . import evaluation as EJ
+
+    src = scratch_path(spark, "predictions-csv")
+    frame = _predictions(spark, sf).select(
+        "job_id", "title", *[F.col(new).alias(old) for old, new in EJ.FILE_COLUMNS.items()])
+    W.write_table(frame, src, "csv")
+    schema = "job_id BIGINT, title STRING, " + ", ".join(f"`{c}` STRING" for c in EJ.FILE_COLUMNS)
+    paths = EJ.evaluation_job(spark, src, scratch_path(spark, "evaluation"), schema)
+    return spark.read.parquet(paths["metrics"])
+
+
 @query("run_manifest")
 def q_run_manifest(spark, sf):
     """SNK4: run record with parameters and stage counts."""
