@@ -1,18 +1,29 @@
 """Seeded total order without a single-partition sort: RNK1 (global_rank),
 SPL1-2 (exact train/validation/test cut), SMP1-2 (exact sample).
 
-global_rank
------------
-Each row gets ``h = md5('<seed>:<id>')``; the order is (h, id). Rows are
-bucketed by the first ``bucket_digits`` hex digits of h (at most 16**digits
-buckets, 65,536 by default). Bucket sizes are counted (partial aggregation,
-one row per bucket per task), their running sums taken on that bounded table,
-and the offsets broadcast (size proven by the bucket count). Ranks inside a
-bucket come from ``row_number`` over a window partitioned by bucket: md5 is
-uniform, so buckets are even and no task sees more than ~N/65,536 rows per
-bucket. All of this runs on (id, h) only; the rank is then joined to the rows
-on the id, which reuses the rows' partitioning when they are already hashed
-by id (as after the label join).
+The order
+---------
+Each row gets ``h = md5('<seed>:<id>')``; the order is (h, id). Rows fall in
+buckets by the first ``bucket_digits`` hex digits of h (at most 16**digits
+buckets, 65,536 by default). Bucket sizes are counted (partial aggregation:
+one row per bucket per task before the shuffle) and their running sums taken
+on that bounded table, which is then broadcast (size proven by the bucket
+count, about 2 MB at 4 digits). md5 is uniform, so buckets are even.
+
+Cutting by rank (split, sample)
+-------------------------------
+Labels that depend only on (rank, N) and are monotone in rank -- the split
+name, "in the first n" -- are constant over every bucket except those that
+straddle a cut point. Such buckets (at most one per cut) are the only rows
+ranked: they are filtered out, shuffled by bucket and numbered with
+``row_number``; every other row takes its label from its bucket's offset, in
+the map stage, with no shuffle of the rows at all. So the exact 80/10/10 cut
+costs one skinny aggregate plus a window over ~2/65,536 of the rows.
+
+Full rank (RNK1)
+----------------
+Every row needs its number, so rows are shuffled once by bucket and numbered
+inside it (no join back on the id).
 
 The id must identify a row. The permutation differs from NumPy's; sizes,
 disjointness, coverage and repeatability are the contract.
@@ -20,43 +31,74 @@ disjointness, coverage and repeatability are the contract.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .validate import check_split_ratios, require_columns
 
 RANK = "rank"
 TOTAL = "total_rows"
+_H, _B, _C, _OFF, _RN = "_h", "_b", "_c", "_off", "_rn"
 
 
 def order_hash(id_col: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def rank_table(df: DataFrame, id_col: str = "job_id", seed: int = 42, bucket_digits: int = 4) -> DataFrame:
-    """(id, rank, total_rows) for every row of ``df``, rank in 1..N."""
+def _keyed(df: DataFrame, id_col: str, seed: int, bucket_digits: int) -> DataFrame:
     if not 1 <= bucket_digits <= 6:
         raise ValueError("bucket_digits must be between 1 and 6")
-    keyed = df.select(F.col(id_col), order_hash(id_col, seed).alias("_h"))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, bucket_digits))
-    counts = keyed.groupBy("_b").agg(F.count("*").alias("_c"))
-    # Bounded table (<= 16**bucket_digits rows): a global window is fine here.
-    whole = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_b",
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-        F.sum("_c").over(whole).alias(TOTAL),
+    return df.withColumn(_H, order_hash(id_col, seed)).withColumn(_B, F.substring(_H, 1, bucket_digits))
+
+
+def bucket_offsets(keyed: DataFrame) -> DataFrame:
+    """(_b, _c, _off, total_rows): rows per bucket, rows in earlier buckets,
+    and N. At most 16**digits rows, so the global windows here are cheap."""
+    counts = keyed.groupBy(_B).agg(F.count("*").alias(_C))
+    whole = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        _B, _C,
+        F.coalesce(F.sum(_C).over(before), F.lit(0)).alias(_OFF),
+        F.sum(_C).over(whole).alias(TOTAL),
     )
-    within = Window.partitionBy("_b").orderBy("_h", id_col)
-    local = keyed.withColumn("_rn", F.row_number().over(within))
-    ranked = local.join(F.broadcast(offsets), "_b")
-    return ranked.select(id_col, (F.col("_off") + F.col("_rn")).cast("bigint").alias(RANK), F.col(TOTAL))
+
+
+def rank_table(df: DataFrame, id_col: str = "job_id", seed: int = 42, bucket_digits: int = 4) -> DataFrame:
+    """(id, rank, total_rows) for every row of ``df``, rank in 1..N."""
+    return global_rank(df.select(id_col), id_col, seed, bucket_digits)
 
 
 def global_rank(df: DataFrame, id_col: str = "job_id", seed: int = 42, bucket_digits: int = 4) -> DataFrame:
     """RNK1: ``df`` plus ``rank`` (1..N in the seeded order) and ``total_rows``."""
-    return df.join(rank_table(df, id_col, seed, bucket_digits), id_col)
+    keyed = _keyed(df, id_col, seed, bucket_digits)
+    offsets = F.broadcast(bucket_offsets(keyed).select(_B, _OFF, TOTAL))
+    within = Window.partitionBy(_B).orderBy(_H, id_col)
+    ranked = keyed.withColumn(_RN, F.row_number().over(within)).join(offsets, _B)
+    return ranked.select(*df.columns, (F.col(_OFF) + F.col(_RN)).cast("bigint").alias(RANK), F.col(TOTAL))
+
+
+def cut_by_rank(df: DataFrame, label_of: Callable[[Column, Column], Column], out_col: str,
+                id_col: str = "job_id", seed: int = 42, bucket_digits: int = 4) -> DataFrame:
+    """``df`` plus ``out_col = label_of(rank, total_rows)`` without ranking
+    every row. ``label_of`` must be non-NULL and monotone in rank (a step
+    function), so a bucket whose first and last rank share a label is
+    uniform. Only buckets that straddle a step are ranked."""
+    keyed = _keyed(df, id_col, seed, bucket_digits)
+    off = bucket_offsets(keyed)
+    first = label_of(F.col(_OFF) + 1, F.col(TOTAL))
+    last = label_of(F.col(_OFF) + F.col(_C), F.col(TOTAL))
+    table = F.broadcast(off.select(_B, _OFF, TOTAL, first.alias("_first"), (first == last).alias("_uniform")))
+    joined = keyed.join(table, _B)
+    uniform = joined.filter(F.col("_uniform")).withColumn(out_col, F.col("_first"))
+    within = Window.partitionBy(_B).orderBy(_H, id_col)
+    edge = (joined.filter(~F.col("_uniform"))
+            .withColumn(_RN, F.row_number().over(within))
+            .withColumn(out_col, label_of(F.col(_OFF) + F.col(_RN), F.col(TOTAL)))
+            .drop(_RN))
+    return uniform.unionByName(edge).select(*df.columns, out_col)
 
 
 def labeled_rows(training_df: DataFrame, label: str = "skill_name") -> DataFrame:
@@ -68,24 +110,34 @@ def labeled_rows(training_df: DataFrame, label: str = "skill_name") -> DataFrame
     return out.filter(F.col(label) != "")
 
 
+def split_label(train_ratio: float = 0.80, validation_ratio: float = 0.10) -> Callable[[Column, Column], Column]:
+    """Rank -> split name: cut points ``int(N * train)`` and
+    ``int(N * (train + validation))``, in DOUBLE like Python floats."""
+    def label(rank: Column, total: Column) -> Column:
+        n = total.cast("double")
+        train_end = F.floor(n * F.lit(float(train_ratio)))
+        val_end = F.floor(n * F.lit(float(train_ratio + validation_ratio)))
+        return (F.when(rank <= train_end, F.lit("train"))
+                .when(rank <= val_end, F.lit("validation"))
+                .otherwise(F.lit("test")))
+    return label
+
+
 def split_dataset(training_df: DataFrame, train_ratio: float = 0.80, validation_ratio: float = 0.10,
                   random_seed: int = 42, id_col: str = "job_id", label: str = "skill_name",
-                  keep_rank: bool = False) -> DataFrame:
+                  keep_rank: bool = False, bucket_digits: int = 4) -> DataFrame:
     """SPL1: one table with ``split`` in train/validation/test.
 
-    Cut points as ``int(N * train)`` and ``int(N * (train + validation))``,
-    computed in DOUBLE like Python floats.
+    Only the two buckets that hold a cut point are ranked (``cut_by_rank``);
+    ``keep_rank`` ranks every row instead and keeps ``rank``/``total_rows``.
     """
     check_split_ratios(train_ratio, validation_ratio)
-    ranked = global_rank(labeled_rows(training_df, label), id_col, random_seed)
-    n = F.col(TOTAL).cast("double")
-    train_end = F.floor(n * F.lit(float(train_ratio)))
-    val_end = F.floor(n * F.lit(float(train_ratio + validation_ratio)))
-    split = (F.when(F.col(RANK) <= train_end, F.lit("train"))
-             .when(F.col(RANK) <= val_end, F.lit("validation"))
-             .otherwise(F.lit("test")))
-    out = ranked.withColumn("split", split)
-    return out if keep_rank else out.drop(RANK, TOTAL)
+    rows = labeled_rows(training_df, label)
+    label_of = split_label(train_ratio, validation_ratio)
+    if keep_rank:
+        ranked = global_rank(rows, id_col, random_seed, bucket_digits)
+        return ranked.withColumn("split", label_of(F.col(RANK), F.col(TOTAL)))
+    return cut_by_rank(rows, label_of, "split", id_col, random_seed, bucket_digits)
 
 
 def split_sizes(split_df: DataFrame) -> DataFrame:
@@ -111,12 +163,13 @@ def planned_split_sizes(training_df: DataFrame, train_ratio: float = 0.80, valid
                     (F.col("n") - val_end).alias("test_rows"))
 
 
-def sample_exact(df: DataFrame, sample_size: int | None, seed: int = 42, id_col: str = "job_id") -> DataFrame:
+def sample_exact(df: DataFrame, sample_size: int | None, seed: int = 42, id_col: str = "job_id",
+                 bucket_digits: int = 4) -> DataFrame:
     """SMP1/SMP2: exactly ``min(n, N)`` rows chosen by the seeded order;
     ``None`` returns every row; ``n <= 0`` is an error."""
     if sample_size is None:
         return df
     if sample_size <= 0:
         raise ValueError("Sample size must be positive or None.")
-    ranked = global_rank(df, id_col, seed)
-    return ranked.filter(F.col(RANK) <= sample_size).drop(RANK, TOTAL)
+    marked = cut_by_rank(df, lambda rank, _total: rank <= F.lit(sample_size), "_in", id_col, seed, bucket_digits)
+    return marked.filter(F.col("_in")).drop("_in")

@@ -61,6 +61,21 @@ def test_split_is_partition_and_repeatable(spark):
     assert sorted(r.rank for r in ranks) == list(range(1, 1001))
 
 
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_cut_by_rank_equals_full_rank(spark, digits):
+    """Only straddling buckets are ranked; the labels must equal those of a
+    full rank, whatever the bucket size (1 digit: 16 buckets of ~60 rows)."""
+    df = spark.range(997).select(F.col("id").alias("job_id"), F.lit("x").alias("skill_name"))
+    cut = R.split_dataset(df, random_seed=3, bucket_digits=digits).select("job_id", "split")
+    full = R.split_dataset(df, random_seed=3, keep_rank=True, bucket_digits=digits).select("job_id", "split")
+    assert sorted(cut.collect()) == sorted(full.collect())
+    ranked = R.global_rank(df, "job_id", 3, digits)
+    for n in (1, 59, 60, 61, 500, 997):
+        want = {r.job_id for r in ranked.filter(F.col("rank") <= n).collect()}
+        got = {r.job_id for r in R.sample_exact(df, n, 3, bucket_digits=digits).collect()}
+        assert got == want, n
+
+
 def test_sample_exact(spark):
     df = spark.range(50).select(F.col("id").alias("job_id"))
     assert R.sample_exact(df, 10).count() == 10
