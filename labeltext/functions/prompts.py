@@ -83,8 +83,11 @@ def whitespace_tokens(col: Column | str) -> Column:
 
 def truncate_tokens(col: Column | str, max_tokens: int = MAX_DESCRIPTION_TOKENS) -> Column:
     """PRM4: keep the first ``max_tokens`` whitespace tokens (decoded with
-    single spaces)."""
-    return F.array_join(F.slice(whitespace_tokens(col), 1, max_tokens), " ")
+    single spaces). After whitespace runs become one space, the cut is the
+    text before the ``max_tokens``-th space: a byte scan, no token array."""
+    if max_tokens <= 0:
+        return F.when(_c(col).isNotNull(), F.lit(""))
+    return F.substring_index(T.py_strip(T.collapse_ws(_c(col))), " ", max_tokens)
 
 
 def hashed_ids(tokens: Column, vocab_size: int = 32000) -> Column:
@@ -126,8 +129,12 @@ def encode_columns(n: Column, prompt_len: Column, ids: Column, max_length: int =
     pad = F.lit(max_length) - n
     input_ids = F.concat(ids, F.array_repeat(F.lit(pad_id), pad))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), pad))
-    labels = F.transform(input_ids, lambda x, i: F.when((i < prompt_len) | (i >= n), F.lit(IGNORE_INDEX))
-                         .otherwise(x))
+    # -100 over the prompt, the answer ids, -100 over the padding: built from
+    # slices and repeats (no per-element lambda).
+    plen = F.least(prompt_len, n)
+    answer = F.slice(ids, plen + 1, n - plen)
+    labels = F.concat(F.array_repeat(F.lit(IGNORE_INDEX), plen), answer,
+                      F.array_repeat(F.lit(IGNORE_INDEX), pad))
     return F.struct(input_ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
 
 

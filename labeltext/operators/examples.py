@@ -48,13 +48,15 @@ def encode_examples(df: DataFrame, template: PR.ChatTemplate = PR.DEFAULT_TEMPLA
     full_text = template.render(PR.chat_messages(prompt, label), add_generation_prompt=False)
     staged = fence(df.select("*", prompt_text.alias("_prompt_text"), full_text.alias("_full_text")), "examples")
     if token_ids is None:
-        full_ids = PR.hashed_ids(PR.whitespace_tokens("_full_text"), vocab_size)
-        prompt_ids = PR.hashed_ids(PR.whitespace_tokens("_prompt_text"), vocab_size)
+        # only the first max_length tokens are hashed; the prompt needs its length only
+        full_ids = PR.hashed_ids(F.slice(PR.whitespace_tokens("_full_text"), 1, max_length), vocab_size)
+        prompt_len = F.size(PR.whitespace_tokens("_prompt_text"))
     else:
-        full_ids, prompt_ids = token_ids(F.col("_full_text")), token_ids(F.col("_prompt_text"))
+        full_ids = F.slice(token_ids(F.col("_full_text")), 1, max_length)
+        prompt_len = F.size(token_ids(F.col("_prompt_text")))
     ids = fence(staged.select(
-        *df.columns, F.slice(full_ids, 1, max_length).alias("_ids"),
-        F.least(F.size(prompt_ids), F.lit(max_length)).alias("_plen")), "token_ids")
+        *df.columns, full_ids.alias("_ids"),
+        F.least(prompt_len, F.lit(max_length)).alias("_plen")), "token_ids")
     sized = ids.select("*", F.size("_ids").alias("_n"))
     enc = PR.encode_columns(F.col("_n"), F.col("_plen"), F.col("_ids"), max_length)
     return sized.select(*df.columns, enc.alias("example")).select(*df.columns, "example.*")
