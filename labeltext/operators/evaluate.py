@@ -65,12 +65,23 @@ def confusion_counts(long_df: DataFrame) -> DataFrame:
 
 def per_class(counts: DataFrame) -> DataFrame:
     """Per model and class (union of truth and predicted classes): tp,
-    support, predicted, precision, recall, f1 (zero division -> 0)."""
-    truth_side = counts.groupBy("model", F.col("truth").alias("class")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("truth") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    pred_side = counts.groupBy("model", F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    j = truth_side.join(pred_side, ["model", "class"], "full").na.fill(0, ["support", "tp", "predicted"])
+    support, predicted, precision, recall, f1 (zero division -> 0).
+
+    Each count cell contributes to its truth class (support, tp) and to its
+    predicted class (predicted); both contributions come from one ``explode``
+    and are summed by one aggregation, so the union of classes needs no join.
+    """
+    zero = F.lit(0).cast("bigint")
+    n = F.col("n").cast("bigint")
+    sides = F.array(
+        F.struct(F.col("truth").alias("class"), n.alias("support"),
+                 F.when(F.col("truth") == F.col("prediction"), n).otherwise(zero).alias("tp"),
+                 zero.alias("predicted")),
+        F.struct(F.col("prediction").alias("class"), zero.alias("support"), zero.alias("tp"),
+                 n.alias("predicted")))
+    j = (counts.select("model", F.explode(sides).alias("s")).select("model", "s.*")
+         .groupBy("model", "class")
+         .agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted")))
 
     def ratio(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
