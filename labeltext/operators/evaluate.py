@@ -179,14 +179,21 @@ def sample_accuracy(df: DataFrame, correct: str = "finetuned_correct") -> DataFr
                   F.round(F.coalesce(F.avg(F.col(correct).cast("double")), F.lit(0.0)), DIGITS).alias("accuracy"))
 
 
+def prediction_results(df: DataFrame, truth: str = TRUTH, finetuned: str = FINETUNED,
+                       baseline: str | None = BASELINE, mode: str = "normalized") -> DataFrame:
+    """EVL1 first half: clean the prediction columns and build the row
+    results (EVL2)."""
+    require_columns(df, [truth, finetuned] + ([baseline] if baseline else []), "prediction DataFrame")
+    cleaned = clean_predictions(df, [finetuned] + ([baseline] if baseline else []))
+    return results_table(cleaned, truth, finetuned, baseline, mode)
+
+
 def evaluate_predictions(df: DataFrame, truth: str = TRUTH, finetuned: str = FINETUNED,
                          baseline: str | None = BASELINE, average: str = "weighted",
                          mode: str = "normalized") -> tuple[DataFrame, DataFrame]:
     """EVL1: clean the prediction columns, build row results and the model
     comparison. Returns (results, metrics)."""
-    require_columns(df, [truth, finetuned] + ([baseline] if baseline else []), "prediction DataFrame")
-    cleaned = clean_predictions(df, [finetuned] + ([baseline] if baseline else []))
-    results = results_table(cleaned, truth, finetuned, baseline, mode)
+    results = prediction_results(df, truth, finetuned, baseline, mode)
     models = {FINETUNED: MODEL_NAMES[FINETUNED]}
     if baseline:
         models = {BASELINE: MODEL_NAMES[BASELINE], **models}

@@ -277,7 +277,7 @@ def _predictions(spark, sf):
 
 
 def _results(spark, sf):
-    return V.evaluate_predictions(_predictions(spark, sf))[0]
+    return V.prediction_results(_predictions(spark, sf))
 
 
 @query("normalize_label")
