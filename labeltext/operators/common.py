@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def fence(df: DataFrame, label: str) -> DataFrame:
@@ -24,13 +25,24 @@ def fence(df: DataFrame, label: str) -> DataFrame:
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 256 << 20) -> DataFrame:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows
+    and about ``max_bytes`` of data.
 
-    The proof is one ``limit(max_rows + 1).count()`` job, which stops reading
-    once the bound is exceeded. Larger inputs are returned as they are and the
-    join shuffles (AQE may still pick a broadcast from runtime sizes).
+    The proof is one job over ``limit(max_rows + 1)``, which stops reading once
+    the row bound is exceeded; it counts the rows and sums the byte length of
+    the string and binary values (8 bytes for any other value). Larger inputs
+    are returned as they are and the join shuffles (AQE may still pick a
+    broadcast from runtime sizes).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    sizes = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            sizes.append(F.coalesce(F.sum(F.octet_length(F.col(f.name))), F.lit(0)))
+        else:
+            sizes.append(F.count("*") * F.lit(8))
+    total = sum(sizes[1:], sizes[0]) if sizes else F.lit(0)
+    row = df.limit(max_rows + 1).agg(F.count("*").alias("n"), total.alias("bytes")).first()
+    if row["n"] <= max_rows and row["bytes"] <= max_bytes:
         return F.broadcast(df)
     return df

@@ -103,3 +103,16 @@ def test_only_unmapped_codes_give_no_row(spark):
 def test_coverage_empty_is_zero(spark):
     df = spark.createDataFrame([], "job_id bigint, skill_name string")
     assert L.label_coverage(df).first().label_coverage == 0.0
+
+
+def test_sized_broadcast_checks_rows_and_bytes(spark):
+    from labeltext.operators.common import sized_broadcast
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+    small = spark.createDataFrame([("a", "x" * 10)] * 5, "k string, v string")
+    assert hinted(sized_broadcast(small, max_rows=5))
+    assert not hinted(sized_broadcast(small, max_rows=4))
+    assert not hinted(sized_broadcast(small, max_rows=10, max_bytes=40))
+    assert hinted(sized_broadcast(small, max_rows=10, max_bytes=60))
