@@ -141,10 +141,25 @@ def confusion_matrix(counts: DataFrame, model: str | None = None) -> DataFrame:
     return c.join(classes, ["model", "prediction"], "left_semi").select("model", "truth", "prediction", "n")
 
 
-def confusion_matrix_wide(long_cells: DataFrame, classes: list[str]) -> DataFrame:
-    """AGG12 (wide): rows truth, one column per class, zeros filled. The class
-    list is an argument (bounded by the number of classes)."""
-    return long_cells.groupBy("model", "truth").pivot("prediction", classes).agg(F.sum("n")).na.fill(0)
+def truth_classes(counts: DataFrame, max_classes: int = 10_000) -> list[str]:
+    """AGG12 labels: sorted distinct normalised truths. A driver-side list,
+    bounded by the number of classes (one column each in the wide form);
+    more than ``max_classes`` is an error: use the long form."""
+    rows = counts.select("truth").distinct().orderBy("truth").limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes: use the long confusion matrix")
+    return [r[0] for r in rows]
+
+
+def confusion_matrix_wide(counts: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """AGG12 (wide): one row per model and truth class, one column per class,
+    zeros filled. ``classes`` defaults to ``truth_classes(counts)``; giving
+    them saves the distinct job (the pivot never computes its own)."""
+    classes = classes if classes is not None else truth_classes(counts)
+    rows = counts.select("model", "truth").distinct().filter(F.col("truth").isin(classes))
+    cells = confusion_matrix(counts)
+    wide = cells.groupBy("model", "truth").pivot("prediction", classes).agg(F.sum("n").cast("bigint"))
+    return rows.join(wide, ["model", "truth"], "left").na.fill(0, classes)
 
 
 def classification_report(counts: DataFrame) -> DataFrame:

@@ -66,17 +66,26 @@ def batch_predict(df: DataFrame, make_predictor: Callable[[], Predictor], input_
 
 def inference_job(eval_set: DataFrame, make_predictor: Callable[[], Predictor], sample_size: int | None = 20,
                   seed: int = 42, batch_size: int = 2, id_col: str = "job_id", label: str = "skill_name",
-                  mode: str = "casefold") -> DataFrame:
+                  mode: str = "casefold", output_dir: str | None = None) -> DataFrame:
     """INF2: sample the evaluation set exactly, predict, clean, flag correct.
 
     The correct flag defaults to the inference script's rule (strip + lower).
+    With ``output_dir`` the samples are written there (SNK3,
+    ``prediction_samples``, Parquet) and the written table is returned, so the
+    predictor runs once however often the result is read.
     """
     sample = sample_exact(eval_set, sample_size, seed, id_col)
     if sample.isEmpty():
         raise ValueError("No test rows are available for inference.")
     preds = batch_predict(sample, make_predictor, "instruction", id_col, batch_size)
     out = sample.join(preds, id_col).withColumn("prediction", T.clean_prediction("raw_prediction"))
-    return out.withColumn("correct", T.labels_match(label, "prediction", mode)).drop("raw_prediction")
+    out = out.withColumn("correct", T.labels_match(label, "prediction", mode)).drop("raw_prediction")
+    if output_dir is None:
+        return out
+    from ..sinks.writers import write_table
+
+    path = write_table(out, f"{output_dir.rstrip('/')}/prediction_samples")
+    return out.sparkSession.read.parquet(path)
 
 
 def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "description",

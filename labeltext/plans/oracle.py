@@ -356,6 +356,13 @@ UNION ALL SELECT model, 'f1', f1 FROM weighted"""
 ORACLE["confusion_matrix"] = "WITH " + PREDICTIONS + """
 SELECT c.model, c.truth, c.prediction, c.n FROM counts c
 WHERE EXISTS (SELECT 1 FROM counts t WHERE t.model = c.model AND t.truth = c.prediction)"""
+ORACLE["confusion_matrix_wide"] = "WITH " + PREDICTIONS + """,
+cls AS (SELECT DISTINCT model, truth FROM counts),
+cells AS (SELECT c.model, c.truth, c.prediction, c.n FROM counts c
+          WHERE EXISTS (SELECT 1 FROM counts t WHERE t.model = c.model AND t.truth = c.prediction)),
+grid AS (SELECT a.model, a.truth, b.truth AS prediction, 0 AS n FROM cls a JOIN cls b ON a.model = b.model
+         UNION ALL SELECT model, truth, prediction, n FROM cells)
+PIVOT grid ON prediction USING CAST(sum(n) AS BIGINT) GROUP BY model, truth"""
 ORACLE["classification_report"] = "WITH " + PREDICTIONS + """
 SELECT model, class, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1,
        CAST(support AS BIGINT) AS support FROM pcm

@@ -352,6 +352,12 @@ def q_confusion_matrix(spark, sf):
     return V.confusion_matrix(V.confusion_counts(V.long_predictions(_results(spark, sf))))
 
 
+@query("confusion_matrix_wide")
+def q_confusion_matrix_wide(spark, sf):
+    """AGG12 (wide): rows truth, one column per truth class, both models."""
+    return V.confusion_matrix_wide(V.confusion_counts(V.long_predictions(_results(spark, sf))))
+
+
 @query("classification_report")
 def q_classification_report(spark, sf):
     """AGG13: per-class and summary rows for both models."""

@@ -118,3 +118,16 @@ def test_sniff_and_find_files(spark):
     assert len(found) == 2 and all(r.matches == 2 for r in found)
     chosen = [r.path for r in found if r.chosen]
     assert len(chosen) == 1 and chosen[0] == min(r.path for r in found)
+
+
+def test_inference_job_writes_samples(spark):
+    from labeltext.operators import examples as X
+    from labeltext.operators import infer as I
+
+    ev = X.load_eval_set(S.labelled_documents(spark, SF))
+    out = scratch_path(spark, "inference")
+    written = I.inference_job(ev, I.AccentPredictor, 20, 42, output_dir=out)
+    direct = I.inference_job(ev, I.AccentPredictor, 20, 42)
+    assert os.path.isdir(f"{out}/prediction_samples")
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, direct.collect()))
+    assert written.count() == 20
