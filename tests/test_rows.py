@@ -116,3 +116,20 @@ def test_sized_broadcast_checks_rows_and_bytes(spark):
     assert not hinted(sized_broadcast(small, max_rows=4))
     assert not hinted(sized_broadcast(small, max_rows=10, max_bytes=40))
     assert hinted(sized_broadcast(small, max_rows=10, max_bytes=60))
+
+
+def test_report_self_checks_hold_on_the_cleaned_table(spark):
+    """The report gives remaining duplicates and missing title/description as
+    0 by construction; recompute them on the real cleaned output."""
+    from labeltext.sources import tables as S
+
+    postings = S.postings_from_documents(spark, "/root/testdata/sf0.01")
+    cleaned = C.preprocess_postings(postings)
+    got = cleaned.agg(
+        (F.count("*") - F.count_distinct(C.pair_key("title", "description"))).alias("dups"),
+        F.count_if(F.col("title").isNull()).alias("t"), F.count_if(F.col("description").isNull()).alias("d"),
+        F.count("*").alias("n")).first()
+    rep = {r.metric: r.value for r in C.cleaning_report(postings).collect()}
+    assert (got.dups, got.t, got.d) == (0, 0, 0)
+    assert rep["remaining_duplicate_jobs"] == 0 and rep["missing_titles"] == 0
+    assert rep["final_rows"] == got.n
