@@ -2,11 +2,14 @@
 
 Scale notes
 -----------
-* Deduplication never shuffles text: rows are keyed by a 32-byte SHA-256 of
-  the (title, description) pair; ``groupBy(key).min(job_id)`` aggregates
-  map-side (a hot duplicate group collapses to one row per task before the
-  shuffle), and the full rows meet the winners in one ``left_semi`` join on
-  ``job_id``. ``job_id`` is the record key (unique per posting).
+* Deduplication groups on a 32-byte SHA-256 of the (title, description)
+  pair, never on the text, and keeps the whole row with the smallest
+  ``job_id`` per key (``min_by``) in one aggregation: the partial aggregate
+  collapses a hot duplicate group to one row per task before the shuffle,
+  the cleaning above it runs once, and the rows cross the network once.
+  (A winners-then-semi-join plan reads its input twice, and Spark cannot
+  share the two reads because column pruning makes them differ: measured
+  4.7 s against 2.6 s at sf0.1.) ``job_id`` is the record key.
 * The cleaning report and the drop funnel run on a narrow frame
   (id, key, flags, word count): their shuffles carry ~50 bytes per row.
 * The word-count filter runs before the dedup: duplicates share their
@@ -71,11 +74,16 @@ def dedup_first(df: DataFrame, subset: list[str], order_key: str = "job_id") ->
 
 
 def dedup_keyed(keyed: DataFrame, order_key: str = "job_id") -> DataFrame:
-    """DUP1 on rows that already carry ``KEY``: the winners branch reads only
-    (KEY, order_key), so when ``keyed`` is a written table it scans two
-    columns and the text is read once, by the semi join."""
-    winners = keyed.groupBy(KEY).agg(F.min(order_key).alias(order_key)).select(order_key)
-    return keyed.join(winners, order_key, "left_semi")
+    """DUP1 on rows that already carry ``KEY``: per key, the row with the
+    smallest ``order_key``, in one aggregation over the rows.
+
+    The buffer is a struct, so Spark aggregates by sorting (spillable); the
+    partial step keeps one row per key and task, so a hot group never reaches
+    the shuffle whole.
+    """
+    cols = [c for c in keyed.columns if c != KEY]
+    best = F.min_by(F.struct(*cols), F.col(order_key)).alias("_row")
+    return keyed.groupBy(KEY).agg(best).select("_row.*", KEY)
 
 
 def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> DataFrame:

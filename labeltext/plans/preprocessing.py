@@ -70,7 +70,7 @@ def run_preprocessing_pipeline(spark: SparkSession, postings: DataFrame, job_ski
 
     paths = {}
     # Stage 1: cleaned candidates (regex work done once), written in Parquet;
-    # the dedup then scans (key, id) for its winners and the text only once.
+    # the cleaned table, the report and the labels all start from files.
     paths["_candidates"] = write_table(
         C.clean_candidates(postings, config.min_description_words, config.entities),
         f"{base}/_stage/candidates", "parquet")
