@@ -135,10 +135,24 @@ def metric_long(metrics_df: DataFrame) -> DataFrame:
 def confusion_matrix(counts: DataFrame, model: str | None = None) -> DataFrame:
     """AGG12 / PLT1 (long, sparse): cells (truth, prediction, n) whose truth
     and prediction are both truth classes; absent cells are 0. Predictions
-    outside the truth classes are not counted."""
+    outside the truth classes are not counted.
+
+    One pass over the counts: each cell is filed under its predicted class,
+    and each truth marks its class as a truth class; grouping by (model,
+    class) then keeps the cells of marked classes. A group holds at most one
+    cell per truth class.
+    """
     c = counts if model is None else counts.filter(F.col("model") == model)
-    classes = c.select("model", F.col("truth").alias("prediction")).distinct()
-    return c.join(classes, ["model", "prediction"], "left_semi").select("model", "truth", "prediction", "n")
+    cell = F.struct(F.col("truth"), F.col("n"))
+    sides = F.array(
+        F.struct(F.col("truth").alias("class"), F.lit(True).alias("is_truth"), F.lit(None).cast(
+            "struct<truth:string,n:bigint>").alias("cell")),
+        F.struct(F.col("prediction").alias("class"), F.lit(False).alias("is_truth"), cell.alias("cell")))
+    g = (c.select("model", F.explode(sides).alias("s")).select("model", "s.*")
+         .groupBy("model", "class")
+         .agg(F.max("is_truth").alias("known"), F.collect_list("cell").alias("cells")))
+    return (g.filter("known").select("model", F.col("class").alias("prediction"), F.explode("cells").alias("c"))
+            .select("model", "c.truth", "prediction", "c.n"))
 
 
 def truth_classes(counts: DataFrame, max_classes: int = 10_000) -> list[str]:
@@ -153,13 +167,16 @@ def truth_classes(counts: DataFrame, max_classes: int = 10_000) -> list[str]:
 
 def confusion_matrix_wide(counts: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """AGG12 (wide): one row per model and truth class, one column per class,
-    zeros filled. ``classes`` defaults to ``truth_classes(counts)``; giving
-    them saves the distinct job (the pivot never computes its own)."""
+    zeros filled; predictions outside the classes are not counted.
+
+    One conditional aggregation over the counts: every truth class occurs as
+    a truth there, so each gets its row without a join. ``classes`` defaults
+    to ``truth_classes(counts)`` (one small job).
+    """
     classes = classes if classes is not None else truth_classes(counts)
-    rows = counts.select("model", "truth").distinct().filter(F.col("truth").isin(classes))
-    cells = confusion_matrix(counts)
-    wide = cells.groupBy("model", "truth").pivot("prediction", classes).agg(F.sum("n").cast("bigint"))
-    return rows.join(wide, ["model", "truth"], "left").na.fill(0, classes)
+    cells = [F.sum(F.when(F.col("prediction") == F.lit(c), F.col("n")).otherwise(F.lit(0))).cast("bigint").alias(c)
+             for c in classes]
+    return counts.filter(F.col("truth").isin(classes)).groupBy("model", "truth").agg(*cells)
 
 
 def classification_report(counts: DataFrame) -> DataFrame:
