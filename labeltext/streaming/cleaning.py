@@ -11,6 +11,8 @@ sink table.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,7 +37,8 @@ def start_cleaning_stream(spark: SparkSession, source_dir: str, schema: StructTy
     """readStream(source) -> clean -> writeStream parquet (append).
 
     The checkpoint defaults to a folder under the shared
-    ``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+    ``spark.checkpoint.dir`` named after the sink, so a restarted query
+    resumes where it stopped and two sinks never share one.
     """
     reader = spark.readStream.schema(schema).format(source_format)
     if source_format == "csv":
@@ -43,7 +46,9 @@ def start_cleaning_stream(spark: SparkSession, source_dir: str, schema: StructTy
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = clean_stream(reader.load(source_dir), min_description_words)
-    ckpt = checkpoint_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/cleaning"
+    # one checkpoint per sink: the same sink resumes, another sink never shares state
+    sink_tag = hashlib.sha1(sink_dir.rstrip("/").encode("utf-8")).hexdigest()[:16]
+    ckpt = checkpoint_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/cleaning-{sink_tag}"
     writer = (stream.writeStream.format("parquet").option("path", sink_dir)
               .option("checkpointLocation", ckpt).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

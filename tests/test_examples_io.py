@@ -160,3 +160,15 @@ def test_partition_invariance(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_streaming_default_checkpoint_is_per_sink(spark):
+    src = scratch_path(spark, "stream-src2")
+    schema = ("job_id bigint, company_name string, title string, description string, location string, "
+              "formatted_work_type string, formatted_experience_level string")
+    spark.createDataFrame([(1, "c", "T", "w " * 60, "l", "a", "b")], schema).write.parquet(src)
+    sinks = [scratch_path(spark, "stream-sink-a"), scratch_path(spark, "stream-sink-b")]
+    for sink in sinks:
+        q = SC.start_cleaning_stream(spark, src, spark.read.parquet(src).schema, sink, available_now=True)
+        q.awaitTermination(120)
+        assert spark.read.parquet(sink).count() == 1
