@@ -133,3 +133,16 @@ def test_report_self_checks_hold_on_the_cleaned_table(spark):
     assert (got.dups, got.t, got.d) == (0, 0, 0)
     assert rep["remaining_duplicate_jobs"] == 0 and rep["missing_titles"] == 0
     assert rep["final_rows"] == got.n
+
+
+def test_dedup_hot_group_is_pre_aggregated(spark):
+    """A third of all rows share one (title, description): the winner is the
+    smallest id, and the plan aggregates partially before the shuffle."""
+    n = 3000
+    rows = [(i, "hot", "same text") if i % 3 == 0 else (i, f"t{i}", f"d{i}") for i in range(n, 0, -1)]
+    df = spark.createDataFrame(rows, "job_id bigint, title string, description string").repartition(6)
+    out = C.dedup_first(df, ["title", "description"])
+    got = {r.job_id for r in out.filter(F.col("title") == "hot").collect()}
+    assert got == {3} and out.count() == n - n // 3 + 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan
