@@ -172,3 +172,15 @@ def test_streaming_default_checkpoint_is_per_sink(spark):
         q = SC.start_cleaning_stream(spark, src, spark.read.parquet(src).schema, sink, available_now=True)
         q.awaitTermination(120)
         assert spark.read.parquet(sink).count() == 1
+
+
+def test_global_rank_shuffles_rows_once(spark):
+    df = spark.range(2000).select(F.col("id").alias("job_id"), F.lit("x").alias("payload"))
+    plan = _plan(R.global_rank(df, "job_id", 5))
+    # rows are exchanged by bucket for the window; the offsets are broadcast;
+    # there is no join back on the id
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    hashed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("_b" in line for line in hashed), hashed
+    ranks = sorted(r.rank for r in R.global_rank(df, "job_id", 5).collect())
+    assert ranks == list(range(1, 2001))
