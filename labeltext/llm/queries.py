@@ -3,16 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labeltext.llm import neardup
+from labeltext.llm import hosttrust, neardup, slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the url query: verdict, host, path prefix.
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op1_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosttrust.judge_urls(_table(spark, sf_dir, "pages"), RULES).drop("url")
+
+
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = slots.assign(_table(spark, sf_dir, "documents"), shards=16)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+    )
+
+
 def op4_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op4_superminhash_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_host_trust, op3_virtual_slots, op4_superminhash_dedup)}
