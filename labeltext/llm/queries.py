@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import hosttrust, neardup, slots
+from labeltext.llm import decontaminate, hosttrust, langid, neardup, pii, slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosttrust.judge_urls(_table(spark, sf_dir, "pages"), RULES).drop("url")
 
 
+def op2_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = slots.assign(_table(spark, sf_dir, "documents"), shards=16)
     return out.select(
@@ -38,4 +43,27 @@ def op4_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_host_trust, op3_virtual_slots, op4_superminhash_dedup)}
+LANGUAGES = ("en", "fr", "de", "es")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: the markup's lang attribute, the address's ending and its host
+    join the text; the text model comes from labelled documents."""
+    model = langid.fit(_table(spark, sf_dir, "documents"), LANGUAGES)
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = langid.identify(
+        pages, model, LANGUAGES, text=langid.visible_text(F.col("html")), declared=langid.markup_language(F.col("html")), host=hosttrust.host_of(F.col("url"))
+    )
+    return out.select("page_id", "url", "language", "confidence")
+
+
+def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_host_trust, op2_semi_crf_pii, op3_virtual_slots, op4_superminhash_dedup, op6_language_id, op8_cgk_decontamination,
+    )
+}
