@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import decontaminate, hosttrust, langid, neardup, pii, slots
+from labeltext.llm import decontaminate, hosttrust, langid, neardup, pieces, pii, slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,16 @@ LANGUAGES = ("en", "fr", "de", "es")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages: the markup's lang attribute, the address's ending and its host
-    join the text; the text model comes from labelled documents."""
+    """Documents: the row's declared language and its source, as the host, join
+    the text; the text model comes from a bounded sample of labelled rows."""
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text", "lang", "source"), langid.fit(docs, LANGUAGES), LANGUAGES, text=F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    return out.select("doc_id", "source", "language", "confidence")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over raw pages, with all its evidence: the markup's lang
+    attribute, the address's ending and its host join the text."""
     model = langid.fit(_table(spark, sf_dir, "documents"), LANGUAGES)
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = langid.identify(
@@ -57,6 +65,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "language", "confidence")
 
 
+def op7_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations per document; the ids themselves go into a digest."""
+    out = pieces.encode(_table(spark, sf_dir, "documents"), k=2, ids=False)
+    return out.select("doc_id", "rank", "n_pieces", F.col("pieces").alias("pieces_sha256"), "log_prob", "log_inclusion", "round_trip")
+
+
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +78,6 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_host_trust, op2_semi_crf_pii, op3_virtual_slots, op4_superminhash_dedup, op6_language_id, op8_cgk_decontamination,
+        op1_host_trust, op2_semi_crf_pii, op3_virtual_slots, op4_superminhash_dedup, op6_language_id, language_of_pages, op7_gumbel_pieces, op8_cgk_decontamination,
     )
 }
