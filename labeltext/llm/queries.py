@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import decontaminate, hosttrust, langid, neardup, pieces, pii, slots
+from labeltext.llm import decontaminate, hosttrust, langid, neardup, orderminhash, pieces, pii, slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op4_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = orderminhash.fingerprints(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 LANGUAGES = ("en", "fr", "de", "es")
 
 
@@ -78,6 +83,6 @@ def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_host_trust, op2_semi_crf_pii, op3_virtual_slots, op4_superminhash_dedup, op6_language_id, language_of_pages, op7_gumbel_pieces, op8_cgk_decontamination,
+        op1_host_trust, op2_semi_crf_pii, op3_virtual_slots, op4_superminhash_dedup, op5_order_minhash, op6_language_id, language_of_pages, op7_gumbel_pieces, op8_cgk_decontamination,
     )
 }
