@@ -161,7 +161,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _chunk_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 2 * HALF
-    for batch in batches:
+    for batch in bytetext.released(batches):
         data, offsets = bytetext.buffers(batch.column("text"))
         out = []
         for a, b in zip(offsets[:-1], offsets[1:]):
@@ -195,12 +195,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     unit's probability for zero features. Equal texts get equal scores; an empty
     table gives no rows; a null doc_id is not held out.
     """
+    bytetext.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # some 80 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
         own.table, own.bias, own.unit, own.offset = shared.value
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.buffers(batch.column("text"))
             scores = [probability(own, document_features(own, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in bytetext.slices(offsets, SLICE)]
             value = np.round(np.concatenate(scores) if scores else np.zeros(0), 6)

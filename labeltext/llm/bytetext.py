@@ -7,13 +7,18 @@ object is made per word. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+
+BATCH_ROWS = 1000
+RELEASE_BYTES = 1 << 24
 
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,6 +56,41 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send texts to Python at most ``BATCH_ROWS`` at a time; the
+    default of 10,000 rows would put that many long texts into memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; every ``RELEASE_BYTES`` and at the end, freed memory goes back
+    to the system. Workers live on between the stages of a job, beside a JVM that
+    may have grown."""
+    seen = 0
+    for batch in batches:
+        seen += batch.nbytes
+        yield batch
+        del batch
+        if seen >= RELEASE_BYTES:
+            seen = 0
+            _release()
+    _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

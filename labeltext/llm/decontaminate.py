@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltext.llm.bytetext import U64, mix64
+from labeltext.llm.bytetext import U64, bounded_batches, mix64, released
 from labeltext.llm.staging import stage
 
 MAX_ERROR = 0.1
@@ -215,6 +215,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR,
     tables give no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     out = spark.createDataFrame([], f"doc_id {kind}, item_id long, edits int, end long")
@@ -225,7 +226,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
-            for batch in batches:
+            for batch in released(batches):
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
                     hits = index.search([t or "" for t in part.column("text").to_pylist()])
@@ -249,6 +250,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, max_error: float = MA
     """The rows of ``docs`` whose text holds no item of ``benchmark``, whole and
     unchanged, all columns kept; a map per block of items, without a shuffle."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     for items in item_blocks(benchmark, block_items):
         if not items:
             continue
@@ -256,7 +258,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, max_error: float = MA
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
-            for batch in batches:
+            for batch in released(batches):
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
                     hits = index.search([t or "" for t in part.column("text").to_pylist()])

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labeltext.llm.bytetext import bounded_batches, released
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas textarea select option datalist".split())
 INLINE = frozenset(
@@ -370,11 +372,12 @@ def extract(pages: DataFrame) -> DataFrame:
     tags that are missing are implied, stray ones ignored. Repeated rows are equal; an
     empty table gives no rows. A page is handled whole, one at a time.
     """
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(fitted())  # some hundred floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in released(batches):
             texts = [main_text(h, w) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]

@@ -58,6 +58,7 @@ def fit(docs: DataFrame, languages: Sequence[str], id_col: str = "doc_id", label
     labelled rows, those with the smallest hash of their id; counted in Spark,
     at most BUCKETS sums per language come back. Languages without a
     sampled row keep a uniform model."""
+    bytetext.bounded_batches(docs.sparkSession)
     languages = list(languages)
     known = docs.where(F.col(label_col).isin(languages) & F.col(id_col).isNotNull()).select(id_col)
     chosen = stage(known.orderBy(F.xxhash64(id_col), id_col).limit(rows).distinct(), "langid-sample")
@@ -65,7 +66,7 @@ def fit(docs: DataFrame, languages: Sequence[str], id_col: str = "doc_id", label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, len(languages)), np.int64)
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.buffers(batch.column("text"))
             which = np.array([languages.index(x) for x in batch.column("label").to_pylist()], np.int64)
             for a, b in bytetext.slices(offsets):
@@ -96,7 +97,7 @@ def text_scores(model: np.ndarray, column: pa.Array) -> np.ndarray:
 def _scorer(model_rows, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_rows.value
-        for batch in batches:
+        for batch in bytetext.released(batches):
             scores = text_scores(model, batch.column(text_col))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1, dtype=np.int32) * model.shape[1]), pa.array(scores.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "li_text"])
@@ -133,6 +134,7 @@ def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str], text:
     joined by a shuffle.
     """
     spark: SparkSession = rows.sparkSession
+    bytetext.bounded_batches(spark)
     languages = list(languages)
     names = [*languages, UND]
     host = F.lower(F.coalesce(host.cast("string"), F.lit(""))) if host is not None else F.lit("")

@@ -48,7 +48,7 @@ def _name(members: bytes) -> bytes:
 
 def _sketch(width: int, places: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.buffers(batch.column("text"))
             for a, b in bytetext.slices(offsets):
                 part = offsets[a : b + 1] - offsets[a]
@@ -71,7 +71,7 @@ def _sketch(width: int, places: int, rows: int):
 
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.released(batches):
             data, offsets = bytetext.buffers(batch.column("text"))
             for a, b in bytetext.slices(offsets):
                 h, owner = bytetext.shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
@@ -132,7 +132,7 @@ def _links(percent: int):
         def out(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-        for batch in batches:
+        for batch in bytetext.released(batches):
             pairs = []
             cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "members")]
             for bucket, i, j, b, n, s in zip(*cols):
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places
     for one with an id. Repeated rows get equal results (all of them are kept if
     they hold the component's smallest doc_id). An empty table gives no rows.
     """
+    bytetext.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = stage(texts.mapInArrow(_sketch(shingle, places, rows), "doc_id long, n_shingles long, set_name binary, bands array<long>"), "neardup-sketch")
     worded = sketch.where("set_name is not null")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labeltext.llm.bytetext import bounded_batches, released
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 21
 MAX_SPAN = 80
@@ -369,7 +371,7 @@ def _joined(items: list[tuple[int, int, int]]) -> str:
 def _finder(weights, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for text in batch.column(text_col).to_pylist():
                 base, more = spans(text or "", w)
@@ -391,6 +393,7 @@ def find(docs: DataFrame) -> DataFrame:
     then start, joined by commas. A null or empty text has no spans. Rows are
     judged one by one, so repeated rows are equal; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     w = docs.sparkSession.sparkContext.broadcast(fitted_weights())  # 64 floats
     out = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("pii_text"))
     kind = out.schema["doc_id"].dataType.simpleString()
@@ -418,10 +421,11 @@ def mask_text(text: str | None, w: np.ndarray) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in ``text_col`` masked; all other columns and all
     rows stay as they are. Nulls stay null."""
+    bounded_batches(docs.sparkSession)
     w = docs.sparkSession.sparkContext.broadcast(fitted_weights())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             at = batch.schema.names.index(text_col)
             masked = pa.array([mask_text(t, w.value) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([masked if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
