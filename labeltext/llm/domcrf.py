@@ -151,6 +151,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, text runs (node, text) with white space joined, none empty). A
     run is what a block holds between two of its child blocks."""
     builder = Builder()
+    cut = html.rfind("<")
+    if html.find(">", cut) < 0 and html[cut + 1 : cut + 2] and (html[cut + 1].isalpha() or html[cut + 1] in "/!?"):
+        html = html[:cut]  # the page ends within a tag
     builder.feed(html)
     builder.close()
     joined = ((n, " ".join("".join(parts).split())) for n, parts in builder.runs)
