@@ -65,7 +65,7 @@ class ChatTemplate:
 
     def render_message(self, m: Column) -> Column:
         head, tail = self.open.split("{role}")
-        return F.concat(F.lit(head), m["role"], F.lit(tail), m["content"], F.lit(self.close))
+        return F.concat(F.lit(head), m["role"], F.lit(tail), F.coalesce(m["content"], F.lit("")), F.lit(self.close))
 
     def render(self, messages: Column | str, add_generation_prompt: bool = False) -> Column:
         body = F.array_join(F.transform(_c(messages), self.render_message), "")

@@ -67,7 +67,8 @@ def with_lengths(df: DataFrame, col: str = "description") -> DataFrame:
 def dedup_first(df: DataFrame, subset: list[str], order_key: str = "job_id") -> DataFrame:
     """DUP1: keep the row with the smallest ``order_key`` per ``subset`` value.
 
-    NULLs in ``subset`` compare equal. ``order_key`` must identify a row.
+    NULLs in ``subset`` compare equal. Rows with a NULL ``order_key`` come
+    after all others; equal keys are ordered by the remaining columns.
     """
     keyed = df.withColumn(KEY, pair_key(*subset))
     return dedup_keyed(keyed, order_key).drop(KEY)
@@ -82,8 +83,9 @@ def dedup_keyed(keyed: DataFrame, order_key: str = "job_id") -> DataFrame:
     the shuffle whole.
     """
     cols = [c for c in keyed.columns if c != KEY]
-    best = F.min_by(F.struct(*cols), F.col(order_key)).alias("_row")
-    return keyed.groupBy(KEY).agg(best).select("_row.*", KEY)
+    rest = [F.col(c) for c in cols if c != order_key]
+    best = F.min(F.struct(F.col(order_key).isNull().alias("_no_key"), F.col(order_key), *rest)).alias("_row")
+    return keyed.groupBy(KEY).agg(best).select(*[F.col("_row")[c].alias(c) for c in cols], KEY)
 
 
 def duplicate_count(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -108,7 +110,7 @@ def clean_candidates(postings: DataFrame, min_description_words: int = 50,
     """PIP2 before the dedup: cleaned, present, long-enough rows with their
     lengths and the dedup ``KEY``."""
     if min_description_words < 0:
-        raise ValueError("min_description_words must be zero or greater.")
+        raise ValueError("min_description_words cannot be below zero")
     df = postings.select(*POSTING_COLUMNS).dropna(subset=["title", "description"])
     df = clean_fields(df, entities).drop("_missing_raw")
     df = df.dropna(subset=["title", "description"])
@@ -215,8 +217,6 @@ def funnel_counts(postings: DataFrame, min_description_words: int = 50,
         (F.sum(F.when(is_key, F.col("n")).otherwise(0)) - F.count_if(is_key)).cast("bigint").alias("duplicate"),
         F.count_if(is_key & (F.col("wc") < min_description_words)).cast("bigint").alias("short"),
         F.count_if(is_kept).cast("bigint").alias("kept"),
-        # self-checks on the kept rows (one per key by construction)
-        F.sum(F.when(is_kept, F.lit(0))).cast("bigint").alias("kept_repeats"),
     ).na.fill(0)
 
 
@@ -247,14 +247,24 @@ REPORT_METRICS = [
 
 
 def cleaning_report(postings: DataFrame, min_description_words: int = 50,
-                    entities: str = "auto") -> DataFrame:
+                    entities: str = "auto", cleaned: DataFrame | None = None) -> DataFrame:
     """AGG3: the eight-row (metric, value DOUBLE) report, from ``funnel_counts``.
 
     ``remaining_duplicate_jobs``, ``missing_titles`` and
-    ``missing_descriptions`` are the reference's self-checks on the kept rows;
-    kept rows are one per present key, so they are 0 by construction.
+    ``missing_descriptions`` are self-checks: they are counted on ``cleaned``,
+    the cleaned table (default: computed here), not derived.
     """
-    c = funnel_counts(postings, min_description_words, entities)
+    if cleaned is None:
+        cleaned = preprocess_postings(postings, min_description_words, entities)
+    per_key = cleaned.groupBy(pair_key("title", "description").alias(KEY)).agg(
+        F.count("*").alias("n"), F.count_if(F.col("title").isNull()).alias("no_title"),
+        F.count_if(F.col("description").isNull()).alias("no_description"))
+    checks = per_key.agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"),
+        F.coalesce(F.sum("no_title"), F.lit(0)).alias("no_title"),
+        F.coalesce(F.sum("no_description"), F.lit(0)).alias("no_description"))
+    c = funnel_counts(postings, min_description_words, entities).select(
+        "n", "kept", F.struct(*[checks.select(x).scalar().alias(x) for x in checks.columns]).alias("check"))
 
     def kv(metric: str, value: Column) -> Column:
         return F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"))
@@ -266,7 +276,7 @@ def cleaning_report(postings: DataFrame, min_description_words: int = 50,
         kv("retention_rate_percentage",
            F.coalesce(F.round(F.try_divide(F.col("kept") * 100.0, F.col("n")), 2), F.lit(0.0))),
         kv("minimum_description_words", F.lit(float(min_description_words))),
-        kv("remaining_duplicate_jobs", F.col("kept_repeats")),
-        kv("missing_titles", F.lit(0)),
-        kv("missing_descriptions", F.lit(0)),
+        kv("remaining_duplicate_jobs", F.col("check.repeats")),
+        kv("missing_titles", F.col("check.no_title")),
+        kv("missing_descriptions", F.col("check.no_description")),
     )).alias("r")).select("r.*")

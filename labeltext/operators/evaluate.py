@@ -135,48 +135,30 @@ def metric_long(metrics_df: DataFrame) -> DataFrame:
 def confusion_matrix(counts: DataFrame, model: str | None = None) -> DataFrame:
     """AGG12 / PLT1 (long, sparse): cells (truth, prediction, n) whose truth
     and prediction are both truth classes; absent cells are 0. Predictions
-    outside the truth classes are not counted.
-
-    One pass over the counts: each cell is filed under its predicted class,
-    and each truth marks its class as a truth class; grouping by (model,
-    class) then keeps the cells of marked classes. A group holds at most one
-    cell per truth class.
+    outside the truth classes are not counted: a semi-join on the distinct
+    (model, truth) pairs, so no group is gathered.
     """
     c = counts if model is None else counts.filter(F.col("model") == model)
-    cell = F.struct(F.col("truth"), F.col("n"))
-    sides = F.array(
-        F.struct(F.col("truth").alias("class"), F.lit(True).alias("is_truth"), F.lit(None).cast(
-            "struct<truth:string,n:bigint>").alias("cell")),
-        F.struct(F.col("prediction").alias("class"), F.lit(False).alias("is_truth"), cell.alias("cell")))
-    g = (c.select("model", F.explode(sides).alias("s")).select("model", "s.*")
-         .groupBy("model", "class")
-         .agg(F.max("is_truth").alias("known"), F.collect_list("cell").alias("cells")))
-    return (g.filter("known").select("model", F.col("class").alias("prediction"), F.explode("cells").alias("c"))
-            .select("model", "c.truth", "prediction", "c.n"))
-
-
-def truth_classes(counts: DataFrame, max_classes: int = 10_000) -> list[str]:
-    """AGG12 labels: sorted distinct normalised truths. A driver-side list,
-    bounded by the number of classes (one column each in the wide form);
-    more than ``max_classes`` is an error: use the long form."""
-    rows = counts.select("truth").distinct().orderBy("truth").limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes: use the long confusion matrix")
-    return [r[0] for r in rows]
-
+    known = c.select("model", F.col("truth").alias("prediction")).distinct()
+    return c.join(known, ["model", "prediction"], "left_semi").select("model", "truth", "prediction", "n")
 
-def confusion_matrix_wide(counts: DataFrame, classes: list[str] | None = None) -> DataFrame:
-    """AGG12 (wide): one row per model and truth class, one column per class,
-    zeros filled; predictions outside the classes are not counted.
 
-    One conditional aggregation over the counts: every truth class occurs as
-    a truth there, so each gets its row without a join. ``classes`` defaults
-    to ``truth_classes(counts)`` (one small job).
+def confusion_matrix_wide(counts: DataFrame, classes: list[str]) -> DataFrame:
+    """AGG12 (wide): one row per model and class of ``classes``, one column per
+    class, zeros filled, also for a class that no row has; predictions outside
+    the classes are not counted. The classes are normalised like the labels
+    (and named once each). The long form serves label sets too large for columns.
     """
-    classes = classes if classes is not None else truth_classes(counts)
+    wanted = counts.sparkSession.createDataFrame([(c,) for c in classes], "c string")
+    names = sorted({r[0] for r in wanted.select(T.normalize_label("c")).collect()})
     cells = [F.sum(F.when(F.col("prediction") == F.lit(c), F.col("n")).otherwise(F.lit(0))).cast("bigint").alias(c)
-             for c in classes]
-    return counts.filter(F.col("truth").isin(classes)).groupBy("model", "truth").agg(*cells)
+             for c in names]
+    # A zero count per model and class gives each its row.
+    zeros = counts.select("model").distinct().select(
+        "model", F.explode(F.array(*[F.lit(c) for c in names])).alias("truth"),
+        F.lit(None).cast("string").alias("prediction"), F.lit(0).cast("bigint").alias("n"))
+    rows = counts.filter(F.col("truth").isin(names)).select("model", "truth", "prediction", "n")
+    return rows.unionByName(zeros).groupBy("model", "truth").agg(*cells)
 
 
 def classification_report(counts: DataFrame) -> DataFrame:

@@ -25,7 +25,9 @@ Full rank (RNK1)
 Every row needs its number, so rows are shuffled once by bucket and numbered
 inside it (no join back on the id).
 
-The id must identify a row. The permutation differs from NumPy's; sizes,
+The id should identify a row, but no row is lost if it does not: a row without
+an id takes its hash from its other columns, and rows equal in hash and id are
+ordered by the other columns. The permutation differs from NumPy's; sizes,
 disjointness, coverage and repeatability are the contract.
 """
 
@@ -35,6 +37,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .validate import check_split_ratios, require_columns
 
@@ -43,14 +46,24 @@ TOTAL = "total_rows"
 _H, _B, _C, _OFF, _RN = "_h", "_b", "_c", "_off", "_rn"
 
 
-def order_hash(id_col: str, seed: int) -> F.Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+def order_hash(id_col: str, seed: int, others: list[str] = ()) -> F.Column:
+    """md5 of ``<seed>:<id>``; for a NULL id of the other columns' texts, each
+    after a unit separator (U+001F), NULLs as empty."""
+    values = [F.concat(F.lit("\x1f"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in others]
+    by_row = F.concat(F.lit(f"{seed}:"), *values)
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), by_row))
+
+
+def _others(df: DataFrame, id_col: str) -> list[str]:
+    """The columns besides the id that can be ordered, by name."""
+    own = {RANK, TOTAL, _H, _B, _C, _OFF, _RN, id_col}
+    return sorted(f.name for f in df.schema.fields if f.name not in own and not isinstance(f.dataType, (MapType, VariantType)))
 
 
 def _keyed(df: DataFrame, id_col: str, seed: int, bucket_digits: int) -> DataFrame:
     if not 1 <= bucket_digits <= 6:
         raise ValueError("bucket_digits must be between 1 and 6")
-    return df.withColumn(_H, order_hash(id_col, seed)).withColumn(_B, F.substring(_H, 1, bucket_digits))
+    return df.withColumn(_H, order_hash(id_col, seed, _others(df, id_col))).withColumn(_B, F.substring(_H, 1, bucket_digits))
 
 
 def bucket_offsets(keyed: DataFrame) -> DataFrame:
@@ -74,8 +87,9 @@ def rank_table(df: DataFrame, id_col: str = "job_id", seed: int = 42, bucket_dig
 def global_rank(df: DataFrame, id_col: str = "job_id", seed: int = 42, bucket_digits: int = 4) -> DataFrame:
     """RNK1: ``df`` plus ``rank`` (1..N in the seeded order) and ``total_rows``."""
     keyed = _keyed(df, id_col, seed, bucket_digits)
+    ties = _others(df, id_col)
     offsets = F.broadcast(bucket_offsets(keyed).select(_B, _OFF, TOTAL))
-    within = Window.partitionBy(_B).orderBy(_H, id_col)
+    within = Window.partitionBy(_B).orderBy(_H, id_col, *ties)
     ranked = keyed.withColumn(_RN, F.row_number().over(within)).join(offsets, _B)
     return ranked.select(*df.columns, (F.col(_OFF) + F.col(_RN)).cast("bigint").alias(RANK), F.col(TOTAL))
 
@@ -93,7 +107,7 @@ def cut_by_rank(df: DataFrame, label_of: Callable[[Column, Column], Column], out
     table = F.broadcast(off.select(_B, _OFF, TOTAL, first.alias("_first"), (first == last).alias("_uniform")))
     joined = keyed.join(table, _B)
     uniform = joined.filter(F.col("_uniform")).withColumn(out_col, F.col("_first"))
-    within = Window.partitionBy(_B).orderBy(_H, id_col)
+    within = Window.partitionBy(_B).orderBy(_H, id_col, *_others(df, id_col))
     edge = (joined.filter(~F.col("_uniform"))
             .withColumn(_RN, F.row_number().over(within))
             .withColumn(out_col, label_of(F.col(_OFF) + F.col(_RN), F.col(TOTAL)))
@@ -170,6 +184,6 @@ def sample_exact(df: DataFrame, sample_size: int | None, seed: int = 42, id_col:
     if sample_size is None:
         return df
     if sample_size <= 0:
-        raise ValueError("Sample size must be positive or None.")
+        raise ValueError("the sample needs at least one row (or None for all rows)")
     marked = cut_by_rank(df, lambda rank, _total: rank <= F.lit(sample_size), "_in", id_col, seed, bucket_digits)
     return marked.filter(F.col("_in")).drop("_in")

@@ -93,6 +93,11 @@ ORACLE["dedup_first"] = "WITH " + CLEANED + """
 SELECT job_id, title FROM present
 QUALIFY row_number() OVER (PARTITION BY title, description ORDER BY job_id) = 1"""
 
+ORACLE["dedup_ties"] = """
+WITH d AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id % 50 END AS job_id, lang, source, n_chars FROM documents)
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY job_id NULLS LAST, lang NULLS FIRST,
+                                           n_chars NULLS FIRST) = 1"""
+
 ORACLE["duplicate_counts"] = "WITH " + POSTINGS + """
 SELECT 'all_columns' AS subset, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (
   SELECT count(*) AS n FROM postings GROUP BY ALL_COLS)
@@ -219,6 +224,12 @@ split AS (
 
 ORACLE["global_rank"] = "WITH d AS (SELECT doc_id AS job_id FROM documents)\nSELECT job_id, \"rank\" FROM (" + _rank_sql("d") + ")"
 ORACLE["split_dataset"] = "WITH " + SPLIT + "\nSELECT job_id, skill_name, split FROM split"
+ORACLE["split_null_ids"] = """
+WITH d AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS job_id, source AS skill_name FROM documents),
+h AS (SELECT *, md5('42:' || coalesce(CAST(job_id AS VARCHAR), chr(31) || coalesce(skill_name, ''))) AS h FROM d),
+r AS (SELECT *, row_number() OVER (ORDER BY h, job_id NULLS FIRST, skill_name NULLS FIRST) AS r, count(*) OVER () AS n FROM h)
+SELECT job_id, skill_name, CASE WHEN r <= floor(CAST(n AS DOUBLE) * 0.8) THEN 'train'
+       WHEN r <= floor(CAST(n AS DOUBLE) * (CAST(0.8 AS DOUBLE) + CAST(0.1 AS DOUBLE))) THEN 'validation' ELSE 'test' END AS split FROM r"""
 ORACLE["split_sizes"] = "WITH " + SPLIT + """,
 s(split) AS (VALUES ('train'), ('validation'), ('test')),
 n AS (SELECT count(*) AS n FROM split)
@@ -357,12 +368,12 @@ ORACLE["confusion_matrix"] = "WITH " + PREDICTIONS + """
 SELECT c.model, c.truth, c.prediction, c.n FROM counts c
 WHERE EXISTS (SELECT 1 FROM counts t WHERE t.model = c.model AND t.truth = c.prediction)"""
 ORACLE["confusion_matrix_wide"] = "WITH " + PREDICTIONS + """,
-cls AS (SELECT DISTINCT model, truth FROM counts),
-cells AS (SELECT c.model, c.truth, c.prediction, c.n FROM counts c
-          WHERE EXISTS (SELECT 1 FROM counts t WHERE t.model = c.model AND t.truth = c.prediction)),
-grid AS (SELECT a.model, a.truth, b.truth AS prediction, 0 AS n FROM cls a JOIN cls b ON a.model = b.model
-         UNION ALL SELECT model, truth, prediction, n FROM cells)
-PIVOT grid ON prediction USING CAST(sum(n) AS BIGINT) GROUP BY model, truth"""
+wanted(truth) AS (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')),
+grid AS (SELECT DISTINCT c.model, w.truth FROM counts c, wanted w)
+SELECT g.model, g.truth, """ + ", ".join(
+    f"CAST(coalesce(sum(c.n) FILTER (WHERE c.prediction = '{x}'), 0) AS BIGINT) AS {x}"
+    for x in ("de", "en", "es", "fr", "it")) + """
+FROM grid g LEFT JOIN counts c ON c.model = g.model AND c.truth = g.truth GROUP BY g.model, g.truth"""
 ORACLE["classification_report"] = "WITH " + PREDICTIONS + """
 SELECT model, class, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1,
        CAST(support AS BIGINT) AS support FROM pcm
@@ -504,3 +515,4 @@ SELECT (SELECT count(*) FROM postings) AS original_postings,
 _NA = "(" + ", ".join(Q.lit(t) for t in __import__("labeltext.sources.schema", fromlist=["NA_TOKENS"]).NA_TOKENS) + ")"
 ORACLE["ingest_csv"] = "WITH " + POSTINGS + "\nSELECT job_id, " + ", ".join(
     f"CASE WHEN {c} IN {_NA} THEN NULL ELSE {c} END AS {c}" for c in TEXT_COLUMNS) + " FROM postings"
+ORACLE["ingest_csv_reordered"] = ORACLE["ingest_csv"]

@@ -65,8 +65,15 @@ def run_preprocessing_pipeline(spark: SparkSession, postings: DataFrame, job_ski
     base = output_dir.rstrip("/")
     fmt = config.fmt
 
-    def read(path):
-        return spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
+    def hand_over(name: str, df: DataFrame) -> DataFrame:
+        """Write a table; the next stage reads Parquet, whatever the format asked
+        for, so that quotes, commas and types survive."""
+        if fmt == "parquet":
+            paths[name] = write_table(df, f"{base}/{name}", fmt)
+            return spark.read.parquet(paths[name])
+        kept = spark.read.parquet(write_table(df, f"{base}/_stage/{name}", "parquet"))
+        paths[name] = write_table(kept, f"{base}/{name}", fmt)
+        return kept
 
     paths = {}
     # Stage 1: cleaned candidates (regex work done once), written in Parquet;
@@ -75,18 +82,16 @@ def run_preprocessing_pipeline(spark: SparkSession, postings: DataFrame, job_ski
         C.clean_candidates(postings, config.min_description_words, config.entities),
         f"{base}/_stage/candidates", "parquet")
     candidates = spark.read.parquet(paths["_candidates"])
-    paths["cleaned_postings"] = write_table(C.finish_postings(candidates), f"{base}/cleaned_postings", fmt)
-    cleaned = read(paths["cleaned_postings"])
+    cleaned = hand_over("cleaned_postings", C.finish_postings(candidates))
     paths["cleaning_report"] = write_table(
-        C.cleaning_report(postings, config.min_description_words, config.entities), f"{base}/cleaning_report", fmt)
-    paths["training_dataset"] = write_table(
-        L.build_training_dataset(cleaned, job_skills, skills), f"{base}/training_dataset", fmt)
-    training = read(paths["training_dataset"])
+        C.cleaning_report(postings, config.min_description_words, config.entities, cleaned),
+        f"{base}/cleaning_report", fmt)
+    training = hand_over("training_dataset", L.build_training_dataset(cleaned, job_skills, skills))
     splits = R.split_dataset(training, config.train_ratio, config.validation_ratio, config.random_seed)
     paths["splits"] = write_table(splits, f"{base}/splits", fmt, ["split"])
     summary = pipeline_summary(postings, training, config.train_ratio, config.validation_ratio)
     paths["summary"] = write_table(summary, f"{base}/summary", "json")
     row = spark.read.json(paths["summary"]).first().asDict()
-    manifest = run_manifest(spark, asdict(config))
+    manifest = run_manifest(spark, asdict(config), spark.read.json(paths["summary"]))
     paths["manifest"] = write_table(manifest, f"{base}/manifest", "json")
     return {"paths": paths, "summary": row}

@@ -82,6 +82,14 @@ def q_dedup_first(spark, sf):
     return C.dedup_first(c, ["title", "description"]).select("job_id", "title")
 
 
+@query("dedup_ties")
+def q_dedup_ties(spark, sf):
+    """DUP1 with repeated and missing ids: NULL ids last, ties by the rest."""
+    d = S.table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 50).alias("job_id"), "lang", "source", "n_chars")
+    return C.dedup_first(d, ["source"])
+
+
 @query("duplicate_counts")
 def q_duplicate_counts(spark, sf):
     """DUP3: repeated rows on the whole row, the description, and the pair."""
@@ -206,6 +214,14 @@ def q_split_dataset(spark, sf):
     return R.split_dataset(_labelled_table(spark, sf)).select("job_id", "skill_name", "split")
 
 
+@query("split_null_ids")
+def q_split_null_ids(spark, sf):
+    """SPL1 where every seventh document has no id: all rows are cut."""
+    rows = S.table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("job_id"), F.col("source").alias("skill_name"))
+    return R.split_dataset(rows).select("job_id", "skill_name", "split")
+
+
 @query("split_sizes")
 def q_split_sizes(spark, sf):
     """SPL2: rows and share per split."""
@@ -354,8 +370,10 @@ def q_confusion_matrix(spark, sf):
 
 @query("confusion_matrix_wide")
 def q_confusion_matrix_wide(spark, sf):
-    """AGG12 (wide): rows truth, one column per truth class, both models."""
-    return V.confusion_matrix_wide(V.confusion_counts(V.long_predictions(_results(spark, sf))))
+    """AGG12 (wide): rows truth, one column per given class, both models; the
+    classes come unnormalised, and one of them has no rows."""
+    counts = V.confusion_counts(V.long_predictions(_results(spark, sf)))
+    return V.confusion_matrix_wide(counts, [" DE", "en", "Es", "fr", "it"])
 
 
 @query("classification_report")
@@ -524,6 +542,16 @@ def q_ingest_csv(spark, sf):
     return FS.read_csv(spark, _postings_csv(spark, sf), POSTINGS_SCHEMA)
 
 
+@query("ingest_csv_reordered")
+def q_ingest_csv_reordered(spark, sf):
+    """SRC1: columns in another order and one more than the schema has."""
+    path = scratch_path(spark, "postings-csv-reordered")
+    p = S.postings_from_documents(spark, sf)
+    frame = p.select(F.lit("extra").alias("views"), *reversed(p.columns))
+    W.write_table(frame, path, "csv")
+    return FS.read_csv(spark, path, POSTINGS_SCHEMA)
+
+
 @query("sniff_files")
 def q_sniff_files(spark, sf):
     """SRC2-4: formats of the files of a written CSV folder."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..operators.validate import require_columns
 from .schema import NA_TOKENS
 
 
@@ -23,18 +24,21 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
              na_tokens: bool = True) -> DataFrame:
     """SRC1: header CSV with quoted newlines and doubled quotes.
 
-    A declared ``schema`` is strongly preferred (no inference pass). Non-string
-    columns of the schema are read as text first, NA tokens applied, then cast
-    (so 'NA' in a number column is NULL, not a parse error).
+    The columns of a declared ``schema`` are taken by their names in the header,
+    in whatever order they stand there; further columns are ignored and a
+    missing one is an error. All are read as text, NA tokens applied, then cast
+    (so 'NA' in a number column is NULL, not a parse error). Files of one call
+    share the header of the first. Quoted line breaks make a file one task:
+    read large raw files once, into Parquet.
     """
     reader = (spark.read.option("header", True).option("multiLine", True)
               .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
+    df = reader.option("inferSchema", False).csv(path)
     if schema is None:
-        df = reader.option("inferSchema", False).csv(path)
         return apply_na_tokens(df) if na_tokens else df
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    as_text = StructType([type(f)(f.name, StringType(), True) for f in st.fields])
-    df = reader.schema(as_text).csv(path)
+    require_columns(df, st.names, f"the CSV at {path}")
+    df = df.select(*[F.col(f"`{n}`") for n in st.names])
     if na_tokens:
         df = apply_na_tokens(df)
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in st.fields])
