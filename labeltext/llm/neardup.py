@@ -194,7 +194,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places
         .repartition(F.col("bucket"), F.col("i"), F.col("j"))
         .sortWithinPartitions("bucket", "i", "j")
     )
-    label = components(cells.mapInArrow(_links(percent), "u long, v long"))
+    # Written first: a second Python function in the same task would need a second worker beside this one's.
+    links = stage(cells.mapInArrow(_links(percent), "u long, v long"), "neardup-links")
+    label = components(links)
     named = classes.join(label, "node", "left").select("set_name", F.coalesce("component", "node").alias("c"))
     named = stage(named.select("set_name", F.when(F.col("c") > NO_ID, F.col("c")).alias("component_id")), "neardup-named")
     out = worded.join(named, "set_name").select("doc_id", "n_shingles", "component_id").unionByName(
