@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places
     classes = stage(worded.groupBy("set_name").agg(node.alias("node"), F.first("bands").alias("bands")), "neardup-classes")
     bands = classes.select("node", "set_name", F.explode("bands").alias("bucket"))
     buckets = (
-        bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("set_name")).alias("y"))
-        .where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
+        bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+        .where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket"))
     )
     buckets = stage(buckets.select("bucket", "n"), "neardup-buckets")
     members = stage(bands.join(small_side(buckets), "bucket"), "neardup-members")
