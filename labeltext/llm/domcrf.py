@@ -34,6 +34,15 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr input".split()
 )
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("html base basefont bgsound link meta title style script noscript noframes template".split())
+#: Hidden elements that the end tag of an element around them ends as well.
+SOFT = frozenset("head svg math canvas option datalist".split())
+#: Start tags that end an open svg or math, unless it holds an element that may hold html.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: An element that one of these begins also ends, if it is the nearest open one.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -71,19 +80,22 @@ class Builder(HTMLParser):
         self.nodes = [Node("html", [], -1)]
         self.runs: list[tuple[int, list[str]]] = []
         self.open: list[tuple[str, int]] = [("html", 0)]  # element, block node that text goes to
-        self.hidden = self.links = 0
+        self.hidden = 0  # place in ``open`` of the outermost element without text of the page, or 0
+        self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden:
+            self._imply(tag)
         if tag in ("html", "body"):
             self.nodes[0].attrs = self.nodes[0].attrs + attrs
             return
-        if self.hidden:
-            if tag in HIDDEN:
-                self.hidden += 1
-            return
-        if tag in HIDDEN:
-            self.hidden = 1
-            self.open.append((tag, self.open[-1][1]))
+        if tag == "head" and len(self.open) > 1:
+            return  # a head within the page is no element
+        if self.hidden or tag in HIDDEN:
+            if tag not in VOID:
+                self.hidden = self.hidden or len(self.open)
+                self.links += tag == "a"
+                self.open.append((tag, self.open[-1][1]))
             return
         if tag in INLINE or tag in VOID:
             if tag in ("br", "hr", "img", "wbr"):
@@ -102,33 +114,55 @@ class Builder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and (tag in INLINE or tag in HIDDEN):
+        if tag not in VOID and (tag in INLINE or tag in HIDDEN or self.hidden):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.hidden:
-            if tag in HIDDEN:
-                self.hidden -= 1
-                if not self.hidden:
-                    self.open.pop()
-            elif tag in ("body", "html"):
-                return
-            return
-        if tag == "br":
-            self._text(" ")
-        elif tag not in ("html", "body"):
+        if tag in ("html", "body"):
+            if self.open[-1][0] == "head":
+                self._end(self.hidden)
+        elif tag != "br":
             self._close(tag)
+        elif not self.hidden:
+            self._text(" ")
+
+    def _imply(self, tag: str) -> None:
+        """Ends the open hidden elements that the start tag ``tag`` cannot be in."""
+        outer = self.open[self.hidden][0]
+        within = [n for n, _ in self.open[self.hidden :]] if tag in BREAKS_OUT else []
+        if outer == "head":
+            if self.open[-1][0] == "head" and tag not in IN_HEAD or tag == "body" and "template" not in within:
+                self._end(self.hidden)
+        elif outer in ("svg", "math"):
+            if within and HOLDS_HTML.isdisjoint(within):
+                self._end(self.hidden)
+        elif outer == "option" and tag not in INLINE and tag not in VOID and tag not in HIDDEN:
+            self._end(self.hidden)  # one without a select
+        if not self.hidden:
+            return
+        if tag in ("select", "input", "textarea"):
+            self._close("select", stop=("template",))
+        for other in SIBLINGS.get(tag, ()) if tag in HIDDEN else ():
+            self._close(other, stop=("select", "datalist"))
+
+    def _end(self, k: int) -> None:
+        self.links -= sum(n == "a" for n, _ in self.open[k:])
+        del self.open[k:]
+        if k <= self.hidden:
+            self.hidden = 0
 
     def _close(self, tag: str, stop: tuple[str, ...] = ()) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             name = self.open[k][0]
             if name == tag:
-                self.links -= sum(n == "a" for n, _ in self.open[k:])
-                del self.open[k:]
+                self._end(k)
                 return
             if name in stop:
                 return
-            if tag in INLINE and name not in INLINE:
+            if self.hidden and k >= self.hidden:
+                if k == self.hidden and name not in SOFT:
+                    return
+            elif tag in INLINE and name not in INLINE:
                 return  # an inline end tag does not close a block
 
     def _text(self, data: str) -> None:
@@ -139,6 +173,8 @@ class Builder(HTMLParser):
             self.runs.append((at, [data]))
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][0] == "head" and data.strip(" \t\n\r\f"):
+            self._end(self.hidden)
         if not self.hidden:
             self._text(data)
             size = len(data) - data.count(" ")
@@ -152,7 +188,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     run is what a block holds between two of its child blocks."""
     builder = Builder()
     cut = html.rfind("<")
-    if html.find(">", cut) < 0 and html[cut + 1 : cut + 2] and (html[cut + 1].isalpha() or html[cut + 1] in "/!?"):
+    if cut >= 0 and html.find(">", cut) < 0 and html[cut + 1 : cut + 2] and (html[cut + 1].isalpha() or html[cut + 1] in "/!?"):
         html = html[:cut]  # the page ends within a tag
     builder.feed(html)
     builder.close()
@@ -180,7 +216,7 @@ def unary(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
         x[i, TAGS.index(n.tag) if n.tag in TAGS else len(TAGS)] = 1
         for name, value in n.attrs:
             if name in ("class", "id", "role", "aria-label", "itemprop") and value:
-                for w in _SPLIT.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)[:400]):
+                for w in _SPLIT.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)):
                     if (k := _LEXICON.get(w.lower())) is not None:
                         x[i, base + k] = 1
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):

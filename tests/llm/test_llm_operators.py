@@ -447,6 +447,45 @@ def test_dom_extraction(spark):
     assert domcrf.extract(df.limit(0)).collect() == []
 
 
+def shown(html):
+    return " ".join(t for _, t in domcrf.parse(html)[1])
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>t</title><body><article>One", "One"),
+        ("<html><head><title>t</title><style>p{}</style><article>One", "One"),
+        ("<head><meta charset=x> <title>t</title>One<p>two", "One two"),
+        ("<head><noscript><link rel=x><body>One", "One"),
+        ("<head><title>t</title></html>One", "One"),
+        ("<head><template><body>no</template></head>One", "One"),
+        ("<p>One</p><head><title>t</title><p>two", "One two"),
+        ("a <select><option>A<option>B</select>b", "a b"),
+        ("a <select><optgroup><option>A<option>B<select><option>C</select>b", "a b"),
+        ("<datalist><option>A<option>B</datalist>b", "b"),
+        ("<div><option>A</div><p>b", "b"),
+        ("<option>A<p>b", "b"),
+        ("<div><svg><g><path></div>b", "b"),
+        ("<svg><g><path/><text>no</text></svg>b", "b"),
+        ("<svg><path><p>b", "b"),
+        ("<svg><foreignObject><p>no</p></foreignObject></svg>b", "b"),
+        ("<div><noscript><b>no</div>no</noscript>b", "b"),
+        ("<object><object>no</object>no</object>b", "b"),
+        ("<a href=x><svg><a>no</svg>in</a> b", "in b"),
+        ("plain", "plain"),
+        ("plain <p", "plain"),
+    ],
+)
+def test_dom_hidden_elements_end(html, text):
+    assert shown(html) == text
+
+
+def test_dom_reads_the_whole_class():
+    nodes, runs = domcrf.parse(f'<div class="{"x " * 400}sidebar">a')
+    assert domcrf.unary(nodes, runs)[1, len(domcrf.TAGS) + 1 + list(domcrf.WORDS).index("side")] == 1
+
+
 def test_byte_cnn(spark, edges, nothing):
     r = random.Random(3)
     good = [prose(50 + i, r.randint(5, 200)) for i in range(150)]
