@@ -12,9 +12,17 @@ A text is contaminated by an item if some part of it is within
    the two walks fall into step again, so few edits become few mismatches.
 3. Bit-sampling LSH. A repetition compares ``SAMPLED`` random steps; the pair goes
    on if all agree in any of ``REPEATS`` repetitions, over ``WALKS`` walks.
-4. Exact check: the least number of edits between the item and any part of
+4. Bound. The longer the item at the same share of edits, the less often two
+   walks fall into step, so a pair that shares no bucket is not given up: it also
+   goes on unless more of the item's short pieces than the edits allowed
+   are absent from the places that so many edits can move them to. Items longer
+   than ``EMBEDDED`` characters have no embedding, only the bound.
+5. Exact check: the least number of edits between the item and any part of
    the window's surroundings (Myers' bit-vector recurrence).
 
+Steps 1 and 4 lose nothing: an unharmed piece aligns a window with the part,
+each edit harms one short piece at most and moves those behind it by one at most.
+
 Each step is a map over the documents. The benchmark is handled in blocks
 of ``block_items`` items, each one pass over the documents.
 """
@@ -36,6 +44,7 @@ MAX_ERROR = 0.1
 WALKS = 4
 REPEATS = 40
 SAMPLED = 4
+EMBEDDED = 1024
 BLOCK_ITEMS = 20_000
 WINDOWS_AT_ONCE = 4096
 
@@ -79,6 +88,13 @@ def best_edits(item: str, part: str) -> tuple[int, int]:
     return best, end
 
 
+def short_pieces(text: str, max_error: float) -> list[tuple[int, str]]:
+    """(start, text) of the item's pieces for the bound, so short that there are
+    about twice as many as the edits allowed."""
+    q = max(1, int(0.5 / max_error)) if max_error > 0 else max(1, len(text))
+    return [(p, text[p : p + q]) for p in range(0, len(text) - q + 1, q)]
+
+
 class Index:
     """Pieces, embeddings and sampled steps of a block of items."""
 
@@ -94,9 +110,10 @@ class Index:
             self.automaton.add_word(word, where)
         if words:
             self.automaton.make_automaton()
-        self.length = np.array([len(t) for _, t in self.items], np.int64)
+        self.short = [short_pieces(t, max_error) for _, t in self.items]
+        self.length = np.array([len(t) if len(t) <= EMBEDDED else 0 for _, t in self.items], np.int64)  # 0: no embedding
         self.steps = 2 * int(self.length.max()) if self.items else 0
-        codes, first = self.classes([t for _, t in self.items])
+        codes, first = self.classes([t if len(t) <= EMBEDDED else "" for _, t in self.items])
         #: Random bit per walk, step and character class.
         grid = np.arange(WALKS * self.steps * 256, dtype=U64).reshape(WALKS, self.steps, 256)
         self.bits = (mix64(grid + U64(0x5851F42D4C957F2D)) >> U64(63)).astype(np.uint8)
@@ -147,6 +164,19 @@ class Index:
             hit |= same.reshape(len(start), REPEATS, SAMPLED).all(axis=2).any(axis=1)
         return hit
 
+    def possible(self, text: str, start: int, item: int) -> bool:
+        """Whether the bound leaves it open that the window's part is within the
+        edits allowed. True for any such part with an unharmed piece that stands
+        where the window puts it."""
+        slack = left = allowed_edits(len(self.items[item][1]), self.max_error)
+        for p, piece in self.short[item]:
+            at = start + p
+            if text.find(piece, max(0, at - slack), max(0, at + len(piece) + slack)) < 0:
+                left -= 1
+                if left < 0:
+                    return False
+        return True
+
     def windows(self, text: str) -> set[tuple[int, int]]:
         """(item, start) of the aligned windows; starts may lie outside the text."""
         out = set()
@@ -159,23 +189,30 @@ class Index:
         """Per text: (item number, edits, end of the part) for each item found."""
         found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         todo: list[tuple[int, int, int]] = []
+        checked: dict[tuple[int, int], int] = {}  # last start, which rise
         if not self.items:
             return [[] for _ in texts]
 
         def flush() -> None:
             if not todo:
                 return
-            docs = sorted({d for d, _, _ in todo})
-            codes, first = self.classes([texts[d] for d in docs])
-            base = dict(zip(docs, first.tolist()))
-            item = np.array([k for _, k, _ in todo])
-            start = np.array([base[d] + s for d, _, s in todo])
-            for n in np.flatnonzero(self.agree(codes, start, item)):
-                d, k, s = todo[n]
+            sure = np.zeros(len(todo), bool)
+            walked = [n for n, (_, k, _) in enumerate(todo) if self.length[k]]
+            if walked:
+                docs = sorted({todo[n][0] for n in walked})
+                codes, first = self.classes([texts[d] for d in docs])
+                base = dict(zip(docs, first.tolist()))
+                item = np.array([todo[n][1] for n in walked])
+                start = np.array([base[todo[n][0]] + todo[n][2] for n in walked])
+                sure[walked] = self.agree(codes, start, item)
+            for n, (d, k, s) in enumerate(todo):
                 text = self.items[k][1]
                 slack = allowed_edits(len(text), self.max_error)
-                if k in found[d] and found[d][k][0] == 0:
+                if k in found[d] and found[d][k][0] == 0 or s - checked.get((d, k), s - slack - 1) <= slack:
+                    continue  # the part of a window so near lies in the surroundings that were checked
+                if not sure[n] and not self.possible(texts[d], s, k):
                     continue
+                checked[d, k] = s
                 a = max(0, s - 2 * slack)
                 edits, end = best_edits(text, texts[d][a : s + len(text) + 2 * slack])
                 if edits <= slack and (k not in found[d] or edits < found[d][k][0]):

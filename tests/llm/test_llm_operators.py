@@ -411,6 +411,25 @@ def test_decontamination_recall_and_precision(spark, edges, nothing):
     assert decontaminate.matches(nothing, bench).collect() == [] and decontaminate.matches(edges, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("length", [9, 30, 400, 800, 1600, 3200, 6000])
+def test_decontamination_finds_all_at_the_full_edit_limit(length):
+    r = random.Random(length)
+    letters = "".join(c * n for c, n in zip("etaoinshrdlu cm", (12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 18, 3, 2)))
+    random_text = lambda n: "".join(r.choice(letters) for _ in range(n))
+    items = [(i, random_text(length)) for i in range(8)]
+    docs = []
+    for _, item in items:
+        x, edits = list(item), int(0.1 * length)
+        for _ in range(edits):
+            at, k = r.randrange(len(x)), r.random()
+            x[at : at + (k < 0.67)] = r.choice("xyz") * (k < 0.34 or k >= 0.67)
+        docs.append(random_text(r.randint(0, 300)) + "".join(x) + random_text(r.randint(0, 300)))
+    docs += [random_text(2 * length), "", items[0][1], items[0][1][: length - int(0.1 * length)]]
+    found = decontaminate.Index(items, 0.1).search(docs)
+    want = [{k: n for k, (_, item) in enumerate(items) if (n := decontaminate.best_edits(item, doc)[0]) <= int(0.1 * length)} for doc in docs]
+    assert [{k: n for k, n, _ in f} for f in found] == want and all(n in w for n, w in enumerate(want[:8]))
+
+
 def test_dom_marginals_against_enumeration():
     w = domcrf.fitted()
     nodes, runs = domcrf.parse("<div><p>One two, three.</p><ul><li><a href=x>y</a></ul></div><footer>z")
