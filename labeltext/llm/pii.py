@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a semi-Markov CRF that finds further spans.
 
 The base patterns (email, ip, card, phone) are fixed and their spans always stay.
-The CRF works on islands: the surroundings of digits and at signs, cut into
+The CRF works on islands: the surroundings of digits and at signs, spelt ones too, cut into
 atoms (runs of letters, runs of digits, single other characters, white space).
 Every run of at most ``MAX_ATOMS`` atoms is a candidate segment of every kind,
 scored by features of the whole span (its digit groups, separators, checksum,
@@ -319,7 +319,9 @@ def fitted_weights(steps: int = 120, rate: float = 1.0, decay: float = 1e-4) ->
     return w
 
 
-DIGIT_OR_AT = re.compile(r"[0-9@]+|[\[(]at[\])]|\sat\s(?=\S{1,40}\sdot\s)")
+#: Every candidate holds a match: a digit, an at sign, a bracketed "at", or " at" before a
+#: bracket or before a host's first label and what ``features`` may read as its dot.
+DIGIT_OR_AT = re.compile(r"[0-9@]+|[\[({]\s*at\s*[\])}]| at(?=\s*[\[({]| [a-z0-9-]+(?: ?\.| dot|\s*[\[({]\s*dot))", re.I)
 
 
 def islands(text: str) -> list[tuple[int, int]]:

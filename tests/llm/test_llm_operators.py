@@ -230,6 +230,36 @@ def test_crf_on_unseen_islands_and_tables(spark, edges, nothing):
     assert same.columns == edges.columns and same.count() == len(edge_rows())
 
 
+def whole_spans(text, w):
+    """Segments found when the whole text is one island."""
+    atoms = [m.span() for m in pii.ATOM.finditer(text)]
+    segs = pii._segments(text, atoms)
+    marginal, path, _ = pii._inference(len(atoms), segs, w)
+    return [(atoms[segs[s][0]][0], atoms[segs[s][1] - 1][1], segs[s][2]) for s in path if marginal[s] >= pii.MIN_MARGINAL]
+
+
+def test_spelt_at_signs_are_found_like_lower_case_ones():
+    w = pii.fitted_weights()
+    for spelt in ("john [at] example [dot] com", "john [AT] example [DOT] com", "john AT example DOT com", "john {at} example {dot} com", "john [ at ] example [ dot ] com"):
+        assert pii.mask_text(f"please write {spelt} now", w) == "please write <EMAIL> now"
+
+
+def test_islands_never_change_the_result():
+    w, r = pii.fitted_weights(), random.Random(8)
+    at = [" at ", " AT ", " aT ", "[at]", " [AT] ", "{ at }", "(At)", "@", " @ ", " at{dot}", "\tat\t", " at {dot} dot "]
+    dot = [" dot ", ".", " . ", " DOT ", "[dot]", " { Dot } ", "\t(dot)", " dot{dot} dot ", ". "]
+    found = 0
+    for n in range(1500):
+        text = prose(n, r.randint(0, 30))
+        for _ in range(r.randint(1, 3)):
+            value = r.choice(["john", "a.b", "the", "x-1", "K"]) + r.choice(at) + r.choice(["example", "Mail-host", "dot", "at"]) + r.choice(dot) + r.choice(["com", "ORG", "info", "then"])
+            text += r.choice([" ", ", ", " mail: ", "\n"]) + r.choice([value, value, "+1 (555) 010-2030", "10.0.0.1", "y" * 90, "at"]) + r.choice([" ", ". "]) + prose(n + 5000, r.randint(0, 40))
+        want = whole_spans(text, w)
+        assert pii._crf_spans(text, w) == want
+        found += len(want)
+    assert found > 500
+
+
 def test_slots(spark, edges, nothing, tmp_path):
     rows = slots.assign(edges, shards=3, slots=64, map_path=str(tmp_path / "map")).collect()
     assert len(rows) == len(edge_rows())
