@@ -121,13 +121,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number) of every maximal run without the characters
-    space and U+0009 to U+000D, in order; runs never cross texts."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of every maximal run without ``separators`` (a
+    table of 256; space and U+0009 to U+000D), in order; runs never cross texts."""
     n = len(data)
     if n == 0:
         return (np.zeros(0, np.int64),) * 3
-    full = ~_SPACE[data]
+    full = ~separators[data]
     begins = np.zeros(n + 1, dtype=bool)  # where a text begins
     begins[offsets] = True
     start = full.copy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bytecnn, decontaminate, domcrf, hosttrust, langid, neardup, orderminhash, pieces, pii, slots
+from labeltext.llm import bytecnn, decontaminate, domcrf, hosttrust, langid, lexical, neardup, orderminhash, pieces, pii, slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,10 +89,14 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score(docs, bytecnn.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_host_trust, op2_semi_crf_pii, op3_virtual_slots, op4_superminhash_dedup, op5_order_minhash, op6_language_id, language_of_pages, op7_gumbel_pieces, op8_cgk_decontamination,
-        op9_dom_crf, op10_byte_cnn,
+        op9_dom_crf, op10_byte_cnn, op11_mask_search,
     )
 }

@@ -23,6 +23,24 @@ least_of AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
 labelled AS (SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(l.v, n.doc_id)) AS component_id FROM n LEFT JOIN least_of l ON l.u = n.doc_id)"""
 
 
+def search_sql(k: int) -> str:
+    """Ranked lexical search of ``benchmark`` items over ``documents``."""
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH t AS (SELECT doc_id, {terms} AS w FROM documents),
+d AS (SELECT doc_id, len(w) AS n FROM t WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, sum(n) AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+m AS (SELECT doc_id, ((50 * n * docs) // total)::BIGINT + 50 AS m FROM d, s),
+c AS (SELECT q.item_id, p.doc_id, sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m)))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM c WHERE score > 0 QUALIFY rank <= {k}"""
+
+
 ORACLE = {
     "op4_superminhash_dedup": f"WITH RECURSIVE {component_sql('documents', 4, 80)} SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM labelled",
+    "op11_mask_search": search_sql(50),
 }
