@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bytecnn, decontaminate, domcrf, hosttrust, langid, lexical, neardup, orderminhash, pieces, pii, slots
+from labeltext.llm import bytecnn, decontaminate, domcrf, hosttrust, langid, lexical, neardup, orderminhash, pieces, pii, repair, slots, warc
+from labeltext.llm.staging import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,10 +94,28 @@ def op11_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults, repaired; the repaired texts go into a digest."""
+    conversations = _table(spark, sf_dir, "conversations")
+    done = repair.repair(repair.damage(conversations))
+    digest = repair.digests(done.rows).withColumnRenamed("conv_id", "digest_of")
+    every = conversations.select(F.col("conv_id").alias("id")).distinct()
+    out = every.join(done.summary, F.col("id").eqNullSafe(F.col("conv_id")), "left").join(digest, F.col("id").eqNullSafe(F.col("digest_of")), "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written to the shared folder and read back."""
+    path = shared_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.salvage(spark, path))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_host_trust, op2_semi_crf_pii, op3_virtual_slots, op4_superminhash_dedup, op5_order_minhash, op6_language_id, language_of_pages, op7_gumbel_pieces, op8_cgk_decontamination,
-        op9_dom_crf, op10_byte_cnn, op11_mask_search,
+        op9_dom_crf, op10_byte_cnn, op11_mask_search, op12_conversation_repair, op13_warc_salvage,
     )
 }

@@ -43,4 +43,10 @@ FROM c WHERE score > 0 QUALIFY rank <= {k}"""
 ORACLE = {
     "op4_superminhash_dedup": f"WITH RECURSIVE {component_sql('documents', 4, 80)} SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM labelled",
     "op11_mask_search": search_sql(50),
+    "op13_warc_salvage": """
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest)""",
 }
