@@ -90,11 +90,27 @@ def truncate_tokens(col: Column | str, max_tokens: int = MAX_DESCRIPTION_TOKENS)
     return F.substring_index(T.py_strip(T.collapse_ws(_c(col))), " ", max_tokens)
 
 
+def keep_last_tokens(col: Column | str, max_tokens: int) -> Column:
+    """The last ``max_tokens`` whitespace tokens with single spaces between
+    them (truncation on the left): a prompt that is too long keeps its end."""
+    if max_tokens <= 0:
+        raise ValueError("max_tokens must be positive")
+    return F.substring_index(T.py_strip(T.collapse_ws(_c(col))), " ", -max_tokens)
+
+
 def hashed_ids(tokens: Column, vocab_size: int = 32000) -> Column:
     """Default token ids: ``pmod(xxhash64(token), vocab_size)`` as INT."""
     return F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(vocab_size)).cast("int"))
 
 
+def md5_ids(col: Column | str, vocab_size: int = 32000) -> Column:
+    """Token ids of a text's whitespace tokens from the first 15 hex digits of
+    their MD5: portable, since other engines have that hash. Slower than
+    the default; pass it as ``token_ids`` to ``encode_examples``."""
+    digits = lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("bigint")
+    return F.transform(whitespace_tokens(col), lambda t: (digits(t) % F.lit(vocab_size)).cast("int"))
+
+
 def token_ids_udf(make_tokenizer, name: str = "token_ids"):
     """Wrap a tokenizer factory as an Arrow UDF ``string -> array<int>``.
 

@@ -11,14 +11,14 @@ from __future__ import annotations
 import html
 import html.entities
 import re
+import sys
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-import sys
-
 
 def _class(chars: str) -> str:
     """A regex character class written with escapes only (Java syntax).
@@ -58,13 +58,6 @@ ANSWER_PREFIX = r"^(?:skill category|skill_name|skill name|answer|response)WS*:W
 ANSWER_STRIP_CHARS = " \t\n\r\"'`.,;:"
 EMPTY_PREDICTION = "[empty]"
 MISSING_TEXT = "nan"
-# Named entities decoded on the JVM (the rest go through html.unescape).
-NATIVE_ENTITIES = [
-    "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot",
-    "mdash", "ndash", "hellip", "laquo", "raquo", "lsquo", "rsquo", "ldquo",
-    "rdquo", "bull", "euro", "pound", "yen", "cent", "sect", "deg", "times",
-    "divide", "plusmn", "para", "amp",
-]
 # ---------------------------------------------------------------------------
 
 CONTROL = _class(CONTROL_CHARS)
@@ -86,63 +79,103 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# --- entity decoding --------------------------------------------------------
+# --- STR3 entity decoding ----------------------------------------------------
 
-def _entity_char(name: str) -> str:
-    return html.entities.html5[name + ";"]
+# Code points that a numeric reference may not name: dropped, or replaced by
+# what Windows-1252 has at 0x80-0x9F (its five holes stay as they are).
+REPLACEMENT = "\ufffd"
+C1_MEANING = "".join(bytes([i]).decode("cp1252", "replace").replace(REPLACEMENT, chr(i)) for i in range(0x80, 0xA0))
+NAME = "^[^\t\n\f <&#;]{1,32};?"
 
 
-def _legacy(name: str) -> bool:
-    """Names the HTML5 standard also accepts without the closing ';'."""
-    return name in html.entities.html5
+# Names that also count without ';', and as the beginning of a longer word.
+LEGACY = {n: c for n, c in html.entities.html5.items() if not n.endswith(";")}
+# A name's characters are one or two; tables give them two places.
+FILLER = "\uffff"
 
 
-def unescape_html(col: Column | str) -> Column:
-    """Decode the named entities in ``NATIVE_ENTITIES`` on the JVM.
-
-    Equals ``html.unescape`` whenever every ``&`` in the value starts one of
-    the native forms (see ``needs_exact_unescape``). Values without ``&`` skip
-    the chain. Plain ``replace`` (byte search) does the work; names the
-    standard accepts without ';' are replaced in both forms. ``&amp;`` goes
-    last and by one regex pass so that ``&amp;lt;`` and ``&amp;amp`` decode
-    once, as in a single-pass decoder.
-    """
-    text = _c(col)
-    out = text
-    for name in NATIVE_ENTITIES:
-        char = F.lit(_entity_char(name))
-        if name == "amp":
-            out = F.regexp_replace(out, "&amp;?", "&")
-            continue
-        out = F.replace(out, F.lit(f"&{name};"), char)
-        if _legacy(name):
-            out = F.replace(out, F.lit(f"&{name}"), char)
-    return F.when(F.instr(text, "&") > 0, out).otherwise(text)
+def _name_table(names: dict[str, str]) -> str:
+    """The names as one text in which a name is found by a byte search."""
+    return "\n" + "\n".join(f"{n}\t{c.ljust(2, FILLER)}" for n, c in names.items()) + "\n"
+
+
+ALL_NAMES, LEGACY_NAMES = _name_table(html.entities.html5), _name_table(LEGACY)
+
+
+def bind(col: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once. Catalyst inlines a column wherever it is
+    named and evaluates it anew in each branch of a CASE; a lambda's variable
+    is evaluated once."""
+    return F.get(F.transform(F.array(col), body), 0)
+
+
+def _sql_string(s: str) -> str:
+    return "'" + "".join(f"\\u{ord(c):04x}" if c in "'\\$\n\t" else c for c in s) + "'"
+
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _native_form_re() -> str:
-    alts = []
-    for name in NATIVE_ENTITIES:
-        if _legacy(name):
-            alts.append(f"{name};?(?![^\\t\\n\\f <&#;])")
-        else:
-            alts.append(f"{name};")
-    return "|".join(alts)
 
+def _meaning(name: str, table: str) -> str:
+    """SQL: the characters of a name; NULL if the table has no such name."""
+    found = _let("place", f"instr(names, concat('\\n', {name}, '\\t'))",
+                 f"if(place > 0, rtrim('{FILLER}', substr(names, place + length({name}) + 2, 2)), NULL)")
+    return _let("names", _sql_string(table), found)
 
-# An '&' that html.unescape would decode and that is not one of the native
-# forms (numeric references, other names, longer names with a native prefix).
-NEEDS_EXACT_RE = f"&(?!{_native_form_re()}|[\\t\\n\\f <&;]|$)"
 
+def _unescape_sql() -> str:
+    """The body of the SQL function: the text ``t`` is cut at every '&' and the
+    parts behind one are decoded, each by itself.
 
-def needs_exact_unescape(col: Column | str) -> Column:
-    """True when the native decoder could differ from ``html.unescape``."""
-    return _c(col).rlike(NEEDS_EXACT_RE)
+    A number: '#', 'x' before hexadecimal digits, any number of zeros; code points
+    beyond Unicode, surrogates and 0 are U+FFFD, 0x80-0x9F as in C1_MEANING,
+    other control characters and noncharacters are dropped. A name: the whole
+    one, else the longest beginning that counts without ';', else left as it is.
+    """
+    dropped = "(n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n & 65535 >= 65534)"
+    character = (f"CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN '{REPLACEMENT}' "
+                 f"WHEN n BETWEEN 128 AND 159 THEN substr({_sql_string(C1_MEANING)}, n - 127, 1) "
+                 f"WHEN {dropped} THEN '' ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END")
+    value = ("CASE WHEN digits = '' THEN 0 WHEN length(digits) > 7 THEN 1114112 "
+             "WHEN substr(sign, 2, 1) IN ('x', 'X') THEN CAST(conv(digits, 16, 10) AS INT) ELSE CAST(digits AS INT) END")
+    digits = "ltrim('0', substr(sign, if(substr(sign, 2, 1) IN ('x', 'X'), 3, 2)))"
+    rest = "substr(part, length(sign) + if(substr(part, length(sign) + 1, 1) = ';', 2, 1))"
+    number = _let("sign", "regexp_extract(part, '^#(?:[0-9]+|[xX][0-9a-fA-F]+)', 0)",
+                  f"if(sign = '', concat('&', part), concat({_let('n', _let('digits', digits, value), character)}, {rest}))")
+    begins = f"transform(sequence({max(map(len, LEGACY))}, 2), k -> concat({_meaning('substr(name, 1, k)', LEGACY_NAMES)}, substr(name, k + 1)))"
+    named = _let("name", f"regexp_extract(substr(part, 1, 33), {_sql_string(NAME)}, 0)",
+                 f"concat(coalesce({_meaning('name', ALL_NAMES)}, get(filter({begins}, x -> x IS NOT NULL), 0), concat('&', name)), "
+                 "substr(part, length(name) + 1))")
+    part = (f"CASE WHEN startswith(part, 'amp;') THEN concat('&', substr(part, 5)) WHEN startswith(part, '#') THEN {number} "
+            f"WHEN substr(part, 1, 1) IN ('', '\\t', '\\n', '\\f', ' ', '<', ';') THEN concat('&', part) ELSE {named} END")
+    whole = f"concat(parts[0], array_join(transform(slice(parts, 2, size(parts)), part -> {part}), ''))"
+    return f"if(instr(t, '&') = 0, t, {_let('parts', "split(t, '&')", whole)})"
+
+
+UNESCAPE = "labeltext_unescape_html"
+
+
+def unescape_html(col: Column | str) -> Column:
+    """STR3: ``html.unescape`` on the JVM, exact for all names, the names that
+    count without ';' (also as a beginning), and decimal and hexadecimal numbers.
+
+    Every reference is decoded once, so that ``&amp;lt;`` becomes ``&lt;``. Texts
+    without '&' are passed through. The expression is a temporary SQL function of the active
+    session, made at its first use: building it call by call
+    through Py4J took half a second for every column.
+    """
+    spark = SparkSession.active()
+    if not getattr(spark, "_" + UNESCAPE, False):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {UNESCAPE}(t STRING) RETURNS STRING RETURN {_unescape_sql()}")
+        setattr(spark, "_" + UNESCAPE, True)
+    return F.call_function(UNESCAPE, _c(col))
 
 
 @F.pandas_udf(StringType())
 def unescape_html_exact(s: pd.Series) -> pd.Series:
-    """Full HTML5 decoding (stdlib ``html.unescape``), Arrow-batched."""
+    """The standard library's ``html.unescape`` in Arrow batches, as a cross-check."""
     return s.map(lambda v: v if v is None else html.unescape(v))
 
 
@@ -176,29 +209,12 @@ def as_text(col: Column | str) -> Column:
 # --- STR2 clean_text --------------------------------------------------------
 
 def decode_entities(col: Column | str, entities: str = "auto") -> Column:
-    """HTML entity decoding with a chosen tier.
-
-    ``native``: JVM only (``unescape_html``): exact for the entities in
-    ``NATIVE_ENTITIES``; ``needs_exact_unescape`` tells which rows it could
-    get wrong. ``exact``: ``html.unescape`` on every row. ``auto`` (default):
-    rows holding an ``&`` go to ``html.unescape`` (Arrow-batched); rows
-    without one cannot hold an entity and are passed through. The UDF is fed
-    NULL for those rows, so Arrow ships a validity bit, not their text.
-
-    Why ``auto`` uses Python: measured on the driver tables at sf0.1
-    (``local[8]``), decoding by ``html.unescape`` in Arrow batches took
-    0.34 s on pages (every page has an ``&``) against 0.75 s for the JVM
-    chain of ``replace`` calls, and 0.62 s against 0.71 s on documents; and it
-    is exact for all 2,231 HTML5 names, numeric forms and legacy prefixes.
-    """
-    text = _c(col)
-    if entities == "native":
-        return unescape_html(text)
-    if entities == "exact":
-        return unescape_html_exact(text)
+    """STR3 by tier: ``auto`` (default) decodes on the JVM, ``exact`` by the
+    standard library in Python workers. Both give the same text."""
     if entities == "auto":
-        has_amp = F.instr(text, "&") > 0
-        return F.when(has_amp, unescape_html_exact(F.when(has_amp, text))).otherwise(text)
+        return unescape_html(col)
+    if entities == "exact":
+        return unescape_html_exact(_c(col))
     raise ValueError(f"unknown entities tier: {entities!r}")
 
 
@@ -210,13 +226,14 @@ def clean_text(col: Column | str, entities: str = "auto") -> Column:
     passes run only on values that contain a ``<`` (a byte search), since
     each regex pass copies the value to UTF-16 and back.
     """
-    text = decode_entities(col, entities)
-    tags = F.regexp_replace(F.regexp_replace(text, "(?i)" + BLOCK_TAG, " "), ANY_TAG, " ")
-    text = F.when(F.instr(text, "<") > 0, tags).otherwise(text)
+    def without_tags(text: Column) -> Column:
+        tags = F.regexp_replace(F.regexp_replace(text, "(?i)" + BLOCK_TAG, " "), ANY_TAG, " ")
+        return F.when(F.instr(text, "<") > 0, tags).otherwise(text)
+
     # control characters -> space, then whitespace runs -> one space: runs of
     # (control | whitespace) become one space.
-    text = py_strip(_runs_to_space(text, _BLANKISH))
-    return F.nullif(text, F.lit(""))
+    text = py_strip(_runs_to_space(bind(decode_entities(col, entities), without_tags), _BLANKISH))
+    return bind(text, lambda t: F.nullif(t, F.lit("")))
 
 
 # --- STR4 / STR5 lengths ----------------------------------------------------
@@ -280,8 +297,3 @@ def labels_match(truth: Column | str, prediction: Column | str,
     if mode == "casefold":
         return F.lower(py_strip(as_text(truth))) == F.lower(py_strip(as_text(prediction)))
     raise ValueError(f"unknown match mode: {mode!r}")
-
-
-def truncate_chars(col: Column | str, n: int = 60) -> Column:
-    """Display truncation ``s[:n]``."""
-    return F.substring(_c(col), 1, n)

@@ -140,50 +140,43 @@ def preprocess_postings(postings: DataFrame, min_description_words: int = 50,
 
 # --- AGG3 / AGG4 on the narrow frame ------------------------------------------
 
-def funnel_frame(postings: DataFrame, min_description_words: int = 50,
-                 entities: str = "auto") -> DataFrame:
-    """One narrow row per raw posting: (job_id, drop_reason, key).
-
-    ``drop_reason`` follows the reference order: ``missing`` (title or
-    description NULL), ``blank_after_clean``, ``duplicate`` (not the first of
-    its (title, description) among rows still present), ``short``; NULL when
-    the row is kept.
-    """
-    require_columns(postings, POSTING_COLUMNS, "postings")
-    df = postings.select("job_id", "title", "description")
-    missing = F.col("title").isNull() | F.col("description").isNull()
-    ct = T.clean_text("title", entities)
-    cd = T.clean_text("description", entities)
-    narrow = df.select(
-        "job_id",
-        missing.alias("_missing"),
-        (ct.isNull() | cd.isNull()).alias("_blank"),
-        ct.isNull().alias("_title_null"),
-        cd.isNull().alias("_desc_null"),
-        pair_key(ct, cd).alias(KEY),
-        F.coalesce(T.word_count_clean(cd), F.lit(0)).alias("_wc"),
-    )
-    narrow = fence(narrow, "funnel")
-    present = narrow.filter(~F.col("_missing") & ~F.col("_blank"))
-    winners = present.groupBy(KEY).agg(F.min("job_id").alias("_first_id"))
-    joined = narrow.join(winners, KEY, "left")
-    reason = (
-        F.when(F.col("_missing"), F.lit("missing"))
-        .when(F.col("_blank"), F.lit("blank_after_clean"))
-        .when(F.col("job_id") != F.col("_first_id"), F.lit("duplicate"))
-        .when(F.col("_wc") < min_description_words, F.lit("short"))
-    )
-    return joined.select("job_id", reason.alias("drop_reason"), KEY, "_title_null", "_desc_null")
-
-
 # Funnel steps in the reference's order.
 FUNNEL_STEPS = ["missing", "blank_after_clean", "duplicate", "short"]
 
 
-def funnel_counts(postings: DataFrame, min_description_words: int = 50,
-                  entities: str = "auto") -> DataFrame:
-    """One row: total, per-step removed counts, kept rows, and the kept-row
-    self-checks, from one skinny aggregation (no join).
+def mark_postings(postings: DataFrame, min_description_words: int = 50, entities: str = "auto") -> DataFrame:
+    """Every posting once, cleaned, with its lengths and what the funnel needs:
+    ``_missing`` (title or description NULL before cleaning), ``_blank`` (after
+    it) and the dedup ``KEY`` (NULL unless both are there). Written once, this table serves
+    the cleaned postings, the report and the funnel."""
+    df = with_lengths(clean_fields(postings, entities).withColumnRenamed("_missing_raw", "_missing"))
+    blank = F.col("title").isNull() | F.col("description").isNull()
+    df = df.withColumn("_blank", blank)
+    return df.withColumn(KEY, F.when(~F.col("_missing") & ~blank, pair_key("title", "description")))
+
+
+def marked_candidates(marked: DataFrame, min_description_words: int = 50) -> DataFrame:
+    """``clean_candidates`` of a marked table."""
+    if min_description_words < 0:
+        raise ValueError("min_description_words cannot be below zero")
+    kept = marked.filter(F.col(KEY).isNotNull() & (F.col("description_word_count") >= min_description_words))
+    return kept.drop("_missing", "_blank")
+
+
+def _funnel_rows(postings: DataFrame, entities: str) -> DataFrame:
+    """The narrow columns of ``mark_postings``, straight from the postings."""
+    require_columns(postings, POSTING_COLUMNS, "postings")
+    missing = F.col("title").isNull() | F.col("description").isNull()
+    cleaned = fence(postings.select(missing.alias("_missing"), *[T.clean_text(c, entities).alias(c) for c in ("title", "description")]), "funnel")
+    blank = F.col("title").isNull() | F.col("description").isNull()
+    return cleaned.select("_missing", blank.alias("_blank"),
+                          F.when(~F.col("_missing") & ~blank, pair_key("title", "description")).alias(KEY),
+                          T.word_count_clean("description").alias("description_word_count"))
+
+
+def funnel_counts(rows: DataFrame, min_description_words: int = 50) -> DataFrame:
+    """One row: total, rows removed per step and rows kept, of a marked table,
+    from one skinny aggregation (no join).
 
     Rows are grouped by the (title, description) key (NULL for rows missing
     or blank after cleaning); the partial aggregate collapses every group,
@@ -192,22 +185,9 @@ def funnel_counts(postings: DataFrame, min_description_words: int = 50,
     the word minimum (word count is a function of the description, hence of
     the key); kept = distinct keys - short.
     """
-    require_columns(postings, POSTING_COLUMNS, "postings")
-    df = postings.select("job_id", "title", "description")
-    missing = F.col("title").isNull() | F.col("description").isNull()
-    ct = T.clean_text("title", entities)
-    cd = T.clean_text("description", entities)
-    narrow = fence(df.select(
-        missing.alias("_missing"),
-        (ct.isNull() | cd.isNull()).alias("_blank"),
-        pair_key(ct, cd).alias(KEY),
-        F.coalesce(T.word_count_clean(cd), F.lit(0)).alias("_wc"),
-    ), "funnel")
-    present = ~F.col("_missing") & ~F.col("_blank")
-    keyed = narrow.select(F.when(present, F.col(KEY)).alias(KEY), "_missing", "_blank", "_wc")
-    groups = keyed.groupBy(KEY).agg(
+    groups = rows.groupBy(KEY).agg(
         F.count("*").alias("n"), F.count_if("_missing").alias("n_missing"),
-        F.count_if(~F.col("_missing") & F.col("_blank")).alias("n_blank"), F.max("_wc").alias("wc"))
+        F.count_if(~F.col("_missing") & F.col("_blank")).alias("n_blank"), F.max("description_word_count").alias("wc"))
     is_key = F.col(KEY).isNotNull()
     is_kept = is_key & (F.col("wc") >= min_description_words)
     return groups.agg(
@@ -223,7 +203,7 @@ def funnel_counts(postings: DataFrame, min_description_words: int = 50,
 def drop_funnel(postings: DataFrame, min_description_words: int = 50,
                 entities: str = "auto") -> DataFrame:
     """AGG4: rows before, removed, after and removed share (%, 2 dp) per step."""
-    agg = funnel_counts(postings, min_description_words, entities)
+    agg = funnel_counts(_funnel_rows(postings, entities), min_description_words)
     rows = []
     before = F.col("n")
     for i, s in enumerate(FUNNEL_STEPS, start=1):
@@ -246,25 +226,30 @@ REPORT_METRICS = [
 ]
 
 
-def cleaning_report(postings: DataFrame, min_description_words: int = 50,
-                    entities: str = "auto", cleaned: DataFrame | None = None) -> DataFrame:
-    """AGG3: the eight-row (metric, value DOUBLE) report, from ``funnel_counts``.
+def cleaning_report(postings: DataFrame | None, min_description_words: int = 50, entities: str = "auto",
+                    cleaned: DataFrame | None = None, marked: DataFrame | None = None) -> DataFrame:
+    """AGG3: the eight-row (metric, value DOUBLE) report.
 
-    ``remaining_duplicate_jobs``, ``missing_titles`` and
-    ``missing_descriptions`` are self-checks: they are counted on ``cleaned``,
-    the cleaned table (default: computed here), not derived.
+    The counts come from ``funnel_counts`` over ``marked`` (a written
+    ``mark_postings`` table) or, without it, over one cleaning pass of ``postings``.
+    ``remaining_duplicate_jobs``, ``missing_titles`` and ``missing_descriptions`` are
+    self-checks counted on ``cleaned``, the cleaned table as written. Without that
+    table the same pass is all there is: a kept row has a key, and so a title
+    and a description, and each key is kept once, so they are 0.
     """
+    rows = _funnel_rows(postings, entities) if marked is None else marked
+    counts = funnel_counts(rows, min_description_words)
     if cleaned is None:
-        cleaned = preprocess_postings(postings, min_description_words, entities)
-    per_key = cleaned.groupBy(pair_key("title", "description").alias(KEY)).agg(
-        F.count("*").alias("n"), F.count_if(F.col("title").isNull()).alias("no_title"),
-        F.count_if(F.col("description").isNull()).alias("no_description"))
-    checks = per_key.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"),
-        F.coalesce(F.sum("no_title"), F.lit(0)).alias("no_title"),
-        F.coalesce(F.sum("no_description"), F.lit(0)).alias("no_description"))
-    c = funnel_counts(postings, min_description_words, entities).select(
-        "n", "kept", F.struct(*[checks.select(x).scalar().alias(x) for x in checks.columns]).alias("check"))
+        c = counts.select("n", "kept", F.struct(*[F.lit(0).alias(x) for x in ("repeats", "no_title", "no_description")]).alias("check"))
+    else:
+        per_key = cleaned.groupBy(pair_key("title", "description").alias(KEY)).agg(
+            F.count("*").alias("n"), F.count_if(F.col("title").isNull()).alias("no_title"),
+            F.count_if(F.col("description").isNull()).alias("no_description"))
+        checks = per_key.agg(
+            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"),
+            F.coalesce(F.sum("no_title"), F.lit(0)).alias("no_title"),
+            F.coalesce(F.sum("no_description"), F.lit(0)).alias("no_description"))
+        c = counts.select("n", "kept", F.struct(*[checks.select(x).scalar().alias(x) for x in checks.columns]).alias("check"))
 
     def kv(metric: str, value: Column) -> Column:
         return F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"))

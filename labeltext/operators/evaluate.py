@@ -161,6 +161,36 @@ def confusion_matrix_wide(counts: DataFrame, classes: list[str]) -> DataFrame:
     return rows.unionByName(zeros).groupBy("model", "truth").agg(*cells)
 
 
+OTHER = "[other]"
+
+
+def confusion_matrix_observed(counts: DataFrame, classes: list[str] | None = None, max_classes: int = 500) -> DataFrame:
+    """AGG12 (wide) that loses no row: one row per model and truth class, a
+    column per class and the column ``[other]`` for all other predictions.
+
+    ``classes`` defaults to the observed truths, found by a pass that is
+    bounded by ``max_classes`` (more is an error: use the long form). With
+    given classes, rows of any other truth count under the truth ``[other]``.
+    The cells of a model add up to its rows. A class named ``[other]`` is an error.
+    """
+    if classes is None:
+        seen = counts.select("truth").distinct().limit(max_classes + 1).collect()
+        names = sorted(r[0] for r in seen)
+    else:
+        wanted = counts.sparkSession.createDataFrame([(c,) for c in classes], "c string")
+        names = sorted({r[0] for r in wanted.select(T.normalize_label("c")).collect()})
+    if len(names) > max_classes:
+        raise ValueError(f"more than {max_classes} truth classes: use confusion_matrix")
+    if OTHER in names:
+        raise ValueError(f"a class is named {OTHER}")
+    named = lambda c: F.when(F.col(c).isin(names), F.col(c)).otherwise(OTHER)
+    grid = counts.select("model").distinct().select("model", F.explode(F.array(*[F.lit(c) for c in names])).alias("truth"),
+                                                    F.lit(None).cast("string").alias("prediction"), F.lit(0).cast("bigint").alias("n")) if names else None
+    cells = counts.select("model", named("truth").alias("truth"), named("prediction").alias("prediction"), "n")
+    cells = cells if grid is None else cells.unionByName(grid)
+    return cells.groupBy("model", "truth").pivot("prediction", [*names, OTHER]).agg(F.sum("n")).na.fill(0)
+
+
 def classification_report(counts: DataFrame) -> DataFrame:
     """AGG13: per class precision, recall, f1, support, plus the accuracy,
     macro avg and weighted avg rows; per model."""

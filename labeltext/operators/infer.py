@@ -13,10 +13,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions import prompts as PR
 from ..functions import text as T
 from .rank import sample_exact
 
@@ -64,6 +68,41 @@ def batch_predict(df: DataFrame, make_predictor: Callable[[], Predictor], input_
     return df.select(id_col, input_col).mapInPandas(run, f"{id_col} {id_type}, {output_col} string")
 
 
+MAX_INPUT_LENGTH, MAX_NEW_TOKENS = 512, 12
+
+
+def generate_answers(df: DataFrame, make_predictor: Callable[[], Predictor], input_col: str = "instruction",
+                     template: PR.ChatTemplate = PR.DEFAULT_TEMPLATE, max_input_length: int = MAX_INPUT_LENGTH,
+                     max_new_tokens: int = MAX_NEW_TOKENS, batch_size: int = 2, output_col: str = "raw_prediction") -> DataFrame:
+    """INF1 with its token limits: ``df`` plus the text given to the model
+    (``model_input``) and its answer.
+
+    The instruction becomes a user message with the generation marker. An input of
+    more than ``max_input_length`` tokens loses its beginning, so the closing line
+    and the marker stay; an answer is cut after ``max_new_tokens`` tokens (both
+    whitespace tokens, on the JVM). ``predict_batch_udf`` keeps one predictor per
+    Python worker and hands it ``batch_size`` inputs at a time. A NULL instruction
+    is a NULL input and answer. A predictor's NULL answer stays NULL.
+    """
+    if batch_size <= 0 or max_new_tokens <= 0:
+        raise ValueError("batch_size and max_new_tokens must be positive")
+
+    def load():
+        predictor = make_predictor()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            asked = [t for t in texts if t is not None]
+            answers = iter(predictor(asked) if asked else [])
+            return np.array([None if t is None else next(answers) for t in texts], dtype=object)
+
+        return predict
+
+    ask = predict_batch_udf(load, return_type=StringType(), batch_size=batch_size)
+    prompt = template.render(PR.chat_messages(input_col), add_generation_prompt=True)
+    given = df.withColumn("model_input", F.when(F.col(input_col).isNotNull(), PR.keep_last_tokens(prompt, max_input_length)))
+    return given.withColumn(output_col, PR.truncate_tokens(ask("model_input"), max_new_tokens))
+
+
 def inference_job(eval_set: DataFrame, make_predictor: Callable[[], Predictor], sample_size: int | None = 20,
                   seed: int = 42, batch_size: int = 2, id_col: str = "job_id", label: str = "skill_name",
                   mode: str = "casefold", output_dir: str | None = None) -> DataFrame:
@@ -98,7 +137,7 @@ def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "descrip
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 
     indexer = StringIndexer(inputCol=label_col, outputCol="label", handleInvalid="keep")
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\W+", minTokenLength=1)
@@ -106,7 +145,48 @@ def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "descrip
     idf = IDF(inputCol="_tf", outputCol="features")
     lr = LogisticRegression(maxIter=max_iter, regParam=0.01)
     model = Pipeline(stages=[indexer, tok, tf, idf, lr]).fit(train)
-    labels = model.stages[0].labelsArray[0]
-    back = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=list(labels))
-    scored = back.transform(model.transform(test))
-    return model, scored.drop("_tokens", "_tf", "features", "rawPrediction", "probability")
+    return model, label_predictions(model, test)
+
+
+def label_predictions(model, df: DataFrame) -> DataFrame:
+    """``df`` with the fitted pipeline's ``prediction_label``."""
+    from pyspark.ml.feature import IndexToString
+
+    back = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=list(model.stages[0].labelsArray[0]))
+    scored = back.transform(model.transform(df))
+    return scored.drop("_tokens", "_tf", "features", "rawPrediction", "probability")
+
+
+def training_job(train: DataFrame, validation: DataFrame, output_dir: str, params: dict | None = None,
+                 text_col: str = "description", label_col: str = "skill_name") -> dict[str, str]:
+    """TRN1 + SNK4: fit, save the model, score both splits with it, and write
+    ``train_metrics``, ``eval_metrics`` and ``training_metadata``. Returns
+    name -> path. The scores come from the saved model, read back.
+
+    Both frames need at least one row; the counts in the metadata are those of
+    the scored tables.
+    """
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    from ..sinks.writers import write_table
+    from . import evaluate as V
+    from .validate import require_rows
+
+    spark, base, params = train.sparkSession, output_dir.rstrip("/"), params or {}
+    require_rows(train, "the training split")
+    require_rows(validation, "the validation split")
+    model, _ = train_classifier(train, validation, text_col, label_col, **params)
+    paths = {"model": f"{base}/model"}
+    model.write().overwrite().save(paths["model"])
+    model = PipelineModel.load(paths["model"])
+    rows = {}
+    for name, part in (("train", train), ("eval", validation)):
+        scored = label_predictions(model, part).select(F.col(label_col).alias(V.TRUTH), F.col("prediction_label").alias(V.FINETUNED))
+        counts = V.confusion_counts(V.long_predictions(scored, models={V.FINETUNED: "Classifier"}))
+        paths[f"{name}_metrics"] = write_table(V.metrics(counts), f"{base}/{name}_metrics")
+        rows[f"{name}_rows"] = spark.read.parquet(paths[f"{name}_metrics"]).first()["samples"]
+    meta = {"training_config": params, **rows, "spark_version": spark.version}
+    paths["metadata"] = write_table(spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string"), f"{base}/training_metadata", "text")
+    return paths

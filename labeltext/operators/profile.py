@@ -1,6 +1,7 @@
 """Data profiling: AGG5 (missing summary), AGG6 (length distribution),
 AGG7 (category distribution), AGG8 (class count), AGG14 (table profile),
-TOP1-2 (shortest / longest rows).
+TOP1-3 (shortest / longest rows, sorted summary), and mergeable sketches
+for AGG6 and AGG8.
 
 Every profile is one aggregation pass; wide results are turned long with
 ``explode`` over an array of structs, never with a driver loop.
@@ -11,19 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .validate import require_columns
+
 # The percentiles of the reference's describe() call.
 PERCENTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
 
 
 def missing_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """AGG5: per column, missing count and percent (2 dp), one pass."""
+    """AGG5 + TOP3: per column (all, or the chosen ones), missing count and
+    percent (2 dp), one pass; the highest percent first, ties in the order of
+    the columns."""
     cols = columns or df.columns
+    require_columns(df, cols, "the profiled table")
     agg = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     rows = [F.struct(F.lit(c).alias("column"), F.col(c).alias("missing_count"),
                      F.coalesce(F.round(F.try_divide(F.col(c) * 100.0, F.col("_n")), 2),
                                 F.lit(0.0)).alias("missing_percent"))
             for c in cols]
-    return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    # The rows are sorted inside their one array: no shuffle for a handful of rows.
+    ranked = F.array_sort(F.array(*[F.struct((-r["missing_percent"]).alias("by"), F.lit(i).alias("at"), r.alias("row")) for i, r in enumerate(rows)]))
+    return agg.select(F.explode(ranked).alias("r")).select("r.row.*")
 
 
 def length_stats(df: DataFrame, col: str) -> DataFrame:
@@ -65,6 +73,54 @@ def class_count(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_distinct(F.col(c)).alias(f"{c}_classes") for c in columns])
 
 
+def column_types(tables: dict[str, DataFrame]) -> DataFrame:
+    """AGG14: (table, position, column, type, missing) of every column of the
+    named tables; one pass a table for the missing counts."""
+    out = None
+    for name, df in tables.items():
+        cells = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        rows = [F.struct(F.lit(name).alias("table"), F.lit(i + 1).alias("position"), F.lit(f.name).alias("column"),
+                         F.lit(f.dataType.simpleString()).alias("type"), F.col(f"c{i}").alias("missing"))
+                for i, f in enumerate(df.schema.fields)]
+        one = cells.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- mergeable sketches ---------------------------------------------------------
+
+# Parameters of the sketches. KLL with k = 400: a quantile's rank is off by
+# less than 0.7 % of the rows (double that for both sides) with 99 % confidence.
+# HLL with 2**14 registers: a relative standard error of 0.82 %.
+KLL_K, KLL_RANK_ERROR = 400, 0.007
+HLL_LG_K, HLL_RELATIVE_ERROR = 14, 0.0082
+
+
+def length_sketches(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    """AGG6 in mergeable form: per group of ``by`` (a day, a file, a source) the
+    rows with a value, and a KLL sketch of ``col`` (integers). A few kilobytes a group,
+    to be stored beside the data; new groups are added without reading old rows."""
+    return df.groupBy(*by).agg(F.count(col).alias("rows"), F.kll_sketch_agg_bigint(F.col(col).cast("bigint"), F.lit(KLL_K)).alias("sketch"))
+
+
+def length_stats_of(sketches: DataFrame) -> DataFrame:
+    """One row (count, p01 ... p99) from stored sketches merged; each percentile
+    is a value whose rank is within ``KLL_RANK_ERROR`` of the one asked for."""
+    merged = sketches.where("rows > 0").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("count"), F.kll_merge_agg_bigint("sketch", F.lit(KLL_K)).alias("sketch"))
+    return merged.select("count", *[F.when(F.col("count") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(p))).alias(f"p{int(round(p * 100)):02d}") for p in PERCENTILES])
+
+
+def distinct_sketches(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """AGG8 in mergeable form: per group of ``by`` an HLL sketch of each column's
+    texts (``<column>_sketch``), NULLs left out."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(HLL_LG_K)).alias(f"{c}_sketch") for c in columns])
+
+
+def class_count_of(sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """AGG8 approximately: distinct values per column over all stored sketches."""
+    return sketches.agg(*[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")), F.lit(0)).alias(f"{c}_classes") for c in columns])
+
+
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """AGG14: rows and columns of each named table (one count job each,
     unioned)."""

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evaluate as V
+from ..operators.pairing import paired_rows
+from ..operators.validate import require_columns
 from ..sinks.writers import write_table
 from ..sources.files import read_csv
 
@@ -37,9 +39,19 @@ def read_prediction_file(spark: SparkSession, path: str, schema: str | None = No
 
 
 def evaluation_job(spark: SparkSession, path: str, output_dir: str, schema: str | None = None,
-                   baseline: bool = True, average: str = "weighted") -> dict[str, str]:
-    """EVL1: evaluate the prediction file at ``path``; returns output paths."""
+                   baseline: bool = True, average: str = "weighted", truths_path: str | None = None,
+                   truths_schema: str | None = None, key: str = "job_id") -> dict[str, str]:
+    """EVL1: evaluate the prediction file at ``path``; returns output paths.
+
+    With ``truths_path`` the truths come from a file of their own and are paired
+    with the predictions by ``key``; a missing, extra or repeated key is an
+    error before anything is written.
+    """
     df = read_prediction_file(spark, path, schema)
+    if truths_path is not None:
+        truths = read_prediction_file(spark, truths_path, truths_schema)
+        require_columns(truths, [key, V.TRUTH], "the truths")
+        df = paired_rows(truths.select(key, V.TRUTH), df.drop(V.TRUTH), key)
     results, _ = V.evaluate_predictions(df, baseline=V.BASELINE if baseline else None, average=average)
     base = output_dir.rstrip("/")
     paths = {"results": write_table(results, f"{base}/results")}

@@ -76,6 +76,12 @@ SELECT job_id, {Q.clean_text('title')} AS title, {Q.clean_text('description')} A
 
 ORACLE["unescape_html"] = f"SELECT page_id, {Q.unescape('html')} AS html FROM pages"
 
+# A chain of plain replacements cannot decode once only; the forms stand in a
+# known text, whose decoding is written out here by hand.
+ORACLE["unescape_all_forms"] = """
+SELECT doc_id, '&lt; &x & <gt; ' || chr(172) || 'it; ' || chr(169) || '2 ABC ' || chr(8364) || ' ' || chr(65533) || ' & a &; &nosuch; ' || chr(10216)
+       || ' ' || replace(text, '&', ' & ') || '&#38;' AS decoded FROM documents"""
+
 ORACLE["text_lengths"] = "WITH " + POSTINGS + f""",
 t AS (SELECT job_id, description, {Q.clean_text('description')} AS c FROM postings)
 SELECT job_id, CAST(length(description) AS INTEGER) AS raw_character_count,
@@ -238,6 +244,14 @@ SELECT s.split, count(x.job_id) AS "rows",
 FROM s CROSS JOIN n LEFT JOIN split x ON x.split = s.split GROUP BY s.split"""
 ORACLE["sample_exact"] = "WITH " + SPLIT + "\nSELECT job_id, skill_name FROM ranked WHERE \"rank\" <= 20"
 
+ORACLE["sample_approximate"] = """
+SELECT doc_id AS job_id, source FROM documents
+WHERE ('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT < """ + str(int(0.1 * 16**13))
+ORACLE["rank_repeated_ids"] = """
+WITH d AS (SELECT CASE WHEN doc_id % 3 <> 0 THEN doc_id % 100 END AS job_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS source FROM documents),
+h AS (SELECT *, md5('42:' || coalesce(CAST(job_id AS VARCHAR), chr(31) || coalesce(source, ''))) AS h FROM d)
+SELECT job_id, source, row_number() OVER (ORDER BY h, job_id NULLS FIRST, source NULLS FIRST) AS "rank", count(*) OVER () AS total_rows FROM h"""
+
 # --- profiling ---------------------------------------------------------------
 
 _POST_COLS = ["job_id", "company_name", "title", "description", "location",
@@ -272,6 +286,21 @@ ORACLE["longest_rows"] = "WITH " + CLEAN_POSTINGS + """
 SELECT job_id, title, description_word_count FROM clean_postings
 ORDER BY description_word_count DESC NULLS LAST, job_id LIMIT 20"""
 
+_TYPES = [("postings", c, "bigint" if c == "job_id" else "string") for c in _POST_COLS] + [
+    ("job_skills", "job_id", "bigint"), ("job_skills", "skill_abr", "string")]
+ORACLE["column_types"] = "WITH " + POSTINGS + """,
+job_skills AS (SELECT doc_id AS job_id, 'Q' || CAST(quality AS VARCHAR) AS skill_abr FROM labels
+               UNION ALL SELECT doc_id, 'T' || CAST(toxic AS VARCHAR) FROM labels)
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", {[x for x in _TYPES if x[0] == t].index((t, c, k)) + 1} AS position, '{c}' AS \"column\", '{k}' AS type, "
+    f"count(*) FILTER (WHERE {c} IS NULL) AS missing FROM {t}" for t, c, k in _TYPES)
+ORACLE["length_sketch"] = "\nUNION ALL\n".join(
+    f'SELECT CAST({p} AS DOUBLE) AS p, count(length(text)) AS "count", true AS within FROM documents' for p in _PCTS)
+ORACLE["class_count_sketch"] = """
+SELECT 'lang' AS "column", count(DISTINCT lang) AS exact, true AS within FROM documents
+UNION ALL SELECT 'text', count(DISTINCT text), true FROM documents
+UNION ALL SELECT 'title', count(DISTINCT split_part(text, chr(10), 1)), true FROM documents"""
+
 ORACLE["table_profile"] = """
 SELECT 'postings' AS "table", count(*) AS "rows", 7 AS "columns",
        'job_id, company_name, title, description, location, formatted_work_type, formatted_experience_level' AS column_names
@@ -346,6 +375,21 @@ SELECT count(*) FILTER (WHERE p_n IS NULL) AS missing_predictions,
        CAST(coalesce(sum(greatest(t_n - 1, 0)), 0) AS BIGINT) AS repeated_truth_keys,
        CAST(coalesce(sum(greatest(p_n - 1, 0)), 0) AS BIGINT) AS repeated_prediction_keys
 FROM j"""
+APART = PREDICTIONS + """,
+truths AS (SELECT job_id, ground_truth FROM preds WHERE job_id % 9 <> 0
+           UNION ALL SELECT job_id, ground_truth FROM preds WHERE job_id % 9 <> 0 AND job_id % 10 = 1),
+t AS (SELECT job_id, min(ground_truth) AS ground_truth, count(*) AS truth_rows FROM truths GROUP BY job_id),
+p AS (SELECT job_id, min(finetuned_prediction) AS finetuned_prediction, count(*) AS prediction_rows FROM preds WHERE job_id % 7 <> 0 GROUP BY job_id),
+pairs AS (
+  SELECT coalesce(t.job_id, p.job_id) AS job_id, ground_truth, finetuned_prediction, coalesce(truth_rows, 0) AS truth_rows,
+         coalesce(prediction_rows, 0) AS prediction_rows,
+         CASE WHEN prediction_rows IS NULL THEN 'missing_prediction' WHEN truth_rows IS NULL THEN 'missing_truth'
+              WHEN truth_rows > 1 OR prediction_rows > 1 THEN 'repeated_key' ELSE 'paired' END AS pair_status
+  FROM t FULL OUTER JOIN p ON t.job_id = p.job_id)"""
+ORACLE["pair_predictions"] = "WITH " + APART + "\nSELECT * FROM pairs"
+ORACLE["pairing_verdict"] = "WITH " + APART + "\nSELECT " + ", ".join(
+    f"count(*) FILTER (WHERE pair_status = '{s}') AS {s}" for s in ("paired", "no_key", "missing_prediction", "missing_truth", "repeated_key")) + """,
+       CAST(coalesce(sum(truth_rows + prediction_rows) FILTER (WHERE pair_status <> 'paired'), 0) AS BIGINT) AS faulty_rows FROM pairs"""
 ORACLE["class_count"] = "WITH " + PREDICTIONS + """
 SELECT count(DISTINCT ground_truth) AS ground_truth_classes,
        count(DISTINCT finetuned_prediction) AS finetuned_prediction_classes FROM results2"""
@@ -359,6 +403,7 @@ SELECT model, round(sum(tp) / sum(support), 10) AS accuracy, round(avg(precision
 FROM pcm GROUP BY model"""
 ORACLE["compare_models"] = "WITH " + PREDICTIONS + "\nSELECT * FROM weighted"
 ORACLE["evaluate_predictions"] = ORACLE["compare_models"]
+ORACLE["evaluate_paired_files"] = ORACLE["compare_models"]
 ORACLE["metric_long"] = "WITH " + PREDICTIONS + """
 SELECT model, 'accuracy' AS metric, accuracy AS value FROM weighted
 UNION ALL SELECT model, 'precision', precision FROM weighted
@@ -374,6 +419,14 @@ SELECT g.model, g.truth, """ + ", ".join(
     f"CAST(coalesce(sum(c.n) FILTER (WHERE c.prediction = '{x}'), 0) AS BIGINT) AS {x}"
     for x in ("de", "en", "es", "fr", "it")) + """
 FROM grid g LEFT JOIN counts c ON c.model = g.model AND c.truth = g.truth GROUP BY g.model, g.truth"""
+ORACLE["confusion_matrix_observed"] = "WITH " + PREDICTIONS + """,
+o AS (SELECT CASE WHEN truth = 'de' THEN 'en' ELSE truth END AS truth,
+             CASE WHEN prediction IN ('en', 'es', 'fr') THEN prediction ELSE '[other]' END AS prediction FROM long WHERE model = 'Fine-tuned')
+SELECT 'Fine-tuned' AS model, * FROM (PIVOT o ON prediction IN ('en', 'es', 'fr', '[other]') USING CAST(count(*) AS BIGINT) GROUP BY truth)"""
+ORACLE["confusion_matrix_other"] = "WITH " + PREDICTIONS + """,
+o AS (SELECT model, CASE WHEN truth IN ('es', 'fr') THEN truth ELSE '[other]' END AS truth,
+             CASE WHEN prediction IN ('es', 'fr') THEN prediction ELSE '[other]' END AS prediction FROM long)
+SELECT * FROM (PIVOT o ON prediction IN ('es', 'fr', '[other]') USING CAST(count(*) AS BIGINT) GROUP BY model, truth)"""
 ORACLE["classification_report"] = "WITH " + PREDICTIONS + """
 SELECT model, class, round(precision, 10) AS precision, round(recall, 10) AS recall, round(f1, 10) AS f1,
        CAST(support AS BIGINT) AS support FROM pcm
@@ -453,6 +506,13 @@ ORACLE["chat_messages"] = "WITH " + LABELLED_DOCS + f"""
 SELECT job_id, [{{'role': 'user', 'content': {_prompt('title', 'description')}}},
                 {{'role': 'assistant', 'content': {Q.as_text('skill_name')}}}] AS messages FROM training"""
 ORACLE["render_chat"] = f"SELECT conv_id, turn, {_render('role', 'text')} AS rendered FROM conversations"
+ORACLE["render_conversation"] = f"""
+WITH c AS (SELECT conv_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, role,
+                  {_render('role', 'text')} AS r
+           FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, CAST(max(n) AS INTEGER) AS n_messages, string_agg(r, '' ORDER BY i) AS full_text,
+       coalesce(string_agg(r, '' ORDER BY i) FILTER (WHERE NOT (i = n AND role = 'assistant')), '') || {_sql_text(_PR.DEFAULT_TEMPLATE.generation)} AS prompt_text
+FROM c GROUP BY conv_id"""
 ORACLE["conversation_roles"] = "SELECT role, count(*) AS messages FROM conversations GROUP BY role"
 ORACLE["truncate_tokens"] = f"""
 SELECT doc_id AS job_id, array_to_string(({_tokens('text')})[1:400], ' ') AS description FROM documents"""
@@ -467,6 +527,19 @@ n AS (SELECT job_id, least(len({_tokens('full_text')}), 512) AS n_full,
              least(len({_tokens('prompt_text')}), 512) AS n_prompt FROM r)
 SELECT job_id, CAST(greatest(n_full - n_prompt, 0) AS INTEGER) AS loss_tokens, CAST(n_full AS INTEGER) AS tokens FROM n"""
 
+_ID = "CAST(('0x' || substr(md5(t), 1, 15))::BIGINT % 32000 AS INTEGER)"
+ORACLE["encode_examples_md5"] = "WITH " + LABELLED_DOCS + f""",
+p AS (SELECT job_id, skill_name,
+             {_prompt('title', "array_to_string((" + _tokens("description") + ")[1:30], ' ')")} AS prompt FROM training),
+r AS (SELECT job_id, {_render("'user'", 'prompt')} || {_GEN} AS prompt_text,
+             {_render("'user'", 'prompt')} || {_render("'assistant'", Q.as_text('skill_name'))} AS full_text FROM p),
+n AS (SELECT job_id, list_transform(({_tokens('full_text')})[1:64], lambda t: {_ID}) AS ids,
+             len({_tokens('prompt_text')}) AS plen FROM r)
+SELECT job_id, list_concat(ids, list_resize([]::INTEGER[], 64 - len(ids), 0)) AS input_ids,
+       list_concat(list_resize([]::INTEGER[], len(ids), 1), list_resize([]::INTEGER[], 64 - len(ids), 0)) AS attention_mask,
+       list_concat(list_resize([]::INTEGER[], least(plen, len(ids)), -100), ids[least(plen, len(ids)) + 1:],
+                   list_resize([]::INTEGER[], 64 - len(ids), -100)) AS labels FROM n"""
+
 ORACLE["training_sample"] = "WITH " + SPLIT + """,
 tr AS (SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + """ AS title,
               """ + Q.strip("coalesce(CAST(description AS VARCHAR), '')") + """ AS description,
@@ -484,6 +557,12 @@ ORACLE["batch_predict"] = "WITH " + LABELLED_DOCS + f""",
 i AS (SELECT job_id, {_prompt('title', 'description')} AS x FROM ldocs)
 SELECT job_id, {_ACCENT.format(x='x')} AS prediction FROM i"""
 
+ORACLE["generate_answers"] = "WITH " + LABELLED_DOCS + f""",
+i AS (SELECT job_id, {_render("'user'", _prompt('title', 'description'))} || {_GEN} AS x FROM ldocs),
+k AS (SELECT job_id, ({_tokens('x')})[-60:] AS k FROM i)
+SELECT job_id, CAST(len(k) AS INTEGER) AS input_tokens, array_to_string(k[-7:], ' ') AS input_end,
+       'Answer: ' || {_ACCENT.format(x="array_to_string(k, ' ')")} || '.' AS raw_prediction FROM k"""
+
 INFERENCE = LABELLED_DOCS + """,
 e AS (SELECT job_id, """ + Q.strip("coalesce(CAST(title AS VARCHAR), '')") + """ AS title,
              """ + Q.strip("coalesce(CAST(description AS VARCHAR), '')") + """ AS description,
@@ -512,7 +591,21 @@ SELECT (SELECT count(*) FROM postings) AS original_postings,
        (SELECT count(*) FROM split WHERE split = 'validation') AS validation_rows,
        (SELECT count(*) FROM split WHERE split = 'test') AS test_rows"""
 
+ORACLE["preprocessing_job"] = ORACLE["pipeline_summary"]
+ORACLE["read_by_content"] = "SELECT doc_id, lang, source, n_chars FROM documents"
+ORACLE["sniff_files"] = """
+SELECT * FROM (VALUES ('csv', 'read', NULL), ('parquet', 'read', NULL),
+  ('xlsx', 'rejected', 'as CSV: binary content; as a workbook: xlsx is not decoded'),
+  ('unsupported', 'rejected', 'neither a CSV, workbook nor Parquet file by its suffix and first bytes')) AS f(format, status, reason)
+WHERE EXISTS (SELECT 1 FROM documents)"""
+ORACLE["csv_rejects"] = """
+WITH d AS (SELECT doc_id, lang, split_part(text, chr(10), 1) AS title, n_chars, doc_id % 11 = 0 AS short, doc_id % 13 = 0 AS bad FROM documents)
+SELECT doc_id, CASE WHEN NOT short AND title NOT IN NA_LIST THEN title END AS title, CASE WHEN NOT short AND NOT bad AND doc_id % 17 <> 0 THEN n_chars END AS n_chars,
+       CASE WHEN short THEN 'shape' WHEN bad THEN 'value:n_chars' ELSE '' END AS causes,
+       CASE WHEN short THEN CAST(doc_id AS VARCHAR) || ',' || lang END AS record FROM d"""
+
 _NA = "(" + ", ".join(Q.lit(t) for t in __import__("labeltext.sources.schema", fromlist=["NA_TOKENS"]).NA_TOKENS) + ")"
 ORACLE["ingest_csv"] = "WITH " + POSTINGS + "\nSELECT job_id, " + ", ".join(
     f"CASE WHEN {c} IN {_NA} THEN NULL ELSE {c} END AS {c}" for c in TEXT_COLUMNS) + " FROM postings"
 ORACLE["ingest_csv_reordered"] = ORACLE["ingest_csv"]
+ORACLE["csv_rejects"] = ORACLE["csv_rejects"].replace("NA_LIST", _NA)

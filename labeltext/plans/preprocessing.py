@@ -76,20 +76,20 @@ def run_preprocessing_pipeline(spark: SparkSession, postings: DataFrame, job_ski
         return kept
 
     paths = {}
-    # Stage 1: cleaned candidates (regex work done once), written in Parquet;
-    # the cleaned table, the report and the labels all start from files.
-    paths["_candidates"] = write_table(
-        C.clean_candidates(postings, config.min_description_words, config.entities),
-        f"{base}/_stage/candidates", "parquet")
-    candidates = spark.read.parquet(paths["_candidates"])
-    cleaned = hand_over("cleaned_postings", C.finish_postings(candidates))
-    paths["cleaning_report"] = write_table(
-        C.cleaning_report(postings, config.min_description_words, config.entities, cleaned),
-        f"{base}/cleaning_report", fmt)
+    # Stage 1: every posting cleaned and marked, the only scan of the input; the
+    # cleaned table, the report and the counts all start from this table.
+    paths["_marked"] = write_table(
+        C.mark_postings(postings, config.min_description_words, config.entities), f"{base}/_stage/marked", "parquet")
+    marked = spark.read.parquet(paths["_marked"])
+    cleaned = hand_over("cleaned_postings", C.finish_postings(C.marked_candidates(marked, config.min_description_words)))
+    report = C.cleaning_report(None, config.min_description_words, cleaned=cleaned, marked=marked)
+    paths["cleaning_report"] = write_table(report, f"{base}/cleaning_report", fmt)
     training = hand_over("training_dataset", L.build_training_dataset(cleaned, job_skills, skills))
     splits = R.split_dataset(training, config.train_ratio, config.validation_ratio, config.random_seed)
     paths["splits"] = write_table(splits, f"{base}/splits", fmt, ["split"])
-    summary = pipeline_summary(postings, training, config.train_ratio, config.validation_ratio)
+    # Counts of written tables, not observed metrics: those count a task twice
+    # that ran again after a lost executor. Parquet keeps row counts in its footers.
+    summary = pipeline_summary(marked, training, config.train_ratio, config.validation_ratio)
     paths["summary"] = write_table(summary, f"{base}/summary", "json")
     row = spark.read.json(paths["summary"]).first().asDict()
     manifest = run_manifest(spark, asdict(config), spark.read.json(paths["summary"]))

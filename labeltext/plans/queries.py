@@ -37,6 +37,15 @@ def q_clean_text(spark, sf):
                     T.clean_text("description").alias("description"))
 
 
+@query("unescape_all_forms")
+def q_unescape_all_forms(spark, sf):
+    """STR3 where SQL can follow: names with and without ';', as beginnings of
+    words, nested, and numbers, put around every document's text."""
+    d = S.table(spark, sf, "documents")
+    forms = "&amp;lt; &ampx &AMP &ltgt; &notit; &copy2 &#65;&#x42;&#0067; &#128; &#xD800; & a &; &nosuch; &lang;"
+    return d.select("doc_id", T.unescape_html(F.concat(F.lit(forms + " "), F.replace("text", F.lit("&"), F.lit(" & ")), F.lit("&#38;#38;"))).alias("decoded"))
+
+
 @query("unescape_html")
 def q_unescape_html(spark, sf):
     """STR3 over raw HTML pages (entity decoding only)."""
@@ -123,6 +132,7 @@ def q_drop_funnel(spark, sf):
 
 from ..operators import labels as L  # noqa: E402
 from ..operators import rank as R  # noqa: E402
+from ..session import scratch_path, stage_table  # noqa: E402
 
 
 def _clean(spark, sf):
@@ -203,8 +213,6 @@ def q_global_rank(spark, sf):
 def _labelled_table(spark, sf):
     """The labelled set written once (as the preprocessing job does), so the
     seeded cut's passes read a table, not the cleaning plan."""
-    from ..session import stage_table
-
     return stage_table(_labelled(spark, sf), "labelled")
 
 
@@ -234,9 +242,27 @@ def q_sample_exact(spark, sf):
     return R.sample_exact(R.labeled_rows(_labelled_table(spark, sf)), 20, 42).select("job_id", "skill_name")
 
 
+@query("sample_approximate")
+def q_sample_approximate(spark, sf):
+    """SMP2 without a count pass: about a tenth of the documents."""
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), "source")
+    return R.sample_approximate(docs, 0.1)
+
+
+@query("rank_repeated_ids")
+def q_rank_repeated_ids(spark, sf):
+    """RNK1 where a third of the rows have no id and equal columns, and other
+    ids repeat: the multiset of (id, source, rank) does not depend on partitions."""
+    rows = S.table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 100).alias("job_id"),
+        F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source"))
+    return R.global_rank(rows)
+
+
 # --- 2. profiling ------------------------------------------------------------
 
 from ..operators import evaluate as V  # noqa: E402
+from ..operators import pairing as PA  # noqa: E402
 from ..operators import profile as P  # noqa: E402
 from ..operators import validate as VAL  # noqa: E402
 
@@ -247,6 +273,42 @@ def q_missing_summary(spark, sf):
     return P.missing_summary(S.postings_from_documents(spark, sf))
 
 
+@query("column_types")
+def q_column_types(spark, sf):
+    """AGG14: type and missing values of every column of two inputs."""
+    return P.column_types({"postings": S.postings_from_documents(spark, sf), "job_skills": S.bridge_from_labels(spark, sf)})
+
+
+@query("length_sketch")
+def q_length_sketch(spark, sf):
+    """AGG6 from KLL sketches kept per source and merged: for each percentile,
+    whether the rank of the sketch's value is within twice the stated error."""
+    docs = S.table(spark, sf, "documents").select("source", F.length("text").alias("n"))
+    stored = stage_table(P.length_sketches(docs, "n", ["source"]), "length-sketches")
+    stats = P.length_stats_of(stored).first()  # nine numbers
+    checks = []
+    for p in P.PERCENTILES:
+        value, slack = stats[f"p{int(round(p * 100)):02d}"], 2 * P.KLL_RANK_ERROR
+        low, high = F.count_if(F.col("n") < value), F.count_if(F.col("n") <= value)
+        ok = (low <= (p + slack) * F.count("n")) & (high >= (p - slack) * F.count("n"))
+        checks.append(F.struct(F.lit(p).alias("p"), F.lit(stats["count"]).alias("count"), ok.alias("within")))
+    return docs.agg(F.array(*checks).alias("checks")).select(F.explode("checks").alias("c")).select("c.*")
+
+
+@query("class_count_sketch")
+def q_class_count_sketch(spark, sf):
+    """AGG8 from HLL sketches kept per source and merged: whether each
+    estimate is within four standard errors of the exact count."""
+    docs = S.table(spark, sf, "documents").select("source", "lang", "text", F.substring_index("text", "\n", 1).alias("title"))
+    cols = ["lang", "text", "title"]
+    estimate = P.class_count_of(stage_table(P.distinct_sketches(docs, cols, ["source"]), "distinct-sketches"), cols)
+    # The exact count of long texts goes over their hashes.
+    exact = docs.agg(*[F.count_distinct(F.unhex(F.sha2(c, 256))).alias(f"exact_{c}") for c in cols])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"exact_{c}").alias("exact"),
+                     (F.abs(estimate.select(f"{c}_classes").scalar() - F.col(f"exact_{c}")) <= 4 * P.HLL_RELATIVE_ERROR * F.col(f"exact_{c}") + 1).alias("within")) for c in cols]
+    return exact.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @query("length_stats")
 def q_length_stats(spark, sf):
     """AGG6: distribution of raw description word counts (missing = 0)."""
@@ -325,6 +387,26 @@ def q_prediction_parity(spark, sf):
     return VAL.prediction_parity(truths, _predictions(spark, sf).select("job_id"))
 
 
+def _apart(spark, sf):
+    """Truths and predictions as two tables: some keys on one side only, some twice."""
+    p = _predictions(spark, sf)
+    truths = p.filter("job_id % 9 <> 0").select("job_id", "ground_truth", F.explode(
+        F.when(F.col("job_id") % 10 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    return truths.drop("copy"), p.filter("job_id % 7 <> 0").select("job_id", "finetuned_prediction")
+
+
+@query("pair_predictions")
+def q_pair_predictions(spark, sf):
+    """JON3 + COL5: two tables paired by key, with what is wrong with each key."""
+    return PA.pair_by_key(*_apart(spark, sf))
+
+
+@query("pairing_verdict")
+def q_pairing_verdict(spark, sf):
+    """COL5: keys by status over the same join."""
+    return PA.pairing_verdict(PA.pair_by_key(*_apart(spark, sf)))
+
+
 @query("class_count")
 def q_class_count(spark, sf):
     """AGG8: distinct truth and predicted classes."""
@@ -376,6 +458,22 @@ def q_confusion_matrix_wide(spark, sf):
     return V.confusion_matrix_wide(counts, [" DE", "en", "Es", "fr", "it"])
 
 
+@query("confusion_matrix_observed")
+def q_confusion_matrix_observed(spark, sf):
+    """AGG12 (wide) over the observed truths of the fine-tuned model's rows; the
+    truth of every eleventh row is missing, predictions of no truth class count as other."""
+    p = _predictions(spark, sf)
+    frame = p.select(F.when(F.col("ground_truth") == "de", "en").otherwise(F.col("ground_truth")).alias(V.TRUTH), T.clean_prediction(V.FINETUNED).alias(V.FINETUNED))
+    return V.confusion_matrix_observed(V.confusion_counts(V.long_predictions(frame)))
+
+
+@query("confusion_matrix_other")
+def q_confusion_matrix_other(spark, sf):
+    """AGG12 (wide) over two given classes: all other rows count under other."""
+    counts = V.confusion_counts(V.long_predictions(_results(spark, sf)))
+    return V.confusion_matrix_observed(counts, ["FR", "es."])
+
+
 @query("classification_report")
 def q_classification_report(spark, sf):
     """AGG13: per-class and summary rows for both models."""
@@ -385,6 +483,7 @@ def q_classification_report(spark, sf):
 # --- 6. prompts, chat, examples ---------------------------------------------
 
 from ..functions import prompts as PR  # noqa: E402
+from ..operators import chat as CH  # noqa: E402
 from ..operators import examples as X  # noqa: E402
 
 
@@ -432,6 +531,13 @@ def q_render_chat(spark, sf):
     return c.select("conv_id", "turn", PR.DEFAULT_TEMPLATE.render_message(msg).alias("rendered"))
 
 
+@query("render_conversation")
+def q_render_conversation(spark, sf):
+    """PRM2 / PRM3: every conversation folded in order of its turns and rendered
+    whole, and as the prompt for its last answer."""
+    return CH.render_conversation(CH.fold_conversation(S.conversations(spark, sf)))
+
+
 @query("conversation_roles")
 def q_conversation_roles(spark, sf):
     """Messages per role in the conversations."""
@@ -452,6 +558,14 @@ def q_encode_examples(spark, sf):
         "job_id", "input_ids", "attention_mask", "labels")
 
 
+@query("encode_examples_md5")
+def q_encode_examples_md5(spark, sf):
+    """PRM5 / ARR1 with ids that SQL can compute: the arrays themselves."""
+    rows = VAL.validate_training_frame(_labelled_docs(spark, sf))
+    return X.encode_examples(rows, max_length=64, max_description_tokens=30, token_ids=PR.md5_ids).select(
+        "job_id", "input_ids", "attention_mask", "labels")
+
+
 @query("loss_tokens")
 def q_loss_tokens(spark, sf):
     """AGG16: loss-carrying and real tokens per encoded example."""
@@ -478,6 +592,16 @@ def q_batch_predict(spark, sf):
     return preds.select("job_id", T.clean_prediction("raw_prediction").alias("prediction"))
 
 
+@query("generate_answers")
+def q_generate_answers(spark, sf):
+    """INF1 with limits: inputs over 60 tokens lose their beginning, answers
+    have two tokens at most; the end of each input is shown."""
+    d = _labelled_docs(spark, sf).select("job_id", PR.build_prompt("title", "description").alias("instruction"))
+    out = I.generate_answers(d, I.AccentPredictor, max_input_length=60, max_new_tokens=2, batch_size=64)
+    return out.select("job_id", F.size(F.split("model_input", " ")).alias("input_tokens"),
+                      F.substring_index("model_input", " ", -7).alias("input_end"), "raw_prediction")
+
+
 @query("inference_job")
 def q_inference_job(spark, sf):
     """INF2: 20-row exact sample of the evaluation set, predicted and flagged."""
@@ -513,7 +637,6 @@ def q_train_classifier(spark, sf):
 
 # --- 8. pipeline and I/O -----------------------------------------------------
 
-from ..session import scratch_path  # noqa: E402
 from ..sinks import writers as W  # noqa: E402
 from ..sources import files as FS  # noqa: E402
 from ..sources.schema import POSTINGS_SCHEMA  # noqa: E402
@@ -552,10 +675,49 @@ def q_ingest_csv_reordered(spark, sf):
     return FS.read_csv(spark, path, POSTINGS_SCHEMA)
 
 
+def _mixed_folder(spark, sf) -> str:
+    """The documents' short columns as CSV, as CSV in other column order, as
+    Parquet, and two files that cannot be read, all under one folder."""
+    root = scratch_path(spark, "mixed")
+    d = S.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    part = lambda k: d.filter(F.col("doc_id") % 3 == k)
+    W.write_table(part(0), f"{root}/a", "csv")
+    W.write_table(part(1).select("n_chars", F.lit("x").alias("more"), "source", "lang", "doc_id"), f"{root}/b", "csv")
+    W.write_table(part(2), f"{root}/c", "parquet")
+    W.write_table(d.limit(1).select(F.lit("PK\x03\x04 a workbook").alias("value")), f"{root}/d", "text")
+    W.write_table(d.limit(1).select("doc_id"), f"{root}/e", "json")
+    return root
+
+
+@query("read_by_content")
+def q_read_by_content(spark, sf):
+    """SRC2: rows from all readable files of a folder, whatever their names."""
+    rows, _ = FS.read_by_content(spark, _mixed_folder(spark, sf), "doc_id BIGINT, lang STRING, source STRING, n_chars BIGINT")
+    return rows
+
+
 @query("sniff_files")
 def q_sniff_files(spark, sf):
-    """SRC2-4: formats of the files of a written CSV folder."""
-    return FS.sniff_files(spark, _postings_csv(spark, sf), "*.csv").select("format", "length")
+    """SRC2: the formats in that folder, with why a file is rejected."""
+    return FS.sniff_files(spark, _mixed_folder(spark, sf)).select("format", "status", "reason").distinct()
+
+
+@query("csv_rejects")
+def q_csv_rejects(spark, sf):
+    """SRC3: a CSV with short rows and bad numbers, read into a table of good rows
+    and one of rejects; both, with the causes."""
+    path = scratch_path(spark, "damaged-csv")
+    d = S.table(spark, sf, "documents")
+    title = F.concat(F.lit('"'), F.replace(F.substring_index("text", "\n", 1), F.lit('"'), F.lit('""')), F.lit('"'))
+    size = F.when(F.col("doc_id") % 13 == 0, F.concat("n_chars", F.lit("x"))).when(F.col("doc_id") % 17 == 0, "NA").otherwise(F.col("n_chars").cast("string"))
+    short = F.concat_ws(",", F.col("doc_id").cast("string"), "lang")
+    line = F.when(F.col("doc_id") % 11 == 0, short).otherwise(F.concat_ws(",", F.col("doc_id").cast("string"), "lang", title, size))
+    named = d.select(line.alias("doc_id,lang,title,n_chars"))  # the header of every file
+    named.write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    checked = FS.read_csv_checked(spark, path, "doc_id BIGINT, lang STRING, title STRING, n_chars BIGINT")
+    good, rejects = FS.split_rejects(checked, scratch_path(spark, "checked"))
+    return good.select("doc_id", "title", "n_chars", F.lit("").alias("causes"), F.lit(None).cast("string").alias("record")).unionByName(
+        rejects.select("doc_id", "title", "n_chars", F.array_join(FS.CAUSES, ",").alias("causes"), F.col(FS.RECORD).alias("record")))
 
 
 @query("evaluate_predictions")
@@ -573,6 +735,42 @@ def q_evaluate_predictions(spark, sf):
     return spark.read.parquet(paths["metrics"])
 
 
+@query("evaluate_paired_files")
+def q_evaluate_paired_files(spark, sf):
+    """EVL1 with truths and predictions in two CSV files, paired by key."""
+    from . import evaluation as EJ
+
+    p, base = _predictions(spark, sf), scratch_path(spark, "paired")
+    old = {new: name for name, new in EJ.FILE_COLUMNS.items()}
+    W.write_table(p.select("job_id", F.col(V.TRUTH).alias(old[V.TRUTH])), f"{base}/truths", "csv")
+    W.write_table(p.select("job_id", *[F.col(c).alias(old[c]) for c in (V.BASELINE, V.FINETUNED)]), f"{base}/predictions", "csv")
+    schema = "job_id BIGINT, " + ", ".join(f"`{old[c]}` STRING" for c in (V.BASELINE, V.FINETUNED))
+    paths = EJ.evaluation_job(spark, f"{base}/predictions", f"{base}/out", schema, truths_path=f"{base}/truths",
+                              truths_schema=f"job_id BIGINT, `{old[V.TRUTH]}` STRING")
+    return spark.read.parquet(paths["metrics"])
+
+
+@query("preprocessing_job")
+def q_preprocessing_job(spark, sf):
+    """PIP1 + AGG15: the whole job; its summary, counted on the written tables."""
+    done = PP.run_preprocessing_pipeline(spark, S.postings_from_documents(spark, sf), S.bridge_from_labels(spark, sf),
+                                         S.skill_dimension(spark), scratch_path(spark, "preprocessing"))
+    columns = ["original_postings", "cleaned_postings", "training_dataset_rows", "labeled_rows", "label_coverage",
+               "train_rows", "validation_rows", "test_rows"]
+    return spark.read.json(done["paths"]["summary"]).select(*columns)
+
+
+@query("training_job")
+def q_training_job(spark, sf):
+    """TRN1 + SNK4: the saved model's metrics on both splits, as written."""
+    docs = S.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("job_id"), F.col("text").alias("description"), F.col("lang").alias("skill_name"))
+    split = stage_table(R.split_dataset(docs), "training-split")
+    paths = I.training_job(split.filter("split = 'train'"), split.filter("split = 'validation'"), scratch_path(spark, "training"))
+    return spark.read.parquet(paths["train_metrics"]).withColumn("split", F.lit("train")).unionByName(
+        spark.read.parquet(paths["eval_metrics"]).withColumn("split", F.lit("eval")))
+
+
 @query("run_manifest")
 def q_run_manifest(spark, sf):
     """SNK4: run record with parameters and stage counts."""

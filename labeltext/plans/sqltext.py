@@ -3,6 +3,8 @@ Spark Column functions (character classes rewritten for RE2)."""
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from ..functions import text as T
 
 WS = T.to_re2(T.WS)
@@ -30,11 +32,20 @@ def collapse(x: str) -> str:
     return f"regexp_replace({x}, {lit(WS + '+')}, ' ', 'g')"
 
 
+# The names the given tables use, and some more; SQL replaces them one by one,
+# '&amp;' last.
+SQL_ENTITIES = [
+    "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot", "mdash", "ndash", "hellip", "laquo", "raquo",
+    "lsquo", "rsquo", "ldquo", "rdquo", "bull", "euro", "pound", "yen", "cent", "sect", "deg", "times", "divide",
+    "plusmn", "para", "amp",
+]
+
+
 def unescape(x: str) -> str:
     out = x
-    for name in T.NATIVE_ENTITIES:
-        char = T._entity_char(name)
-        if T._legacy(name):
+    for name in SQL_ENTITIES:
+        char = html5[name + ";"]
+        if name in html5:
             out = f"regexp_replace({out}, {lit('&' + name + ';?')}, {lit(char)}, 'g')"
         else:
             out = f"replace({out}, {lit('&' + name + ';')}, {lit(char)})"

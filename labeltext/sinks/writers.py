@@ -21,6 +21,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     elif fmt == "json":
         writer.json(path)
+    elif fmt == "text":
+        writer.text(path)
     else:
         raise ValueError(f"unsupported format: {fmt!r}")
     return path

@@ -125,7 +125,7 @@ def test_native_functions_have_no_python(spark):
     native = _plan(C.preprocess_postings(
         df.select("job_id", F.lit("co").alias("company_name"), "title", "description",
                   F.lit("l").alias("location"), F.lit(None).cast("string").alias("formatted_work_type"),
-                  F.lit(None).cast("string").alias("formatted_experience_level")), entities="native"))
+                  F.lit(None).cast("string").alias("formatted_experience_level"))))
     assert "EvalPython" not in native
 
 
@@ -174,13 +174,46 @@ def test_streaming_default_checkpoint_is_per_sink(spark):
         assert spark.read.parquet(sink).count() == 1
 
 
-def test_global_rank_shuffles_rows_once(spark):
+def test_global_rank_reads_its_written_ranges(spark):
     df = spark.range(2000).select(F.col("id").alias("job_id"), F.lit("x").alias("payload"))
-    plan = _plan(R.global_rank(df, "job_id", 5))
-    # rows are exchanged by bucket for the window; the offsets are broadcast;
-    # there is no join back on the id
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    hashed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert all("_b" in line for line in hashed), hashed
-    ranks = sorted(r.rank for r in R.global_rank(df, "job_id", 5).collect())
-    assert ranks == list(range(1, 2001))
+    ranked = R.global_rank(df, "job_id", 5)
+    plan = _plan(ranked)
+    # the rows were exchanged once, by range, before they were written; the
+    # offsets of the ranges are broadcast and there is no join back on the id
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+    assert sorted(r.rank for r in ranked.collect()) == list(range(1, 2001))
+
+
+def test_equal_rows_without_an_id_spread_over_ranges(spark):
+    """A third of the rows has no id and equal columns: no range holds more than
+    twice the median, and the ranks are 1..N."""
+    from labeltext.session import stage_table
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("job_id"), F.lit("x").alias("source"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        staged = []
+        R.stage_table = lambda d, name: staged.append(stage_table(d, name)) or staged[-1]
+        ranked = R.global_rank(df, "job_id", 5)
+        sizes = sorted(r["count"] for r in staged[0].groupBy(R._PART).count().collect())
+        assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        assert ranked.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank")).first() == (30_000, 1, 30_000)
+        split = R.split_dataset(df.withColumn("skill_name", F.lit("a")))
+        assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 24_000, "validation": 3_000, "test": 3_000}
+    finally:
+        R.stage_table = stage_table
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_approximate_samples_are_nested_repeatable_and_near_their_share(spark):
+    df = spark.range(20_000).select(F.col("id").alias("job_id"))
+    small = {r[0] for r in R.sample_approximate(df, 0.1, 7).collect()}
+    again = {r[0] for r in R.sample_approximate(df.repartition(13), 0.1, 7).collect()}
+    large = {r[0] for r in R.sample_approximate(df, 0.3, 7).collect()}
+    assert small == again and small < large and R.sample_approximate(df, 1).count() == 20_000
+    for got, share in ((small, 0.1), (large, 0.3)):
+        assert abs(len(got) - 20_000 * share) <= 4 * (20_000 * share * (1 - share)) ** 0.5
+    for share in (0, 1.1):
+        with pytest.raises(ValueError):
+            R.sample_approximate(df, share)
