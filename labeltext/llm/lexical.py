@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltext.llm import bytetext
-from labeltext.llm.staging import stage
+from labeltext.llm.staging import item_blocks, stage
 
 BLOCK_ITEMS = 1000
 BLOCK_BYTES = 4 << 20
@@ -49,25 +49,6 @@ def term_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield a, b, bytetext.span_hash(bytetext.prefix_hash(low), s, e) if len(s) else np.zeros(0, np.uint64), doc
 
 
-def item_blocks(items: DataFrame, block_items: int, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in blocks that fit the driver; a block holds more than
-    ``block_bytes`` only if one item alone does."""
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text <> ''").distinct()
-    named = stage(named.withColumn("size", F.octet_length("text")).withColumn("at", F.xxhash64("item_id", "text")), "lexical-items")
-    total = named.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
-    parts = max(1, -(-total["n"] // block_items), -(-(total["b"] or 0) // block_bytes))
-    for p in range(parts):
-        block, size = [], 0
-        for row in named.where(F.pmod("at", F.lit(parts)) == p).toLocalIterator():
-            if block and (len(block) >= block_items or size + row["size"] > block_bytes):
-                yield block
-                block, size = [], 0
-            block.append((row["item_id"], row["text"]))
-            size += row["size"]
-        if block:
-            yield block
-
-
 def _postings(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytetext.released(batches):
