@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +19,12 @@ from labeltext.llm.staging import stage
 
 
 class UnionFind:
-    """Union-find over arbitrary integers; the root is the smallest member."""
+    """Union-find over values that can be ordered; the root is the smallest member."""
 
     def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
+        self.parent: dict = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
         root = x
         while (up := self.parent.get(root, root)) != root:
             root = up
@@ -33,19 +33,21 @@ class UnionFind:
             x = up
         return root
 
-    def union(self, a: int, b: int) -> None:
+    def union(self, a, b) -> None:
         a, b = self.find(a), self.find(b)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
 
 
-def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sets = UnionFind()
-    for part in parts:
-        for a, b in zip(part["u"].tolist(), part["v"].tolist()):
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets, kind = UnionFind(), None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
             sets.union(a, b)
-    nodes = list(sets.parent)
-    yield pd.DataFrame({"u": nodes, "v": [sets.find(x) for x in nodes]}, dtype="int64")
+    if kind is not None:
+        nodes = list(sets.parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([sets.find(x) for x in nodes], kind)], ["u", "v"])
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -53,13 +55,13 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (u, v: long, not null).
+    """(node, component) of every node of ``edges`` (u, v: both long or both binary, not null).
 
     ``component`` is the smallest node reachable. Repeated edges, edges in
     either direction and edges from a node to itself may occur; a node with
     only the latter is left out (it is its own component). No edges: no rows.
     """
-    now = stage(edges.where("u <> v").mapInPandas(_forest, "u long, v long").where("u <> v").distinct(), "cc-forest")
+    now = stage(edges.where("u <> v").mapInArrow(_forest, edges.select("u", "v").schema).where("u <> v").distinct(), "cc-forest")
     state = None
     while (seen := _state(now)) != state:
         state = seen

@@ -2,12 +2,12 @@
 
 1. Every text's distinct word shingles are hashed and given a SuperMinHash
    signature (``superminhash.signatures``); texts with equal shingle sets form
-   one class, named by its smallest doc_id, and only the class goes on.
+   one class, named by a 128-bit hash of its set, and only the class goes on.
 2. Bands of the signature put classes into buckets. Buckets with the same
    members (two close texts share most of their bands) are kept once.
 3. The members of a bucket are compared on their full shingle sets, in blocks
-   of ``block`` members: a large bucket is dealt to a triangle of block pairs,
-   each of them one unit of work, in which a product of two membership
+   of about ``block`` members and ``BLOCK_BYTES`` of sets at most: a large bucket is
+   dealt to a triangle of block pairs, each of them one unit of work, in which a product of two membership
    matrices gives all intersection sizes at once. Only a spanning forest of the
    confirmed links leaves a task, never the pairs.
 4. Union-find joins the links to components (``components``).
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from labeltext.llm import bytetext
 from labeltext.llm.components import UnionFind, components
@@ -39,7 +40,7 @@ from labeltext.llm.superminhash import band_keys, signatures
 PLACES = 240
 ROWS = 6
 BLOCK = 512
-NO_ID = -(1 << 62)
+BLOCK_BYTES = 16 << 20
 
 
 def _name(members: bytes) -> bytes:
@@ -111,7 +112,7 @@ def _intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096
 def _links(percent: int):
     """Forest of the confirmed links of each cell; the rows come sorted by cell."""
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+    def compare(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
         left = {n: np.frombuffer(s, np.uint64) for i, j, b, n, s in rows if b == i}
         right = left if rows[0][0] == rows[0][1] else {n: np.frombuffer(s, np.uint64) for i, j, b, n, s in rows if b == j}
         if not left or not right:
@@ -130,11 +131,11 @@ def _links(percent: int):
         cell, rows = None, []
 
         def out(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
         for batch in bytetext.released(batches):
             pairs = []
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "members")]
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "set_name", "members")]
             for bucket, i, j, b, n, s in zip(*cols):
                 if (bucket, i, j) != cell:
                     if rows:
@@ -149,6 +150,74 @@ def _links(percent: int):
     return run
 
 
+def set_names(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with ``set_name`` (in front of its columns), the 128-bit hash of each text's shingle
+    set, null without words. Rows with equal names are copies of one another."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bytetext.released(batches):
+            data, offsets = bytetext.buffers(batch.column("text"))
+            for a, b in bytetext.slices(offsets):
+                h, owner = bytetext.shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                at = np.searchsorted(owner, np.arange(b - a + 1))
+                names = pa.array([_name(h[i:j].tobytes()) if j > i else None for i, j in zip(at[:-1], at[1:])], pa.binary())
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([names, *part.columns], ["set_name", *columns])
+
+    return docs.mapInArrow(run, StructType([StructField("set_name", BinaryType()), *docs.schema.fields]))
+
+
+def classified(docs: DataFrame, shingle: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(sketch, classes), both staged: ``sketch`` has a row per row of ``docs``
+    (doc_id, n_shingles, set_name); ``classes`` a row per class of equal sets (set_name, least: its
+    smallest doc_id, component: the name of its component)."""
+    bytetext.bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch = stage(texts.mapInArrow(_sketch(shingle, places, rows), "doc_id long, n_shingles long, set_name binary, bands array<long>"), "neardup-sketch")
+    # Texts with equal sets have equal bands.
+    classes = sketch.where("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = stage(classes, "neardup-classes")
+    bands = classes.select("set_name", "n", F.explode("bands").alias("bucket"))
+    buckets = (
+        bands.groupBy("bucket").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("set_name")).alias("x"))
+        .where("many > 1").groupBy("many", "shingles", "x").agg(F.min("bucket").alias("bucket"))
+    )
+    blocks = F.greatest(F.ceil(F.col("many") / block), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
+    buckets = stage(buckets.select("bucket", blocks.alias("blocks")), "neardup-buckets")
+    members = stage(bands.select("set_name", "bucket").join(small_side(buckets), "bucket"), "neardup-members")
+    wanted = stage(members.select("set_name").distinct(), "neardup-wanted")
+    ids = stage(classes.select("set_name", "least").join(small_side(wanted), "set_name").select(F.col("least").alias("doc_id")).where("doc_id is not null"), "neardup-ids")
+    texts_of = texts.join(small_side(ids), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    # Repeated rows, and rows that share an id or a set, leave one full set a class.
+    sets = texts_of.mapInArrow(_full_sets(shingle), "set_name binary, members binary").groupBy("set_name").agg(F.first("members").alias("members"))
+    sets = stage(sets.join(small_side(wanted), "set_name"), "neardup-sets")
+    mine = F.pmod(F.xxhash64("set_name"), F.col("blocks")).cast("int")
+    cells = (
+        members.select("bucket", "set_name", "blocks", mine.alias("block"))
+        .select("bucket", "set_name", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("bucket", "set_name", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(sets, "set_name")
+        .repartition(F.col("bucket"), F.col("i"), F.col("j"))
+        .sortWithinPartitions("bucket", "i", "j")
+    )
+    # Written first: a second Python function in the same task would need a second worker beside this one's.
+    links = stage(cells.mapInArrow(_links(percent), "u binary, v binary"), "neardup-links")
+    label = components(links)
+    named = classes.select("set_name", "least").join(label.withColumnRenamed("node", "set_name"), "set_name", "left")
+    named = stage(named.select("set_name", "least", F.coalesce("component", "set_name").alias("component")), "neardup-named")
+    return sketch.select("doc_id", "n_shingles", "set_name"), named
+
+
+def _with_least(classes: DataFrame) -> DataFrame:
+    """(set_name, component, component_id, first): the smallest doc_id of each class's
+    component, and the class that holds it (the first by name, if several do)."""
+    many = classes.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("least").isNull(), "least", "set_name")).alias("best")).where("n > 1")
+    many = stage(many.select("component", F.col("best.least").alias("smallest"), F.col("best.set_name").alias("holder")), "neardup-components")
+    joined = classes.join(small_side(many), "component", "left")
+    return joined.select("set_name", "component", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("holder", "set_name").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places: int = PLACES, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Components of near-duplicate texts: (doc_id, n_shingles, component_id, kept).
 
@@ -163,43 +232,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, places
     non-null doc_id of their component, or null if there is none, and ``kept``
     is ``doc_id <=> component_id``, so that a row without an id is dropped only
     for one with an id. Repeated rows get equal results (all of them are kept if
-    they hold the component's smallest doc_id). An empty table gives no rows.
+    they hold the component's smallest doc_id); an id may stand on rows with different
+    texts, each of which is linked for itself. An empty table gives no rows.
     """
-    bytetext.bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stage(texts.mapInArrow(_sketch(shingle, places, rows), "doc_id long, n_shingles long, set_name binary, bands array<long>"), "neardup-sketch")
-    worded = sketch.where("set_name is not null")
-    # Texts with equal sets have equal bands. A class without any doc_id gets a number far below all ids as its node.
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) - F.shiftrightunsigned(F.xxhash64("set_name"), 2))
-    classes = stage(worded.groupBy("set_name").agg(node.alias("node"), F.first("bands").alias("bands")), "neardup-classes")
-    bands = classes.select("node", "set_name", F.explode("bands").alias("bucket"))
-    buckets = (
-        bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
-        .where("n > 1").groupBy("n", "x").agg(F.min("bucket").alias("bucket"))
-    )
-    buckets = stage(buckets.select("bucket", "n"), "neardup-buckets")
-    members = stage(bands.join(small_side(buckets), "bucket"), "neardup-members")
-    wanted = stage(members.select("node", "set_name").distinct(), "neardup-wanted")
-    ids = wanted.where(F.col("node") > NO_ID).select(F.col("node").alias("doc_id"))
-    texts_of = texts.join(small_side(ids), "doc_id", "left_semi").unionByName(texts.where("doc_id is null")).distinct()
-    sets = texts_of.mapInArrow(_full_sets(shingle), "set_name binary, members binary").join(small_side(wanted), "set_name")
-    sets = stage(sets.select("node", "members"), "neardup-sets")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    cells = (
-        members.select("bucket", "node", blocks.alias("blocks"), mine.alias("block"))
-        .select("bucket", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("bucket", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(sets, "node")
-        .repartition(F.col("bucket"), F.col("i"), F.col("j"))
-        .sortWithinPartitions("bucket", "i", "j")
-    )
-    # Written first: a second Python function in the same task would need a second worker beside this one's.
-    links = stage(cells.mapInArrow(_links(percent), "u long, v long"), "neardup-links")
-    label = components(links)
-    named = classes.join(label, "node", "left").select("set_name", F.coalesce("component", "node").alias("c"))
-    named = stage(named.select("set_name", F.when(F.col("c") > NO_ID, F.col("c")).alias("component_id")), "neardup-named")
-    out = worded.join(named, "set_name").select("doc_id", "n_shingles", "component_id").unionByName(
+    sketch, classes = classified(docs, shingle, percent, places, rows, block)
+    named = _with_least(classes).select("set_name", "component_id")
+    out = sketch.where("set_name is not null").join(named, "set_name").select("doc_id", "n_shingles", "component_id").unionByName(
         sketch.where("set_name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component exactly one
+    row, the one with its smallest doc_id, all columns kept.
+
+    Rows without words all stay. Ids may repeat or be null: of several rows with
+    the component's smallest id and equal sets, the least one by its columns stays; a component
+    without any id keeps one row. An empty table gives no rows.
+    """
+    sketch, classes = classified(docs, shingle, percent)
+    chosen = _with_least(classes).select("set_name", F.col("component_id").alias("kept_id"), F.col("first").alias("kept_set"))
+    pairs = sketch.where("set_name is not null").groupBy("set_name", "doc_id").agg(F.count("*").alias("n")).join(chosen, "set_name")
+    keep = (F.col("set_name") == F.col("kept_set")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    # Rows that are the only one of their component need no decision and meet no shuffle.
+    decided = stage(pairs.withColumn("keep", keep).where("not keep or n > 1").select(F.col("set_name").alias("s"), F.col("doc_id").alias("d"), "keep"), "neardup-decided")
+    named = set_names(docs, shingle).join(small_side(decided), (F.col("set_name") == F.col("s")) & F.col("doc_id").cast("long").eqNullSafe(F.col("d")), "left")
+    out = named.where("keep is null").select(*docs.columns)
+    if decided.where("keep").isEmpty():
+        return out
+    repeated = named.where("keep").groupBy("set_name", "d").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(repeated.select("row.*"))
