@@ -9,7 +9,9 @@ least ``threshold`` of the two together.
 
 Edges are the absolute links of the pages, weighted by their number, and a
 weaker pair of edges between a host and its parent domain, since
-subdomains share an owner. Hosts without out-edges keep their mass.
+subdomains share an owner. Every host of a page or a link brings in its whole
+chain of parent domains, with pages of their own or not. Hosts without out-edges keep their mass.
+Rounds go on until the ranks change by less than a tolerance and reach no further host.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from labeltext.llm.staging import small_side, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Longest name of the domain name system.
+NAME_LENGTH = 253
+STAGED = 8
+TOLERANCE = 1e-4
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -65,21 +71,38 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 
 def domain_edges(hosts: DataFrame, weight: float) -> DataFrame:
-    """Edges both ways between a host and its parent domain of two labels or more."""
-    up = F.regexp_extract("host", r"^[^.]*\.([^.]+\..+)$", 1)
-    pairs = hosts.select("host", up.alias("parent")).where("parent <> ''")
+    """Edges both ways between every host, and every parent domain of two labels or
+    more of it, and the next parent domain. A name of more than ``NAME_LENGTH``
+    characters is no domain name and has no parents."""
+    parts = F.split("host", r"\.")
+    domain = lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ".")
+    steps = F.when((F.size(parts) >= 3) & (F.length("host") <= NAME_LENGTH), F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda k: F.struct(domain(k).alias("host"), domain(k + 1).alias("parent"))))
+    pairs = hosts.select(F.explode(steps).alias("s")).select("s.host", "s.parent").distinct()
     return pairs.select(
         F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("parent").alias("dst")), F.struct(F.col("parent").alias("src"), F.col("host").alias("dst")))).alias("e")
     ).select("e.src", "e.dst", F.lit(float(weight)).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(host, trust, distrust): two personalised PageRanks after ``rounds`` steps.
+def _state(rank: DataFrame, before: DataFrame | None) -> tuple[int, int, float]:
+    """(hosts with trust, with distrust, sum of all changes since ``before``)."""
+    moved = F.lit(2.0)
+    if before is not None:
+        rank = rank.join(before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d")), "host", "full")
+        moved = F.abs(F.coalesce("trust", F.lit(0.0)) - F.coalesce("t", F.lit(0.0))) + F.abs(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)))
+    row = rank.agg(F.count_if(F.col("trust") > 0), F.count_if(F.col("distrust") > 0), F.coalesce(F.sum(moved), F.lit(0.0))).first()
+    return row[0], row[1], row[2]
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust): two personalised PageRanks.
 
     ``edges`` (src, dst, weight > 0), parallel ones are added up; ``seeds`` (host,
     good, bad): numbers of pages, one row per host; each column is scaled to a sum of 1. Trust
     follows the edges, distrust their reverse, both from the same join of a round.
-    Every fourth round is written to the shared folder. Without seeds of a kind,
+    Every ``STAGED`` rounds the ranks are written to the shared folder. They are final
+    when the changes since the last writing add up to less than ``tolerance`` and no
+    host was newly reached. A round shrinks the change by ``damping``, so that takes about
+    ln(tolerance) / ln(damping) rounds, or as many as the longest path has links. Without seeds of a kind,
     its rank is 0 everywhere.
     """
     edges = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -102,18 +125,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     total = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     start = stage(seeds.select("host", *[((F.col(c) / n) if n else F.lit(0.0)).alias(c) for c, n in (("good", total["g"]), ("bad", total["b"]))]), "trust-seeds")
     rank = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for k in range(rounds):
-        moved = flow.join(rank.withColumnRenamed("host", "src"), "src").select(
-            F.col("dst").alias("host"), (F.lit(damping) * F.col("good_p") * F.col("trust")).alias("trust"), (F.lit(damping) * F.col("bad_p") * F.col("distrust")).alias("distrust")
-        )
-        jump = start.select("host", (F.lit(1 - damping) * F.col("good")).alias("trust"), (F.lit(1 - damping) * F.col("bad")).alias("distrust"))
-        rank = moved.unionByName(jump).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 4 == 3 or k == rounds - 1:
-            rank = stage(rank, "trust-rank")
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 0.5, domain_weight: float = 0.5, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    known, before = None, None
+    while True:
+        for _ in range(STAGED):
+            moved = flow.join(rank.withColumnRenamed("host", "src"), "src").select(
+                F.col("dst").alias("host"), (F.lit(damping) * F.col("good_p") * F.col("trust")).alias("trust"), (F.lit(damping) * F.col("bad_p") * F.col("distrust")).alias("distrust")
+            )
+            jump = start.select("host", (F.lit(1 - damping) * F.col("good")).alias("trust"), (F.lit(1 - damping) * F.col("bad")).alias("distrust"))
+            rank = moved.unionByName(jump).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        rank = stage(rank, "trust-rank")
+        *reached, change = _state(rank, before)
+        if change < tolerance and reached == known:
+            return rank
+        known, before = reached, rank
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 0.5, domain_weight: float = 0.5, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, trust, distrust) of every page.
 
     ``pages`` has page_id, url and html; other columns are ignored. ``rules`` are
@@ -132,8 +159,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: f
     seeds = stage(
         known.groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad")), "trust-hosts"
     )
-    edges = link_edges(pages.select("url", "html")).unionByName(domain_edges(seeds.select("host"), domain_weight))
-    rank = propagate(edges, seeds, damping, rounds)
+    links = stage(link_edges(pages.select("url", "html")), "trust-links")
+    hosts = seeds.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    rank = propagate(links.unionByName(domain_edges(hosts, domain_weight)), seeds, damping, tolerance)
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= F.lit(threshold) * (F.col("trust") + F.col("distrust")))
     return matched.join(small_side(rank), "host", "left").select(
         "page_id", "url", "host", "path", "rule",
