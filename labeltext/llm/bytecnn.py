@@ -7,13 +7,15 @@ features are the mean and the maximum over its chunks, and a logistic unit
 makes one probability of them. The filters and the unit are trained
 together, by Adam on the cross entropy.
 
-Training takes a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those
-with the smallest hash of their id, and of each at most ``SAMPLE_CHUNKS`` evenly
-spaced chunks. Scoring reads every byte of every text.
+Training takes a bounded sample of labelled rows: those with the smallest hash
+of their id, at most ``SAMPLE_ROWS``, and as many of them as have ``SAMPLE_BYTES``
+together. It reads their whole texts, in the chunks that scoring takes the mean and
+maximum over. Scoring reads every byte of every text.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,10 @@ WIDTH = 5
 FILTERS = 16
 HALF = 128
 SAMPLE_ROWS = 2400
-SAMPLE_CHUNKS = 8
+SAMPLE_BYTES = 16 << 20
 SLICE = 1 << 18
+#: Half-chunks convolved at once in training.
+HALVES_AT_ONCE = 4096
 
 
 class Model:
@@ -96,56 +100,73 @@ def probability(model: Model, features: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
-    """Fit a model. ``texts`` holds the chunks of each document (at least one
-    each, of at most 2 * HALF bytes), ``labels`` 0 or 1. Only the window that wins a
-    max-pool gets a gradient. Without both labels the model is a constant."""
+def _pooled(model: Model, x: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(maximum, its place) of every filter over each half-chunk (a row of ``x``: its
+    bytes and the WIDTH - 1 after them; ``long`` of them count)."""
+    top, place = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    for lo in range(0, len(x), HALVES_AT_ONCE):
+        part = x[lo : lo + HALVES_AT_ONCE]
+        conv = model.table[0][part[:, :HALF]]
+        for j in range(1, WIDTH):
+            conv += model.table[j][part[:, j : j + HALF]]
+        conv[np.arange(HALF)[None, :] >= long[lo : lo + HALVES_AT_ONCE, None]] = -np.inf
+        at = conv.argmax(axis=1)
+        place[lo : lo + len(part)] = at
+        top[lo : lo + len(part)] = np.take_along_axis(conv, at[:, None, :], axis=1)[:, 0]
+    return top, place
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
+    """Fit a model to whole ``texts`` and their ``labels``, 0 or 1. Only the window that wins a
+    max-pool gets a gradient. Empty texts are left out; without both labels the model is a constant."""
     model = Model(seed)
+    labels = labels[[n for n, t in enumerate(texts) if t]] if len(texts) else labels
+    texts = [t for t in texts if t]
     share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     model.offset[0] = np.log(share / (1 - share))
     if len(set(labels.tolist())) < 2:
         model.unit[:] = 0
         return model
     weight = np.where(labels == 1, 1.0, np.sqrt(share / (1 - share)))  # the rarer label counts more
-    size = 2 * HALF
-    chunks, doc = [], []
-    for d, parts in enumerate(texts):
-        for p in parts:
-            chunks.append(np.frombuffer(p[:size].ljust(size + WIDTH, b"\0"), np.uint8))
-            doc.append(d)
-    x, doc = np.stack(chunks), np.array(doc)
-    long = np.array([min(size, len(p)) for parts in texts for p in parts])
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
     r = np.random.default_rng(seed)
     moment, square, t = [np.zeros_like(p) for p in model.parts()], [np.zeros_like(p) for p in model.parts()], 0
     for _ in range(epochs):
         order = r.permutation(len(texts))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in pick])
-            many = first[pick + 1] - first[pick]
-            owner = np.repeat(np.arange(len(pick)), many)
-            conv = model.table[0][x[rows, :size]]
-            for j in range(1, WIDTH):
-                conv += model.table[j][x[rows, j : j + size]]
-            conv[np.arange(size)[None, :] >= long[rows][:, None]] = -np.inf
-            win = conv.argmax(axis=1)
-            pooled = np.take_along_axis(conv, win[:, None, :], axis=1)[:, 0] + model.bias
-            h = np.maximum(pooled, 0)
-            begin = np.cumsum(many) - many
-            mean = np.add.reduceat(h, begin, axis=0) / many[:, None]
-            top = np.maximum.reduceat(h, begin, axis=0)
+            halves = np.array([-(-len(texts[d]) // HALF) for d in pick])
+            x, long = np.zeros((int(halves.sum()), HALF + WIDTH - 1), np.uint8), np.full(int(halves.sum()), HALF)
+            row = 0
+            for d, n in zip(pick, halves):
+                data = np.frombuffer(texts[d].ljust(int(n) * HALF + WIDTH, b"\0"), np.uint8)
+                x[row : row + n] = np.lib.stride_tricks.sliding_window_view(data, HALF + WIDTH - 1)[::HALF][:n]
+                row += n
+                long[row - 1] = len(texts[d]) - (n - 1) * HALF
+            half, place = _pooled(model, x, long)
+            # A chunk is two neighbouring halves of a text; a text of one half is one chunk.
+            last = np.cumsum(halves) - 1
+            left = np.setdiff1d(np.arange(len(x)), last[halves > 1])
+            doc = np.repeat(np.arange(len(pick)), halves)[left]
+            right = np.where(np.isin(left, last), left, left + 1)
+            wins = half[left] >= half[right]
+            h = np.maximum(np.where(wins, half[left], half[right]) + model.bias, 0)
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            many = np.diff(np.r_[first, len(doc)])
+            mean = np.add.reduceat(h, first, axis=0) / many[:, None]
+            top = np.maximum.reduceat(h, first, axis=0)
             p = probability(model, np.hstack((mean, top)))
             dz = (weight[pick] * (p - labels[pick]) / len(pick)).astype(np.float32)
             g_unit = np.hstack((mean, top)).T @ dz
-            dh = (dz / many)[owner][:, None] * model.unit[None, :FILTERS]
-            best = (h == top[owner]) & (h > 0)
-            dh = dh + np.where(best, dz[owner][:, None] * model.unit[None, FILTERS:], 0)
+            dh = (dz / many)[doc][:, None] * model.unit[None, :FILTERS]
+            dh = dh + np.where((h == top[doc]) & (h > 0), dz[doc][:, None] * model.unit[None, FILTERS:], 0)
             dh = np.where(h > 0, dh, 0).astype(np.float32)
+            g_half = np.zeros_like(half)
+            g_half[left] += np.where(wins, dh, 0)
+            g_half[right] += np.where(wins, 0, dh)  # a half is the right one of one chunk at most
             g_table = np.zeros_like(model.table)
             for j in range(WIDTH):
-                byte = x[rows[:, None], win + j]
-                np.add.at(g_table[j], (byte, np.arange(FILTERS)[None, :]), dh)
+                byte = x[np.arange(len(x))[:, None], place + j]
+                np.add.at(g_table[j], (byte, np.arange(FILTERS)[None, :]), g_half)
             t += 1
             for part, g, m, v in zip(model.parts(), [g_table, dh.sum(axis=0), g_unit, np.array([dz.sum()])], moment, square):
                 m += 0.1 * (g - m)
@@ -159,31 +180,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _chunk_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = 2 * HALF
-    for batch in bytetext.released(batches):
-        data, offsets = bytetext.buffers(batch.column("text"))
-        out = []
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            n = max(1, -(-int(b - a) // size))
-            take = sorted({round(k * (n - 1) / max(1, SAMPLE_CHUNKS - 1)) for k in range(SAMPLE_CHUNKS)} if n > SAMPLE_CHUNKS else range(n))
-            out.append([data[a + k * size : min(b, a + (k + 1) * size)].tobytes() for k in take])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """A model trained on at most ``rows`` labelled documents outside the
-    held-out fold. At most rows * SAMPLE_CHUNKS * 2 * HALF bytes come to the driver.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
+    """A model trained on labelled documents outside the held-out fold: at most
+    ``rows`` of them, and the first of these by the hash of their id that have
+    ``size`` bytes together (one at least), whole. Only those texts come to the driver.
     Null labels, ids and texts are no training rows; if an id is labelled or
-    stands in ``docs`` more than once, its smallest label and first text are used."""
+    stands in ``docs`` more than once, its smallest label and text are used."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = stage(known, "quality-labels")
-    sample = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # at most ``rows`` rows
-    found = sample.select("doc_id", "label", "text").mapInArrow(_chunk_sample, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, chunks array<binary>")
-    got: dict = {}
-    for r in found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("chunks").alias("chunks")).collect():
-        got[r["doc_id"]] = (r["label"], [bytes(c) for c in r["chunks"]])
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))  # at most ``rows`` rows
+    found = stage(found, "quality-sample")
+    sizes = found.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    sizes.sort(key=lambda r: (r["h"], r["doc_id"]))
+    total = list(itertools.accumulate(r["n"] for r in sizes))
+    chosen = [r["doc_id"] for r, n in zip(sizes, total) if n <= size] or [r["doc_id"] for r in sizes[:1]]
+    got = {r["doc_id"]: (r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in found.where(F.col("doc_id").isin(chosen)).collect()}
     ids = sorted(got)
     return train([got[i][1] for i in ids], np.array([got[i][0] for i in ids], np.int64))
 
