@@ -5,15 +5,15 @@ A text is contaminated by an item if some part of it is within
 
 1. Windows. An item is cut into one piece more than the edits allowed, so one
    piece at least is unharmed in any such part. An Aho-Corasick automaton over
-   all pieces scans the text; a hit says where a window for items of that
-   length group would begin. This only places windows, it selects none.
+   all pieces scans the text; a hit says where a window for the items with that
+   piece would begin. This only places windows, it selects none.
 2. CGK embedding (Chakraborty, Goldenberg, Koucky 2016). Window and item walk
    through their characters with the same random bits: at step j both write the character
    they stand on and go on or stay as bit (j, character) says. After an edit
    the two walks drift apart and fall into step again, so few edits become few mismatches.
-3. Bit-sampling LSH. A repetition takes ``SAMPLED`` steps of a walk as the key of a
+3. Bit-sampling LSH. A repetition takes a few steps of a walk as the key of a
    bucket; an item and a window that share any bucket are a candidate pair, and no other pair is. The steps
-   of a repetition lie within ``RUN`` steps: two walks that are in step now are
+   of a repetition lie within a short run: two walks that are in step now are
    likely so a few steps on, but over a long walk the share of the time in step falls
    with the root of its length. Samples spread over the whole walk would
    all have to hit such times (recall 0 from 1,600 characters on).
@@ -46,8 +46,6 @@ from labeltext.llm.bytetext import U64, bounded_batches, mix64, released
 from labeltext.llm.staging import item_blocks
 
 MAX_ERROR = 0.1
-SAMPLED = 5
-RUN = 12
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 WINDOWS_AT_ONCE = 4096
@@ -55,12 +53,13 @@ WINDOWS_AT_ONCE = 4096
 EMBEDDED_CELLS = 1 << 24
 
 
-def lsh_size(shortest: int) -> tuple[int, int, int]:
-    """(steps, walks, repetitions a walk) of the items of ``shortest`` to twice as many
-    characters. A walk of 1.6 steps a character ends within them. Short
-    items have few steps to agree on and take more repetitions."""
-    walks, repetitions = (8, 64) if shortest < 64 else (4, 32)
-    return max(1, int(1.6 * shortest)), walks, repetitions
+def lsh_size(shortest: int) -> tuple[int, int, int, int, int]:
+    """(steps, walks, repetitions a walk, steps of a run, steps sampled of it) of the
+    items of ``shortest`` to twice as many characters. A walk of 1.6 steps a character ends within
+    them. Short items have few steps to agree on and take more and shorter repetitions."""
+    steps = max(1, int(1.6 * shortest))
+    walks, repetitions, run, sampled = (8, 64, 12, 5) if shortest < 64 else (4, 48, 18, 8)
+    return steps, walks, repetitions, min(run, steps), min(sampled, run, steps)
 
 
 def allowed_edits(length: int, max_error: float) -> int:
@@ -132,11 +131,10 @@ class Group:
     """Walks, sampled steps and buckets of the items of one length group."""
 
     def __init__(self, shortest: int, items: list[int], texts: list[str]) -> None:
-        self.steps, self.walks, repetitions = lsh_size(shortest)
-        run = min(RUN, self.steps)
+        self.steps, self.walks, repetitions, run, sampled = lsh_size(shortest)
         self.rows = (_draw(self.walks * self.steps, shortest) % U64(4096)).astype(np.int64).reshape(self.walks, self.steps)
         begin = _draw(self.walks * repetitions, shortest + 1) % U64(self.steps - run + 1)
-        within = np.argsort(_draw(self.walks * repetitions * run, shortest + 2).reshape(-1, run), axis=1)[:, : min(SAMPLED, run)]
+        within = np.argsort(_draw(self.walks * repetitions * run, shortest + 2).reshape(-1, run), axis=1)[:, :sampled]
         self.sampled = (begin[:, None].astype(np.int64) + np.sort(within, axis=1)).reshape(self.walks, repetitions, -1)
         codes, first = _classes(texts, self.steps)
         key = self.keys(codes, first)
@@ -153,10 +151,11 @@ class Group:
                 walk[j] = char = codes[at]
                 at += _BITS[self.rows[w, j]][char]
             sampled = self.sampled[w]
-            key = np.arange(w * len(sampled), (w + 1) * len(sampled), dtype=U64)[:, None] << U64(8 * SAMPLED)
+            key = np.zeros((len(sampled), len(start)), U64)
             for i in range(sampled.shape[1]):
-                key = key | (walk[sampled[:, i]].astype(U64) << U64(8 * i))
-            out.append(key)
+                key |= walk[sampled[:, i]].astype(U64) << U64(8 * i)
+            # One table for all repetitions: a bijection of the bytes, shifted by the repetition.
+            out.append(mix64(key) + _draw(len(sampled), w)[:, None] * U64(0x9E3779B97F4A7C15))
         return np.concatenate(out)
 
     def candidates(self, codes: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
@@ -182,15 +181,15 @@ class Index:
         self.items = [(i, t) for i, t in items if t]
         self.max_error = max_error
         members: dict[int, list[int]] = {}
-        words: dict[str, set[tuple[int, int]]] = {}
+        words: dict[str, dict[tuple[int, int], set[int]]] = {}
         for k, (_, text) in enumerate(self.items):
             shortest = 1 << (len(text).bit_length() - 1)
             members.setdefault(shortest, []).append(k)
             for a, b in pieces(text, max_error):
-                words.setdefault(text[a:b], set()).add((shortest, b))
+                words.setdefault(text[a:b], {}).setdefault((shortest, b), set()).add(k)
         self.automaton = ahocorasick.Automaton()
         for word, where in words.items():
-            self.automaton.add_word(word, sorted(where))
+            self.automaton.add_word(word, [(g, b, frozenset(of)) for (g, b), of in where.items()])
         if words:
             self.automaton.make_automaton()
         self.short = [short_pieces(t, max_error) for _, t in self.items]
@@ -211,30 +210,33 @@ class Index:
                     return False
         return True
 
-    def windows(self, text: str) -> set[tuple[int, int]]:
-        """(length group, start) of the placed windows; starts may lie outside the text."""
-        out = set()
+    def windows(self, text: str) -> dict[tuple[int, int], list[frozenset[int]]]:
+        """(length group, start) of the placed windows, which may lie outside the
+        text, with the items that each piece placed there belongs to."""
+        out: dict[tuple[int, int], list[frozenset[int]]] = {}
         for end, where in self.automaton.iter(text):
-            for g, b in where:
-                out.add((g, end + 1 - b))
+            for g, b, of in where:
+                out.setdefault((g, end + 1 - b), []).append(of)
         return out
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per text: (item number, edits, end of the part) for each item found."""
         found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         checked: dict[tuple[int, int], int] = {}  # last start, which rise
-        todo: dict[int, list[tuple[int, int]]] = {}
+        todo: dict[int, list[tuple[int, int, list[frozenset[int]]]]] = {}
         if not self.items:
             return [[] for _ in texts]
 
         def flush(g: int) -> None:
             windows = todo.pop(g)
-            docs = sorted({d for d, _ in windows})
+            docs = sorted({w[0] for w in windows})
             codes, first = _classes([texts[d] for d in docs], self.margin)
             base = dict(zip(docs, first.tolist()))
-            start = np.array([base[d] + s for d, s in windows])
+            start = np.array([base[d] + s for d, s, _ in windows])
             for w, k in self.groups[g].candidates(codes, start):
-                d, s = windows[w]
+                d, s, placed = windows[w]
+                if not any(k in of for of in placed):
+                    continue  # a part within the edits allowed has a window that one of the item's own pieces placed
                 text = self.items[k][1]
                 slack = allowed_edits(len(text), self.max_error)
                 if k in found[d] and found[d][k][0] == 0 or s - checked.get((d, k), s - slack - 1) <= slack:
@@ -248,8 +250,8 @@ class Index:
                     found[d][k] = (edits, a + end)
 
         for d, text in enumerate(texts):
-            for g, s in sorted(self.windows(text)) if text else ():
-                todo.setdefault(g, []).append((d, s))
+            for (g, s), placed in sorted(self.windows(text).items(), key=lambda w: w[0]) if text else ():
+                todo.setdefault(g, []).append((d, s, placed))
                 if len(todo[g]) >= WINDOWS_AT_ONCE:
                     flush(g)
         for g in list(todo):
