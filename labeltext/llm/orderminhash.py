@@ -16,6 +16,7 @@ rank and 28 of position.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,40 +111,49 @@ def likeness(a: Column, b: Column) -> Column:
     return let(filled, lambda v: F.when(F.size(v) == 0, 1.0).otherwise(F.aggregate(v, F.lit(0), lambda s, x: s + x) / F.size(v)))
 
 
-def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """``rows`` (key: long, not null) with ``next_<c>`` for the ``carried``
-    columns: their values in the next row by key, then text; the first row's
+def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFrame:
+    """``rows`` (key and tie: long, not null) with ``next_<c>`` for the ``carried``
+    columns: their values in the next row by key, then tie, then text; the first row's
     after the last.
 
-    Rows are dealt to ranges of the key, several per shuffle partition; the
-    first row of a range goes to the range before it as well, as its tail. Only
-    the ranges' bounds, a number set by the shuffle partitions, reach the driver.
+    Rows are dealt to ranges of (key, tie), several per shuffle partition: a key
+    that takes up several shares of the rows gets as many ranges of its
+    ties, which are evenly spread hashes. The first row of a range goes to the
+    range before it as well, as its tail. Only the ranges' bounds, a number
+    set by the shuffle partitions, reach the driver.
     """
     spark = rows.sparkSession
     n = 4 * wide_partitions(spark)
     shares = [(i + 1) / n for i in range(n - 1)]
-    found = rows.agg(F.percentile_approx(key, shares, max(10_000, 20 * n))).first()[0] or []
-    bounds = sorted(set(found))
+    found = sorted(rows.agg(F.percentile_approx(key, shares, max(10_000, 20 * n))).first()[0] or [])
+    often = Counter(found)
+    bounds = [(k, -(1 << 63) + t * ((1 << 64) // m)) for k, m in sorted(often.items()) for t in range(m)]
     steps = [1 << b for b in reversed(range(max(1, len(bounds)).bit_length()))]
 
-    def bucket(value: Column) -> Column:
+    def bucket(k: Column, t: Column) -> Column:
         if not bounds:
             return F.lit(0)
-        table, count = F.array(*[F.lit(b) for b in bounds]), len(bounds)
-        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= count) & (F.get(table, at + s - 1) <= value), at + s).otherwise(at))
+        keys, ties, count = F.array(*[F.lit(b[0]) for b in bounds]), F.array(*[F.lit(b[1]) for b in bounds]), len(bounds)
 
-    dealt = rows.withColumn("range", bucket(F.col(key)))
-    firsts = sorted((r[0], r[1]) for r in dealt.groupBy("range").agg(F.min(key)).collect())
+        def reached(i: Column) -> Column:
+            return (F.get(keys, i) < k) | ((F.get(keys, i) == k) & (F.get(ties, i) <= t))
+
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= count) & reached(at + s - 1), at + s).otherwise(at))
+
+    dealt = rows.withColumn("range", bucket(F.col(key), F.col(tie)))
+    least = dealt.groupBy("range").agg(F.min(F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))).alias("f")).select("range", "f.k", "f.t")
+    firsts = sorted(map(tuple, least.collect()))
     if not firsts:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    first_key = F.create_map(*[F.lit(x) for pair in firsts for x in pair])
-    previous = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    first_key = F.create_map(*[F.lit(x) for r, k, _ in firsts for x in (r, k)])
+    first_tie = F.create_map(*[F.lit(x) for r, _, t in firsts for x in (r, t)])
+    previous = F.create_map(*[F.lit(x) for i, (r, _, _) in enumerate(firsts) for x in (r, firsts[i - 1][0])])
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("tail"))
     other = F.struct(F.element_at(previous, F.col("range")).alias("range"), F.lit(True).alias("tail"))
-    place = F.explode(F.when(F.element_at(first_key, F.col("range")) == F.col(key), F.array(own, other)).otherwise(F.array(own)))
+    is_first = (F.element_at(first_key, F.col("range")) == F.col(key)) & (F.element_at(first_tie, F.col("range")) == F.col(tie))
+    place = F.explode(F.when(is_first, F.array(own, other)).otherwise(F.array(own)))
     spread = dealt.withColumn("place", place).withColumn("range", F.col("place.range")).withColumn("tail", F.col("place.tail")).drop("place")
-    order = Window.partitionBy("range").orderBy("tail", key, "text")
+    order = Window.partitionBy("range").orderBy("tail", key, tie, "text")
     return spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where("not tail").drop("range", "tail")
 
 
@@ -153,15 +163,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ignored.
 
     ``edited`` is the text with its last floor(n / 4) code points replaced by the
-    first as many, or all, of the next document by doc_id (equal ids: by text;
-    null ids come first; after the last comes the first, so a lone document is
-    its own next). A null text counts as empty. Texts without words
+    first as many, or all, of the next document by doc_id (equal ids: by a hash of
+    the text, so that rows of one id, or without one, spread over tasks; only rows equal
+    in id and text stand together; null ids come first; after the last comes
+    the first, so a lone document is its own next). A null text counts as empty. Texts without words
     have no filled bin; two of them are alike (1), one and another are not (0).
     An empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("sig", signature(F.col("text")))
-    both = with_next(rows, "key", ["text", "sig"])
+    rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text")).withColumn("sig", signature(F.col("text")))
+    both = with_next(rows, "key", "tie", ["text", "sig"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
