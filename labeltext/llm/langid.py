@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from labeltext.llm import bytetext
 from labeltext.llm.staging import small_side, stage
@@ -122,7 +123,7 @@ def _suffix(host: F.Column, languages: list[str]) -> F.Column:
 def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str], text: F.Column, declared: F.Column | None = None, host: F.Column | None = None, kappa: float = 20.0) -> DataFrame:
     """``rows`` with ``language`` and ``confidence`` (the posterior of it)
     added; existing columns of these names are replaced, all others
-    kept, whatever their names (those beginning with ``li_`` are reserved).
+    kept, whatever their names.
 
     A null or empty text gives no text evidence: declaration, suffix and host
     decide. A null declaration or host counts as one that says nothing. Repeated
@@ -141,13 +142,13 @@ def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str], text:
     declared = declared if declared is not None else F.lit(None).cast("string")
     kept = [c for c in rows.columns if c not in ("language", "confidence")]
     inputs = rows.select(
-        *[F.col(f"`{c}`") for c in kept], text.cast("string").alias("li_source"), _claims(declared, languages).alias("li_declared"), host.alias("li_host"), _suffix(host, languages).alias("li_suffix")
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("li_row"), text.cast("string").alias("li_source"), _claims(declared, languages).alias("li_declared"), host.alias("li_host"), _suffix(host, languages).alias("li_suffix")
     )
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def scored(df: DataFrame) -> DataFrame:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInArrow(_scorer(shared, "li_source"), f"{fields}, li_text array<double>").withColumn(
+        schema = StructType([*df.schema.fields, StructField("li_text", ArrayType(DoubleType()))])
+        return df.mapInArrow(_scorer(shared, "li_source"), schema).withColumn(
             "li_text", F.transform("li_text", lambda x: x * TEXT_WEIGHT)
         )
 
@@ -188,13 +189,15 @@ def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str], text:
     fused = fused.withColumn("li_all", F.array(*at)).withColumn("li_top", F.array_max("li_all"))
     mass = F.aggregate("li_all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("li_top")))
     best = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("li_all", F.col("li_top")).cast("int"))
-    return fused.select(*[F.col(f"`{c}`") for c in kept], best.alias("language"), F.round(1 / mass, 9).alias("confidence"))
+    return fused.select(*[F.col("li_row")[c].alias(c) for c in kept], best.alias("language"), F.round(1 / mass, 9).alias("confidence"))
 
 
 def visible_text(html: F.Column) -> F.Column:
     """The text of a page as far as its language needs it: no scripts, styles,
-    comments, tags or references."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[#a-z0-9]+;?", " ")
+    comments, tags or references, one space for each run of white space (the gaps
+    that markup leaves speak for no language)."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[#a-z0-9]+;?", " ")
+    return F.regexp_replace(text, r"\s+", " ")
 
 
 def markup_language(html: F.Column) -> F.Column:

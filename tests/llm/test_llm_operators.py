@@ -7,11 +7,13 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from labeltext.llm import bytecnn, bytetext, components, decontaminate, domcrf, hosttrust, langid, neardup, orderminhash, piecelattice, pieces, pii, slots, superminhash
@@ -346,26 +348,65 @@ def test_rebalance_moves_little_and_evens_out():
     assert sum(grown[s] == 16 for s in moved) >= 0.8 * len(moved) and len(moved) < 4096 / 8
 
 
+def spark_hash(*values):
+    """xxhash64 of longs (int), 4-byte ints ((int,)) and texts, as Spark chains it."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<q", v) if isinstance(v, int) else struct.pack("<i", v[0])
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def naive_signature(text):
+    words = [spark_hash(w) for w in re.split(r"[\x09-\x0D\x20]+", text) if w]
+    hashes = [spark_hash(words[i], words[i + 1] if i + 1 < len(words) else 0) for i in range(max(len(words) - 1, min(len(words), 1)))]
+    seen, bins = {}, {}
+    for i, h in enumerate(hashes):
+        top = ((((h << 28) & (2**64 - 1)) ^ (1 << 63)) - (1 << 63)) >> 28  # the 36 bits that are kept
+        v = (spark_hash(top, (seen.get(top, 0),)) & (2**64 - 1)) >> 29 & ((orderminhash.BINS << 30) - 1)
+        seen[top] = seen.get(top, 0) + 1
+        bins.setdefault(v >> 30, []).append((v & ((1 << 30) - 1), i))
+    lowest = {b: sorted(k)[: orderminhash.PICKED] for b, k in bins.items()}
+    return [spark_hash(*[r for r, _ in sorted(lowest[b], key=lambda x: x[1])]) if b in lowest else None for b in range(orderminhash.BINS)]
+
+
+def naive_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
 def test_order_minhash(spark, edges, nothing):
-    rows = {}
-    got = orderminhash.fingerprints(edges).collect()
-    assert len(got) == len(edge_rows())
-    ordered = sorted(((i if i is not None else -(2**63), t or "") for i, t, *_ in edge_rows()))
+    """Every column against brute force, with null, repeated and hot ids."""
+    extra = [(77, prose(600 + i, 30)) for i in range(60)] + [(None, prose(700 + i, 20)) for i in range(40)] + [(i, prose(800 + i, 25)) for i in range(200, 260)]
+    texts = [(i, t or "") for i, t, *_ in edge_rows()] + extra
+    rows = edges.select("doc_id", "text", "key", "sig", "range", "tail").unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    got = orderminhash.fingerprints(rows.repartition(5)).collect()
+    ordered = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]), r[1]))
+    want = []
+    hexed = lambda sig: "".join(orderminhash.EMPTY if x is None else f"{x & 0xFFFFFFFF:08x}" for x in sig)
     for n, (i, t) in enumerate(ordered):
-        q = len(t) // 4
-        rows.setdefault((i, len(t)), set()).add(t[: len(t) - q] + ordered[(n + 1) % len(ordered)][1][:q])
-    by_text = {}
-    for r in got:
-        i = r["doc_id"] if r["doc_id"] is not None else -(2**63)
-        assert r["edited"] in rows[i, r["n_chars"]]
-        by_text.setdefault((r["doc_id"], r["n_chars"]), set()).add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert all(len(v) == 1 for v in by_text.values())
-    assert by_text[1, len(prose(2, 40))] == by_text[5, len(prose(2, 40))]
-    assert by_text[3, 0] == {orderminhash.EMPTY * orderminhash.BINS}
+        after = ordered[(n + 1) % len(ordered)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        mine, other, new = naive_signature(t), naive_signature(after), naive_signature(edited)
+        want.append((i, len(t), hexed(mine), edited, hexed(new), round(naive_likeness(mine, new), 9), round(naive_likeness(mine, other), 9)))
+    rounded = [(*r[:5], round(r[5], 9), round(r[6], 9)) for r in map(tuple, got)]
+    assert sorted(map(repr, rounded)) == sorted(map(repr, want))
     assert orderminhash.fingerprints(nothing).collect() == []
 
 
+def test_order_minhash_spreads_a_hot_id(spark):
+    """A third of the rows without an id: no range holds more than a few shares."""
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i, f"t{i}") for i in range(3000)], "doc_id long, text string")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie"), "text")
+    out = orderminhash.with_next(keyed, "key", "tie", ["text"])
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert out.count() == 3000 and "range" in plan
+    ordered = sorted(((i if i % 3 else -(1 << 63), spark_hash(f"t{i}"), f"t{i}") for i in range(3000)))
+    after = {r[2]: ordered[(n + 1) % 3000][2] for n, r in enumerate(ordered)}
+    assert {r["text"]: r["next_text"] for r in out.collect()} == after
+
+
 def test_order_minhash_numbers_occurrences_and_follows_order(spark):
     """(bin, rank) of every numbered k-mer against a count in Python."""
     text = "a b a b c a b"
@@ -402,6 +443,70 @@ def test_language_id(spark, edges, nothing):
     assert langid.identify(nothing, model, ["en", "fr", "de"], F.col("text")).collect() == []
 
 
+def naive_fusion(rows, model, names, kappa=20.0):
+    """(language, confidence) of (text, declared, host) rows, step by step."""
+    languages = names[:-1]
+    scores = [[x * langid.TEXT_WEIGHT for x in langid.text_scores(model, pa.array([t]))[0]] for t, _, _ in rows]
+    tag = [re.match(r"\s*([A-Za-z]*)", d or "")[1].lower() for _, d, _ in rows]
+    claim = ["none" if not t else t if t in languages else "other" for t in tag]
+    host = [(h or "").lower() for _, _, h in rows]
+    suffix = [langid.SUFFIXES.get(h.rsplit(".", 1)[-1], "none") if "." in h else "none" for h in host]
+    suffix = [x if x in languages else "none" for x in suffix]
+    domain = [".".join(h.split(".")[-2:]) if h.count(".") > 1 else h for h in host]
+    guess = [max(range(len(names)), key=lambda k: (s[k], -k)) if max(s) > min(s) else None for s in scores]
+    known = [n for n, g in enumerate(guess) if g is not None]
+    count = lambda test: [sum(guess[n] == k and test(n) for n in known) for k in range(len(names))]
+    every = count(lambda n: True)
+    corpus = [(c + 1) / (sum(every) + len(names)) for c in every]
+    out = []
+    for n in range(len(rows)):
+        total = list(scores[n])
+        for value, column in ((claim[n], claim), (suffix[n], suffix)):
+            here = count(lambda m: column[m] == value)
+            for k in range(len(names)):
+                total[k] += math.log((here[k] + 1) / (every[k] + len(languages) + 2))
+        of_domain, of_host = count(lambda m: domain[m] == domain[n]), count(lambda m: host[m] == host[n])
+        parent = [(of_domain[k] + kappa * corpus[k]) / (sum(of_domain) + kappa) for k in range(len(names))]
+        prior = [(of_host[k] + kappa * parent[k]) / (sum(of_host) + kappa) for k in range(len(names))] if sum(of_host) else corpus
+        total = [t + math.log(p) for t, p in zip(total, prior)]
+        best = max(range(len(names)), key=lambda k: (total[k], -k))
+        out.append((names[best], 1 / sum(math.exp(t - total[best]) for t in total)))
+    return out
+
+
+def test_fused_posterior_brute_force(spark):
+    texts = {"en": "the house is on the hill and the dog was there", "fr": "la maison est sur la colline et le chien est là", "de": "das haus ist auf dem hügel und der hund war dort"}
+    train = spark.createDataFrame([(i, t * 3, lang) for i, (lang, t) in enumerate(list(texts.items()) * 5)], "doc_id long, text string, lang string")
+    languages = ["en", "fr", "de"]
+    model = langid.fit(train, languages)
+    r = random.Random(12)
+    rows = []
+    for _ in range(150):
+        words = r.choice(list(texts.values())).split()
+        text = r.choice([" ".join(r.sample(words, r.randint(0, 6))), "zzq xkw 12", "", None, "a"])
+        rows.append((text, r.choice(["en", "de-AT", " FR", "xx", "", None]), r.choice(["a.b.de", "c.b.de", "x.fr", "www.y.co.uk", "plain", "", None, "e.org"])))
+    df = spark.createDataFrame([(i, *row, "clash", i, "x") for i, row in enumerate(rows)], "n int, text string, declared string, host string, language string, li_text int, li_host string").repartition(4)
+    got = langid.identify(df, model, languages, F.col("text"), F.col("declared"), F.col("host")).orderBy("n").collect()
+    want = naive_fusion(rows, model, [*languages, langid.UND])
+    assert all(g["li_text"] == g["n"] and g["li_host"] == "x" and g["text"] == rows[g["n"]][0] for g in got)
+    for g, (language, confidence) in zip(got, want):
+        assert g["language"] == language and g["confidence"] == pytest.approx(confidence, abs=1e-6)
+
+
+def test_language_of_pages_reads_markup_address_and_text(spark, tmp_path):
+    docs = [(i, t * 3, lang) for i, (lang, t) in enumerate([("en", "the house is on the hill and the dog was there "), ("fr", "la maison est sur la colline et le chien est là "), ("de", "das haus ist auf dem hügel und der hund war dort "), ("es", "la casa está en la colina y el perro estaba allí ")] * 6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = lambda text, lang=None: f"<html{f' lang={lang}' if lang else ''}><head><script>the and of is</script><style>the</style></head><body><!-- the the --><p>{text}</p></body></html>"
+    rows = [(i, f"http://h{i % 2}.example.org/{i}", page(t, lang)) for i, t, lang in docs]
+    rows += [(100, "http://a.de/", page("", "de")), (101, None, None), (102, "http://h0.example.org/", page("das haus ist auf dem hügel und der hund")), (103, "x", page("das haus ist auf dem hügel", "fr"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    from labeltext.llm.queries import language_of_pages
+
+    got = {r["page_id"]: r["language"] for r in language_of_pages(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[i] == lang for i, _, lang in docs)
+    assert got[100] == got[102] == got[103] == "de"
+
+
 def test_host_prior_decides_a_text_without_evidence(spark):
     train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the and of with that", "en"), ("und der die das nicht", "de")] * 8)], "doc_id long, text string, lang string")
     model = langid.fit(train, ["en", "de"])
