@@ -177,31 +177,53 @@ def features(kind: str, text: str, start: int, end: int) -> np.ndarray | None:
     return f
 
 
+#: Separators that a span of digits may hold: cards and phones, addresses.
+_CARD_PHONE, _ADDRESS = frozenset(" ()./-+"), frozenset(".[]()")
+
+
 def _segments(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int, int, np.ndarray]]:
-    """(first atom, atom after the last, kind, features) of all candidates."""
+    """(first atom, atom after the last, kind, features) of all candidates.
+
+    What ``features`` refuses by the number of digits, of their groups and of dots
+    or by a separator is known while a span grows, so it is asked only about
+    the others, and a span of digits ends where none of its kinds can go on."""
     out = []
     word = [text[a:b] for a, b in atoms]
     digit, at = [w[0].isdigit() and w.isascii() for w in word], [w.lower() in _AT_WORDS for w in word]
     for i, w in enumerate(word):
         if w[0].isspace() or not (w[0].isalnum() or w[0] in "+(._%-"):
             continue
-        has_digit = has_at = False
+        has_at = False
         numeric = w[0].isdigit() or w[0] in "+("
+        number = address = numeric  # whether a card or phone, or an ip, can still begin here
+        address = address and w[0] not in "+("
+        digits = groups = dots = 0
         for j in range(i, min(len(atoms), i + MAX_ATOMS)):
-            has_digit |= digit[j]
+            word_j = word[j]
             has_at |= at[j]
             if atoms[j][1] - atoms[i][0] > MAX_SPAN:
                 break
-            if word[j][-1].isspace():
-                if "\n" in word[j]:
+            if digit[j]:
+                digits, groups = digits + len(word_j), groups + 1
+                address = address and groups <= 4 and len(word_j) <= 3
+                number = number and groups <= 8 and digits <= 19
+            elif word_j[-1].isspace():
+                if "\n" in word_j:
                     break
+                number = number and not word_j.strip(" ")
+                address = address and len(word_j) <= 2
                 continue
+            else:
+                dots += word_j == "."
+                number = number and word_j in _CARD_PHONE
+                address = address and word_j in _ADDRESS and dots <= 3
             if has_at and j > i:
                 if (f := features("email", text, atoms[i][0], atoms[j][1])) is not None:
                     out.append((i, j + 1, 0, f))
-            if numeric and digit[j]:
+            if numeric and digit[j] and (number or address):
+                fits = (False, address and groups == 4 and dots == 3, number and digits >= 12, number and 7 <= digits <= 15)
                 for k in (1, 2, 3):
-                    if (f := features(KINDS[k], text, atoms[i][0], atoms[j][1])) is not None:
+                    if fits[k] and (f := features(KINDS[k], text, atoms[i][0], atoms[j][1])) is not None:
                         out.append((i, j + 1, k, f))
     return out
 
@@ -325,8 +347,8 @@ DIGIT_OR_AT = re.compile(r"[0-9@]+|[\[({]\s*at\s*[\])}]| at(?=\s*[\[({]| [a-z0-9
 
 
 def islands(text: str) -> list[tuple[int, int]]:
-    """Where a segment may be: the surroundings of digits, at signs and spelt
-    ones, joined where they touch, cut at white space where there is any near."""
+    """Where a segment may be: ``MAX_SPAN`` characters around digits, at signs and
+    spelt ones, joined where they touch."""
     out: list[tuple[int, int]] = []
     for m in DIGIT_OR_AT.finditer(text):
         a, b = max(0, m.start() - MAX_SPAN), min(len(text), m.end() + MAX_SPAN)
@@ -422,7 +444,8 @@ def mask_text(text: str | None, w: np.ndarray) -> str | None:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in ``text_col`` masked; all other columns and all
-    rows stay as they are. Nulls stay null."""
+    rows stay as they are, repeated ones too. Nulls stay null, empty texts empty; an
+    empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     w = docs.sparkSession.sparkContext.broadcast(fitted_weights())
 

@@ -302,6 +302,38 @@ def whole_spans(text, w):
     return [(atoms[segs[s][0]][0], atoms[segs[s][1] - 1][1], segs[s][2]) for s in path if marginal[s] >= pii.MIN_MARGINAL]
 
 
+def slow_segments(text, atoms):
+    """All spans of at most MAX_ATOMS atoms that ``features`` accepts."""
+    out = []
+    for i in range(len(atoms)):
+        first = text[atoms[i][0]]
+        if first.isspace() or not (first.isalnum() or first in "+(._%-"):
+            continue
+        for j in range(i, min(len(atoms), i + pii.MAX_ATOMS)):
+            words = [text[a:b] for a, b in atoms[i : j + 1]]
+            if "\n" in text[atoms[i][0] : atoms[j][1]] or atoms[j][1] - atoms[i][0] > pii.MAX_SPAN:
+                break
+            if words[-1][-1].isspace():
+                continue
+            kinds = [0] if j > i and any(w.lower() in ("at", "@") for w in words) else []
+            kinds += [1, 2, 3] if (first.isdigit() or first in "+(") and words[-1][0].isdigit() and words[-1].isascii() else []
+            out += [(i, j + 1, k, tuple(f)) for k in kinds if (f := pii.features(pii.KINDS[k], text, atoms[i][0], atoms[j][1])) is not None]
+    return out
+
+
+def test_early_tests_refuse_no_candidate():
+    r = random.Random(21)
+    parts = ["1", "22", "333", "4444", "12345678", "9" * 16, " ", "  ", ".", "-", "/", "(", ")", "+", "[.]", "(.)", "a", "x at y.de", "@", "b.c", "\t", "\n", ",", "٣", "é", ". ", " ."]
+    found = 0
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 24)))
+        atoms = [m.span() for m in pii.ATOM.finditer(text)]
+        got = [(i, j, k, tuple(f)) for i, j, k, f in pii._segments(text, atoms)]
+        assert sorted(got) == sorted(slow_segments(text, atoms)), text
+        found += len(got)
+    assert found > 1000
+
+
 def test_spelt_at_signs_are_found_like_lower_case_ones():
     w = pii.fitted_weights()
     for spelt in ("john [at] example [dot] com", "john [AT] example [DOT] com", "john AT example DOT com", "john {at} example {dot} com", "john [ at ] example [ dot ] com"):
