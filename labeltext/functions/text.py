@@ -149,7 +149,7 @@ def _unescape_sql() -> str:
                  f"concat(coalesce({_meaning('name', ALL_NAMES)}, get(filter({begins}, x -> x IS NOT NULL), 0), concat('&', name)), "
                  "substr(part, length(name) + 1))")
     part = (f"CASE WHEN startswith(part, 'amp;') THEN concat('&', substr(part, 5)) WHEN startswith(part, '#') THEN {number} "
-            f"WHEN substr(part, 1, 1) IN ('', '\\t', '\\n', '\\f', ' ', '<', ';') THEN concat('&', part) ELSE {named} END")
+            f"WHEN substr(part, 1, 1) IN ('', '\\t', '\\n', '\\u000c', ' ', '<', ';') THEN concat('&', part) ELSE {named} END")
     whole = f"concat(parts[0], array_join(transform(slice(parts, 2, size(parts)), part -> {part}), ''))"
     return f"if(instr(t, '&') = 0, t, {_let('parts', "split(t, '&')", whole)})"
 
