@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import prompts as PR
 from ..functions import text as T
+from ..session import stage_table
 from .rank import sample_exact
 
 Predictor = Callable[[list[str]], list[str]]
@@ -133,28 +134,49 @@ def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "descrip
     ``test``; returns (fitted PipelineModel, predictions with ``prediction_label``).
 
     Tokens are lower-cased words (``RegexTokenizer``); hashing keeps the
-    feature space fixed, so no vocabulary is collected on the driver.
+    feature space fixed, so no vocabulary is collected on the driver. The term
+    counts are written once; the document frequencies and the regressions read
+    them, so the words are cut once.
+
+    One regression for each label against the rest, as the last stages of the model:
+    the optimiser keeps some 30 vectors on the driver, and so they have the size
+    of one label's weights, not of all. The label of the highest margin is
+    predicted. The classes are the labels of ``train`` alone: a test row may have
+    another label or none, which is never predicted, and a training row
+    without a label teaches nothing.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 
-    indexer = StringIndexer(inputCol=label_col, outputCol="label", handleInvalid="keep")
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\W+", minTokenLength=1)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="features")
-    lr = LogisticRegression(maxIter=max_iter, regParam=0.01)
-    model = Pipeline(stages=[indexer, tok, tf, idf, lr]).fit(train)
+    counts = stage_table(tf.transform(tok.transform(train)).select(label_col, "_tf"), "train-counts")
+    indexer = StringIndexer(inputCol=label_col, outputCol="label", handleInvalid="skip").fit(counts)
+    idf = IDF(inputCol="_tf", outputCol="features").fit(counts)
+    weighted = idf.transform(indexer.transform(counts)).select("label", "features")
+    regressions = []
+    for i in range(len(indexer.labels)):
+        # A third level of merging leaves the driver a few gradients, where two
+        # leave it the root of the number of partitions.
+        lr = LogisticRegression(maxIter=max_iter, regParam=0.01, aggregationDepth=3, labelCol="_is",
+                                rawPredictionCol=f"_margin{i}", probabilityCol=f"_probability{i}", predictionCol=f"_class{i}")
+        regressions.append(lr.fit(weighted.select("features", (F.col("label") == i).cast("double").alias("_is"))))
+    model = PipelineModel([indexer.setHandleInvalid("keep"), tok, tf, idf, *regressions])
     return model, label_predictions(model, test)
 
 
 def label_predictions(model, df: DataFrame) -> DataFrame:
-    """``df`` with the fitted pipeline's ``prediction_label``."""
-    from pyspark.ml.feature import IndexToString
-
-    back = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=list(model.stages[0].labelsArray[0]))
-    scored = back.transform(model.transform(df))
-    return scored.drop("_tokens", "_tf", "features", "rawPrediction", "probability")
+    """``df`` with the fitted pipeline's ``prediction`` (the index of the label of
+    the highest margin, the first of equals) and ``prediction_label``."""
+    from pyspark.ml.functions import vector_to_array
+
+    labels = model.stages[0].labels
+    margins = F.array(*[F.get(vector_to_array(f"_margin{i}"), F.lit(1)) for i in range(len(labels))])
+    scored = model.transform(df).withColumn("prediction", F.array_position(margins, F.array_max(margins)).cast("double") - 1)
+    names = F.array(*[F.lit(x) for x in labels])
+    inner = [f"_{kind}{i}" for kind in ("margin", "probability", "class") for i in range(len(labels))]
+    return scored.withColumn("prediction_label", F.get(names, F.col("prediction").cast("int"))).drop("_tokens", "_tf", "features", *inner)
 
 
 def training_job(train: DataFrame, validation: DataFrame, output_dir: str, params: dict | None = None,

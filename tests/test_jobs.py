@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from labeltext.operators import infer as I
 from labeltext.operators import validate as VAL
 from labeltext.plans import evaluation as EJ
 from labeltext.plans import preprocessing as PP
@@ -129,3 +130,16 @@ def test_inference_job_writes_samples(spark):
     assert os.path.isdir(f"{out}/prediction_samples")
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, direct.collect()))
     assert written.count() == 20
+
+
+def test_classifier_predicts_labels_of_training_rows_only(spark):
+    """One class in training: with a class of its own for unseen labels, the
+    constant label was scored as that class, which has no name."""
+    train = spark.createDataFrame([(i, f"good fine {i}", "yes") for i in range(6)], "job_id bigint, description string, skill_name string")
+    test = spark.createDataFrame([(10, "good", "yes"), (11, "bad poor", "no"), (12, "other", None)], train.schema)
+    model, scored = I.train_classifier(train, test, num_features=64, max_iter=3)
+    assert {r.job_id: r.prediction_label for r in scored.collect()} == {10: "yes", 11: "yes", 12: "yes"}
+    unlabelled = spark.createDataFrame([(20, "no label here", None)], train.schema)
+    three = train.unionByName(unlabelled).unionByName(spark.createDataFrame([(30 + i, f"bad poor {i}", "no") for i in range(5)] + [(40 + i, f"soso {i}", "so") for i in range(5)], train.schema))
+    model, scored = I.train_classifier(three, test, num_features=64, max_iter=3)
+    assert len(model.stages[0].labels) == 3 and {r.prediction_label for r in scored.collect()} <= {"yes", "no", "so"}
