@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltext.llm import bytetext, piecelattice
@@ -72,6 +72,20 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = piecelatti
     )
 
 
+def digest(ids: str) -> Column:
+    """SHA-256 of the piece ids of a column (array<int>), as little-endian 32-bit
+    integers; null for null."""
+
+    @F.arrow_udf("string")
+    def sha256(arrays: pa.Array) -> pa.Array:
+        values = arrays.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+        ends = np.cumsum(arrays.value_lengths().fill_null(0).to_numpy())
+        found = [hashlib.sha256(values[i:j].tobytes()).hexdigest() for i, j in zip([0, *ends[:-1]], ends)]
+        return pa.array(found, pa.string(), mask=arrays.is_null().to_numpy(zero_copy_only=False))
+
+    return sha256(F.col(ids))
+
+
 def decode(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
     """``encoded`` (with ``pieces``: array<int>) with a column ``text`` of the
     texts that the pieces spell; bytes that are not UTF-8 become U+FFFD. Null

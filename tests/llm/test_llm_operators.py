@@ -795,3 +795,18 @@ def test_byte_cnn_learns_from_whole_texts(spark):
     assert np.mean([x["predicted"] == x["doc_id"] % 2 for x in got]) > 0.9
     small = bytecnn.fit(docs, labels, size=1)
     assert small.unit.any() == False  # noqa: E712  one text is one label: a constant
+
+
+def test_gumbel_pieces_query_gives_its_pieces(spark, tmp_path):
+    """The registered query returns the segmentations with all scores; the digest is theirs."""
+    rows = [(1, "A small text, cut twice."), (2, ""), (3, None), (None, "no id ü你"), (1, "A small text, cut twice.")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from labeltext.llm.queries import op7_gumbel_pieces
+
+    out = op7_gumbel_pieces(spark, str(tmp_path))
+    got = out.collect()
+    assert len(got) == 8 and all(r.round_trip and r.perturbed is not None and r.n_pieces == len(r.pieces) for r in got)
+    assert all(r.pieces_sha256 == hashlib.sha256(np.array(r.pieces, "<i4").tobytes()).hexdigest() for r in got)
+    assert {(r.doc_id, r.text) for r in pieces.decode(out).collect()} == {(i, t or "") for i, t in rows}
+    gaps = spark.createDataFrame([([5, 6],), (None,), ([],)], "pieces array<int>").coalesce(1)
+    assert [r[0] is None for r in gaps.select(pieces.digest("pieces")).collect()] == [False, True, False]
