@@ -143,3 +143,12 @@ def test_classifier_predicts_labels_of_training_rows_only(spark):
     three = train.unionByName(unlabelled).unionByName(spark.createDataFrame([(30 + i, f"bad poor {i}", "no") for i in range(5)] + [(40 + i, f"soso {i}", "so") for i in range(5)], train.schema))
     model, scored = I.train_classifier(three, test, num_features=64, max_iter=3)
     assert len(model.stages[0].labels) == 3 and {r.prediction_label for r in scored.collect()} <= {"yes", "no", "so"}
+
+
+def test_training_job_scores_one_label_and_unseen_ones(spark):
+    schema = "job_id bigint, description string, skill_name string"
+    train = spark.createDataFrame([(i, f"good fine {i}", "yes") for i in range(6)], schema)
+    validation = spark.createDataFrame([(10, "good", "yes"), (11, "bad poor", "no")], schema)
+    paths = I.training_job(train, validation, scratch_path(spark, "one-label"), {"num_features": 64, "max_iter": 3})
+    assert spark.read.parquet(paths["train_metrics"]).first().accuracy == 1.0
+    assert spark.read.parquet(paths["eval_metrics"]).first().accuracy == 0.5
