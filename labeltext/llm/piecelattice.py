@@ -23,6 +23,7 @@ bound a Gumbel draw by 23), the rest of the text is drawn for all texts at once.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import random
@@ -227,6 +228,28 @@ class Lattices:
         whole.dst = np.concatenate([x.dst + np.int32(n) for x, n in zip(parts, nodes)]) if parts else np.zeros(0, np.int32)
         return whole
 
+    @functools.cached_property
+    def steps(self) -> dict[int, tuple]:
+        """What :meth:`step` gave for the nodes that searches came by; texts
+        share units, so most nodes are met again."""
+        return {}
+
+    def step(self, node: int) -> tuple[int, list[float] | None, list[int], list[int] | int]:
+        """(count, chances, pieces, ends) of a node's edges. A node with one edge:
+        (1, None, the pieces of the way as long as it has no choice, its end)."""
+        c, way = self.count.item(node), []
+        if c == 1:
+            while c == 1:
+                a = self.first.item(node)
+                way.append(self.piece.item(a))
+                node = self.dst.item(a)
+                c = self.count.item(node)
+            return 1, None, way, node
+        if c == 0:
+            return 0, None, way, node
+        a = self.first.item(node)
+        return c, self.chance[a : a + c].tolist(), self.piece[a : a + c].tolist(), self.dst[a : a + c].tolist()
+
     def walk(self, start: np.ndarray, row: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a way to the unit's end from each ``start`` node. Returns (pieces
         in order, number of pieces per start). The random numbers depend on the
@@ -268,13 +291,14 @@ def _uniform(rnd: random.Random) -> float:
     return (rnd.getrandbits(32) + 0.5) * 2.0**-32
 
 
-def _search(lat: Lattices, units: list[int], ends: list[int], k: int, seed: int) -> tuple[list[tuple[float, float, list[int], int, int]], float]:
+def _search(lat: Lattices, units: list[int], k: int, seed: int) -> tuple[list[tuple[float, float, list[int], int, int]], float]:
     """Best-first search over the prefixes of one text. ``units`` holds the
-    first node of each unit, ``ends`` the last. Returns up to ``k`` prefixes
+    first node of each unit. Returns up to ``k`` prefixes
     (perturbed value, log-probability, pieces, unit, node) whose rest is to be
     drawn freely, by falling value, and the value of the next one."""
     rnd = random.Random(seed)
-    heap: list[tuple[float, int, float, int, int, tuple]] = [(math.log(-math.log(_uniform(rnd))), 0, 0.0, 0, units[0], ())]
+    bits, draw, log, exp, steps, n = rnd.getrandbits, rnd.random, math.log, math.exp, lat.steps, len(units)
+    heap: list[tuple[float, int, float, int, int, tuple]] = [(log(-log(_uniform(rnd))), 0, 0.0, 0, units[0], ())]
     made, out = 1, []
     while heap:
         value, _, phi, unit, node, path = heapq.heappop(heap)
@@ -284,31 +308,40 @@ def _search(lat: Lattices, units: list[int], ends: list[int], k: int, seed: int)
         tail: list[int] = []
         need = k - len(out)  # values wanted besides this one
         queued = [-x[0] for x in heapq.nsmallest(need, heap)][::-1]  # the largest, as a heap
-        while unit < len(units):
-            c = int(lat.count[node])
+        filled = len(queued) == need
+        while unit < n:
+            step = steps.get(node)
+            if step is None:
+                step = steps[node] = lat.step(node)
+            c, chance, piece, dst = step
             if c == 0:
                 unit += 1
-                if unit < len(units):
+                if unit < n:
                     node = units[unit]
                 continue
-            if len(queued) == need and phi + REACH < queued[0]:
+            if filled and phi + REACH < queued[0]:
                 break
-            a = int(lat.first[node])
             if c == 1:
-                tail.append(int(lat.piece[a]))
-                node = int(lat.dst[a])
+                tail += piece
+                node = dst
                 continue
-            chance, piece, dst = lat.chance[a : a + c].tolist(), lat.piece[a : a + c].tolist(), lat.dst[a : a + c].tolist()
-            u, best = rnd.random(), 0
+            u, best = draw(), 0
             while best < c - 1 and u >= chance[best]:
                 u -= chance[best]
                 best += 1
-            for i in range(c):
-                if i != best and chance[i] > 0:
-                    loc = phi + math.log(chance[i])
-                    g = loc - math.log(math.exp(min(loc - value, 700.0)) - math.log(_uniform(rnd)))
-                    if len(queued) < need:
+            # A sibling's value exceeds the least of the queued only if -log(u) < chance * near,
+            # and 1 - u is at most -log(u): most are told so without a logarithm.
+            near = exp(min(phi - queued[0], 700.0)) * (1.0 + 1e-6) if filled else math.inf
+            for i, x in enumerate(chance):
+                if i != best and x > 0:
+                    u = (bits(32) + 0.5) * 2.0**-32
+                    if 1.0 - u > x * near:
+                        continue
+                    loc = phi + log(x)
+                    g = loc - log(exp(min(loc - value, 700.0)) - log(u))
+                    if not filled:
                         heapq.heappush(queued, g)
+                        filled = len(queued) == need
                     elif g > queued[0]:
                         heapq.heapreplace(queued, g)
                     else:
@@ -316,7 +349,7 @@ def _search(lat: Lattices, units: list[int], ends: list[int], k: int, seed: int)
                     heapq.heappush(heap, (-g, made, loc, unit, dst[i], (*path, *tail, piece[i])))
                     made += 1
             tail.append(piece[best])
-            phi += math.log(chance[best])
+            phi += log(chance[best])
             node = dst[best]
         out.append((value, phi, [*path, *tail], unit, node))
     return out, -math.inf
@@ -376,8 +409,8 @@ def _sample_rows(vocab: Vocabulary, lat: Lattices, lo: int, hi: int, size, seeds
             text_no.append(t), rank.append(1), value.append(0.0), phi.append(0.0), threshold.append(-math.inf), heads.append([])
             rest.append((-1, 0, 0))
             continue
-        own = range(unit_of[t], unit_of[t + 1])
-        found, limit = _search(lat, _Lazy(node, own), own, k, int(seeds[t]))
+        own = node[unit_of[t] : unit_of[t + 1]].tolist()
+        found, limit = _search(lat, own, k, int(seeds[t]))
         for r, (g, p, head, unit, place) in enumerate(found):
             text_no.append(t), rank.append(r + 1), value.append(g), phi.append(p), threshold.append(limit), heads.append(head)
             rest.append((-1, 0, 0) if unit >= len(own) else (len(text_no) - 1, unit_of[t] + unit, place))
@@ -415,19 +448,6 @@ def _sample_rows(vocab: Vocabulary, lat: Lattices, lo: int, hi: int, size, seeds
     return row_text, np.array(rank, np.int32), out, count, phi, np.array(value), log_inclusion
 
 
-class _Lazy:
-    """The first nodes of a text's units, taken when they are asked for."""
-
-    def __init__(self, node: np.ndarray, own: range) -> None:
-        self.node, self.own = node, own
-
-    def __len__(self) -> int:
-        return len(self.own)
-
-    def __getitem__(self, i: int) -> int:
-        return int(self.node[self.own[i]])
-
-
 def decode(vocab: Vocabulary, pieces: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts that lists of pieces spell; the space in
     front is taken off."""

@@ -24,7 +24,7 @@ def vocabulary(model_file: str, alpha: float) -> piecelattice.Vocabulary:
     return piecelattice.Vocabulary(model_file, alpha)
 
 
-def _encoder(model_file: str, alpha: float, k: int, seed: int, ids: bool):
+def _encoder(model_file: str, alpha: float, k: int, seed: int, ids: bool, packed: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_file, alpha)
         for batch in bytetext.released(batches):
@@ -40,20 +40,24 @@ def _encoder(model_file: str, alpha: float, k: int, seed: int, ids: bool):
                     out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pieces))
                 else:
                     out = pa.array([hashlib.sha256(pieces[i:j].tobytes()).hexdigest() for i, j in zip(ends[:-1], ends[1:])], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(text + a)), pa.array(rank), out, pa.array(count), pa.array(logp), pa.array(value), pa.array(inclusion), pa.array(same, pa.bool_())],
-                    ["doc_id", "rank", "pieces", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"],
-                )
+                columns = [batch.column("doc_id").take(pa.array(text + a)), pa.array(rank), out, pa.array(count), pa.array(logp), pa.array(value), pa.array(inclusion), pa.array(same, pa.bool_())]
+                names = ["doc_id", "rank", "pieces", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"]
+                if packed:
+                    flat = pa.py_buffer(pieces.astype("<i4", copy=False))
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer((4 * ends).astype(np.int32)), flat]))
+                    names.append("packed")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = piecelattice.ALPHA, model_file: str = MODEL, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = piecelattice.ALPHA, model_file: str = MODEL, ids: bool = True, packed: bool = False) -> DataFrame:
     """Up to ``k`` distinct sampled segmentations of every text, by rank.
 
     (doc_id, rank, pieces, n_pieces, log_prob, perturbed, log_inclusion,
     round_trip); ``pieces`` are piece ids (array<int>), or with ``ids=False`` the
-    SHA-256 of their little-endian 32-bit integers. ``log_inclusion`` is the log
+    SHA-256 of their little-endian 32-bit integers; ``packed`` adds these integers as
+    a column of that name (binary). ``log_inclusion`` is the log
     of the probability that the segmentation is among the ``k``, given the
     (k+1)-th perturbed value; ``round_trip`` whether the pieces spell the text again.
 
@@ -67,14 +71,17 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 0, alpha: float = piecelatti
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = "array<int>" if ids else "string"
     return rows.mapInArrow(
-        _encoder(model_file, alpha, k, seed, ids),
-        f"doc_id {kind}, rank int, pieces {out}, n_pieces long, log_prob double, perturbed double, log_inclusion double, round_trip boolean",
+        _encoder(model_file, alpha, k, seed, ids, packed),
+        f"doc_id {kind}, rank int, pieces {out}, n_pieces long, log_prob double, perturbed double, log_inclusion double, round_trip boolean" + ", packed binary" * packed,
     )
 
 
-def digest(ids: str) -> Column:
+def digest(ids: str, packed: bool = False) -> Column:
     """SHA-256 of the piece ids of a column (array<int>), as little-endian 32-bit
-    integers; null for null."""
+    integers; null for null. ``packed``: the column holds these integers (binary),
+    so the arrays need not go to Python again."""
+    if packed:
+        return F.sha2(F.col(ids), 256)
 
     @F.arrow_udf("string")
     def sha256(arrays: pa.Array) -> pa.Array:

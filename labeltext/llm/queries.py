@@ -73,8 +73,8 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations per document: the piece ids, their digest and all scores."""
-    out = pieces.encode(_table(spark, sf_dir, "documents"), k=2)
-    return out.select("doc_id", "rank", "n_pieces", pieces.digest("pieces").alias("pieces_sha256"), "log_prob", "log_inclusion", "round_trip", "perturbed", "pieces")
+    out = pieces.encode(_table(spark, sf_dir, "documents"), k=2, packed=True)
+    return out.select("doc_id", "rank", "n_pieces", pieces.digest("packed", packed=True).alias("pieces_sha256"), "log_prob", "log_inclusion", "round_trip", "perturbed", "pieces")
 
 
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -810,3 +810,18 @@ def test_gumbel_pieces_query_gives_its_pieces(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in pieces.decode(out).collect()} == {(i, t or "") for i, t in rows}
     gaps = spark.createDataFrame([([5, 6],), (None,), ([],)], "pieces array<int>").coalesce(1)
     assert [r[0] is None for r in gaps.select(pieces.digest("pieces")).collect()] == [False, True, False]
+
+
+def test_gumbel_pieces_query_sends_no_arrays_back_to_python(spark, tmp_path):
+    from labeltext.llm.queries import op7_gumbel_pieces
+
+    rows = [(1, "one text, and more"), (2, ""), (3, None), (4, "x" * 50), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = op7_gumbel_pieces(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    packed = pieces.encode(docs, k=2, packed=True).withColumns({"a": pieces.digest("packed", packed=True), "b": pieces.digest("pieces")}).collect()
+    assert len(packed) == 8 and all(r.a == r.b and bytes(r.packed) == np.array(r.pieces, "<i4").tobytes() for r in packed)
+    empty = pieces.encode(docs.where("doc_id in (2, 3)"), packed=True).collect()
+    assert [(r.pieces, bytes(r.packed)) for r in empty] == [([], b"")] * 2
