@@ -10,6 +10,7 @@ the JVM.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -128,6 +129,22 @@ def inference_job(eval_set: DataFrame, make_predictor: Callable[[], Predictor],
     return out.sparkSession.read.parquet(path)
 
 
+#: File splits that one task of the optimiser reads at most.
+SPLITS_PER_TASK = 8
+
+
+def gradient_partitions(splits: int, cores: int) -> int:
+    """Partitions for a pass of the optimiser over ``splits`` file splits: one per
+    core, and more only where a task would read over ``SPLITS_PER_TASK`` splits."""
+    return max(1, min(splits, max(cores, math.ceil(splits / SPLITS_PER_TASK))))
+
+
+def merge_levels(partitions: int) -> int:
+    """Levels of a tree of merges of four, so that the driver gets about four
+    gradients however many partitions there are."""
+    return max(2, round(math.log(max(partitions, 1), 4)))
+
+
 def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "description",
                      label_col: str = "skill_name", num_features: int = 1 << 18, max_iter: int = 20):
     """TRN1: fit TF-IDF + logistic regression on ``train`` and predict
@@ -144,6 +161,10 @@ def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "descrip
     predicted. The classes are the labels of ``train`` alone: a test row may have
     another label or none, which is never predicted, and a training row
     without a label teaches nothing.
+
+    A pass of the optimiser makes one gradient of ``num_features`` per partition,
+    so the rows are read in ``gradient_partitions``, not in one per file split, and
+    merged until about four gradients are left for the driver.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
@@ -154,12 +175,11 @@ def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "descrip
     counts = stage_table(tf.transform(tok.transform(train)).select(label_col, "_tf"), "train-counts")
     indexer = StringIndexer(inputCol=label_col, outputCol="label", handleInvalid="skip").fit(counts)
     idf = IDF(inputCol="_tf", outputCol="features").fit(counts)
-    weighted = idf.transform(indexer.transform(counts)).select("label", "features")
+    parts = gradient_partitions(counts.rdd.getNumPartitions(), counts.sparkSession.sparkContext.defaultParallelism)
+    weighted = idf.transform(indexer.transform(counts)).select("label", "features").coalesce(parts)
     regressions = []
     for i in range(len(indexer.labels)):
-        # A third level of merging leaves the driver a few gradients, where two
-        # leave it the root of the number of partitions.
-        lr = LogisticRegression(maxIter=max_iter, regParam=0.01, aggregationDepth=3, labelCol="_is",
+        lr = LogisticRegression(maxIter=max_iter, regParam=0.01, aggregationDepth=merge_levels(parts), labelCol="_is",
                                 rawPredictionCol=f"_margin{i}", probabilityCol=f"_probability{i}", predictionCol=f"_class{i}")
         regressions.append(lr.fit(weighted.select("features", (F.col("label") == i).cast("double").alias("_is"))))
     model = PipelineModel([indexer.setHandleInvalid("keep"), tok, tf, idf, *regressions])
@@ -199,7 +219,7 @@ def training_job(train: DataFrame, validation: DataFrame, output_dir: str, param
     spark, base, params = train.sparkSession, output_dir.rstrip("/"), params or {}
     require_rows(train, "the training split")
     require_rows(validation, "the validation split")
-    model, _ = train_classifier(train, validation, text_col, label_col, **params)
+    model = train_classifier(train, validation, text_col, label_col, **params)[0]  # the frame of predictions would hold the fitted model
     paths = {"model": f"{base}/model"}
     model.write().overwrite().save(paths["model"])
     model = PipelineModel.load(paths["model"])

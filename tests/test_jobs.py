@@ -152,3 +152,32 @@ def test_training_job_scores_one_label_and_unseen_ones(spark):
     paths = I.training_job(train, validation, scratch_path(spark, "one-label"), {"num_features": 64, "max_iter": 3})
     assert spark.read.parquet(paths["train_metrics"]).first().accuracy == 1.0
     assert spark.read.parquet(paths["eval_metrics"]).first().accuracy == 0.5
+
+
+def test_optimiser_sends_few_gradients(spark, monkeypatch):
+    """One gradient per file split, and a fixed depth of merging, filled the driver's heap."""
+    from pyspark.ml.classification import LogisticRegression
+
+    fits, fit = [], LogisticRegression.fit
+
+    def noted(self, rows):
+        fits.append((rows.rdd.getNumPartitions(), self.getAggregationDepth(), rows.count()))
+        return fit(self, rows)
+
+    monkeypatch.setattr(LogisticRegression, "fit", noted)
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    train = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", "yes" if i % 2 else "no") for i in range(120)],
+                                  "job_id bigint, description string, skill_name string").repartition(24)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # a split for each file at least
+    try:
+        _, scored = I.train_classifier(train, train, num_features=64, max_iter=3)
+        assert scored.filter("prediction_label = skill_name").count() == 120
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(fits) == 2
+    for parts, levels, rows in fits:
+        assert rows == 120 and parts < 24 and levels == I.merge_levels(parts)
+    for splits in (1, 5, 24, 100, 10_000):
+        parts = I.gradient_partitions(splits, cores)
+        assert 1 <= parts <= splits and parts >= min(splits, cores) and parts * I.SPLITS_PER_TASK >= splits
+    assert [I.merge_levels(n) for n in (1, 6, 16, 64, 1024)] == [2, 2, 2, 3, 5]
