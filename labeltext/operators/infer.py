@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import prompts as PR
 from ..functions import text as T
-from ..session import stage_table
+from ..session import release_finished, stage_table
 from .rank import sample_exact
 
 Predictor = Callable[[list[str]], list[str]]
@@ -179,6 +179,7 @@ def train_classifier(train: DataFrame, test: DataFrame, text_col: str = "descrip
     weighted = idf.transform(indexer.transform(counts)).select("label", "features").coalesce(parts)
     regressions = []
     for i in range(len(indexer.labels)):
+        release_finished(counts.sparkSession)
         lr = LogisticRegression(maxIter=max_iter, regParam=0.01, aggregationDepth=merge_levels(parts), labelCol="_is",
                                 rawPredictionCol=f"_margin{i}", probabilityCol=f"_probability{i}", predictionCol=f"_class{i}")
         regressions.append(lr.fit(weighted.select("features", (F.col("label") == i).cast("double").alias("_is"))))
@@ -223,6 +224,7 @@ def training_job(train: DataFrame, validation: DataFrame, output_dir: str, param
     paths = {"model": f"{base}/model"}
     model.write().overwrite().save(paths["model"])
     model = PipelineModel.load(paths["model"])
+    release_finished(spark)
     rows = {}
     for name, part in (("train", train), ("eval", validation)):
         scored = label_predictions(model, part).select(F.col(label_col).alias(V.TRUTH), F.col("prediction_label").alias(V.FINETUNED))

@@ -7,6 +7,7 @@ bench, and the one place that decides where intermediate tables may be written.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -84,3 +85,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release_finished(spark: SparkSession) -> None:
+    """Let go of what finished jobs left: Spark frees their broadcast blocks, shuffle
+    files and network buffers only when the driver collects its garbage, by itself
+    after 30 minutes (``spark.cleaner.periodicGC.interval``) or with a full heap.
+    For a loop over fits of many short jobs, between two fits."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -158,13 +158,14 @@ def test_optimiser_sends_few_gradients(spark, monkeypatch):
     """One gradient per file split, and a fixed depth of merging, filled the driver's heap."""
     from pyspark.ml.classification import LogisticRegression
 
-    fits, fit = [], LogisticRegression.fit
+    fits, fit, released, release = [], LogisticRegression.fit, [], I.release_finished
 
     def noted(self, rows):
         fits.append((rows.rdd.getNumPartitions(), self.getAggregationDepth(), rows.count()))
         return fit(self, rows)
 
     monkeypatch.setattr(LogisticRegression, "fit", noted)
+    monkeypatch.setattr(I, "release_finished", lambda session: (released.append(len(fits)), release(session)))
     cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
     train = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", "yes" if i % 2 else "no") for i in range(120)],
                                   "job_id bigint, description string, skill_name string").repartition(24)
@@ -174,7 +175,7 @@ def test_optimiser_sends_few_gradients(spark, monkeypatch):
         assert scored.filter("prediction_label = skill_name").count() == 120
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert len(fits) == 2
+    assert len(fits) == 2 and released == [0, 1]  # before each fit
     for parts, levels, rows in fits:
         assert rows == 120 and parts < 24 and levels == I.merge_levels(parts)
     for splits in (1, 5, 24, 100, 10_000):
